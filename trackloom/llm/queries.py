@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .mixing import MIX_SQL, mix
 from .near_duplicates import near_duplicates
+from .quality import held_out, score_quality, train
+from .tables import new_path
+from .token_files import read_index, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +25,38 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.id.alias("doc_id"), "class_id", "n_links", "n_text_links", "n_copies")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, n_words, distance, similarity: a row for each document and benchmark item found in it."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(found.id.alias("doc_id"), found["item"].alias("item_id"), "start", found.words.alias("n_words"), "distance", "similarity")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
+    return read_index(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mix(table(spark, sf_dir, "documents"))
+    return mixture.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    found = (
+        op3_ngram_jaccard_join,
+        op4_benchmark_decontamination,
+        op6_quality_classifier,
+        op8_token_id_output,
+        op9_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": MIX_SQL}
