@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .tables import range_bucket, range_edges
 
-SAMPLES = 64
+SAMPLES = 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,21 +56,35 @@ def weights(first: Column, second: Column) -> Column:
     return F.flatten(F.transform(F.array(both), lambda a: F.flatten(F.transform(F.array(runs(a)), lambda e: merged(a, e)))))
 
 
-def _uniform(bits: Column) -> Column:
-    return (bits + F.lit(0.5)) / F.lit(float(1 << 32))
+#: Constants of the fixed-point rank: the value is at least -128, and RANKS stands for a word that isn't there.
+LOWEST, STEPS, RANKS, ABSENT = 128.0, 8388608.0, (1 << 31) - 1, 1000.0
 
 
-def sample(term: Column, weight: Column, k: int) -> Column:
-    """The packed candidate of a word for sample k; null for weight 0."""
-    low = F.lit((1 << 32) - 1).cast("bigint")
-    one, two, three = (F.xxhash64(term, F.lit(3 * k + j)) for j in range(3))
-    c = -F.ln(_uniform(one.bitwiseAND(low)) * _uniform(F.shiftrightunsigned(one, 32)))
-    r = -F.ln(_uniform(two.bitwiseAND(low)) * _uniform(F.shiftrightunsigned(two, 32)))
-    b = _uniform(three.bitwiseAND(low))
-    t = F.floor(F.ln(weight) / r + b)
-    value = F.ln(c) - r * (t - b + 1)
-    rank = F.least(F.greatest((value + 128.0) * 8388608.0, F.lit(0.0)), F.lit(2147483647.0)).cast("bigint")
-    return F.when(weight > 0, F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(term, t, F.lit(-1)).bitwiseAND(low)))
+def _uniform(bits: Column, width: int) -> Column:
+    return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << width))
+
+
+def candidates(term: Column, logs: list[Column], absent: list[Column], k: int) -> list[Column]:
+    """The packed candidates of a word for sample k, one for each weight.
+
+    logs: ln of the weights (0 for weight 0); absent: 0, or ABSENT for weight 0, whose rank then is RANKS. There are no branches, so
+    what the weights share is computed once.
+    """
+
+    def bits(x: Column, right: int, width: int) -> Column:
+        return F.shiftrightunsigned(x, right).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+    one, two = (F.xxhash64(term.bitwiseXOR(F.lit((2 * k + j + 101) << 40).cast("bigint"))) for j in range(2))
+    c = F.ln(-F.ln(_uniform(bits(one, 0, 32), 32) * _uniform(bits(one, 32, 32), 32)))
+    r = -F.ln(_uniform(bits(two, 0, 24), 24) * _uniform(bits(two, 24, 24), 24))
+    b = _uniform(bits(two, 48, 16), 16)
+    out = []
+    for log, gone in zip(logs, absent, strict=True):
+        t = F.floor(log / r + b)
+        rank = F.least((c - r * (t - b + 1.0) + gone + F.lit(LOWEST)) * F.lit(STEPS), F.lit(float(RANKS))).cast("bigint")
+        own = term.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+        out.append(F.shiftleft(rank, 32).bitwiseOR(own))
+    return out
 
 
 def in_order(texts: DataFrame) -> DataFrame:
@@ -126,10 +140,18 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = ordered.withColumn("edited", edited)
     rows = ordered.select("bucket", "guest", "row", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline_outer(weights(F.col("text"), F.col("edited"))))
     keys = ["bucket", "guest", "row", "id", "n_chars", "edited_sha256"]
-    samples = [F.min(sample(F.col("term"), F.col(w), k)).alias(f"{w}_{k}") for k in range(SAMPLES) for w in ("w0", "w1")]
+    present = lambda w: F.coalesce(F.col(w), F.lit(0))
+    rows = rows.select(
+        *keys, F.coalesce("term", F.lit(0).cast("bigint")).alias("term"),
+        *[F.ln(F.greatest(present(w), F.lit(1)).cast("double")).alias(f"log_{w}") for w in ("w0", "w1")],
+        *[F.when(present(w) > 0, 0.0).otherwise(ABSENT).alias(f"absent_{w}") for w in ("w0", "w1")],
+    )
+    logs, absent = [F.col("log_w0"), F.col("log_w1")], [F.col("absent_w0"), F.col("absent_w1")]
+    samples = [F.min(x).alias(f"{w}_{k}") for k in range(SAMPLES) for w, x in zip(("w0", "w1"), candidates(F.col("term"), logs, absent, k), strict=True)]
     drawn = rows.groupBy(*keys).agg(*samples)
     low = F.lit((1 << 32) - 1).cast("bigint")
-    lists = [F.array(*[F.coalesce(F.col(f"{w}_{k}").bitwiseAND(low), F.lit(0).cast("bigint")) for k in range(SAMPLES)]).alias(w) for w in ("w0", "w1")]
+    taken = lambda c: F.when(F.shiftright(F.col(c), 32) < F.lit(RANKS), F.col(c).bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
+    lists = [F.array(*[taken(f"{w}_{k}") for k in range(SAMPLES)]).alias(w) for w in ("w0", "w1")]
     drawn = drawn.select(*keys, *lists)
     following = F.lead("w0").over(Window.partitionBy("bucket").orderBy("row"))
     drawn = drawn.withColumn("following", following).where(~F.col("guest"))
