@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
+from .fingerprints import fingerprint_pairs
 from .mixing import MIX_SQL, mix
 from .near_duplicates import near_duplicates
+from .pii import find_pii, spans_text
 from .quality import held_out, score_quality, train
 from .tables import new_path
 from .token_files import read_index, write_tokens
@@ -37,6 +39,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
     return read_index(spark, folder).withColumnRenamed("id", "doc_id")
@@ -47,13 +53,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        found.id.alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op3_ngram_jaccard_join,
         op4_benchmark_decontamination,
         op6_quality_classifier,
+        op7_document_fingerprints,
         op8_token_id_output,
         op9_mixing,
+        op10_pii,
     )
     return {f.__name__: f for f in found}
 
