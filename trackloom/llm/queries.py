@@ -15,6 +15,7 @@ from .pii import find_pii, spans_text
 from .quality import held_out, score_quality, train
 from .tables import new_path
 from .token_files import read_index, write_tokens
+from .warc import PAGES_SQL, archive_pages, archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(found.id.alias("doc_id"), found["item"].alias("item_id"), "start", found.words.alias("n_words"), "distance", "similarity")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(spark, archive_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op3_ngram_jaccard_join,
         op4_benchmark_decontamination,
+        op5_warc,
         op6_quality_classifier,
         op7_document_fingerprints,
         op8_token_id_output,
@@ -75,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIX_SQL}
+    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL}
