@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_facts
 from .decontaminate import find_leaks
 from .fingerprints import fingerprint_pairs
+from .licenses import scan_licenses
 from .mixing import MIX_SQL, mix
 from .near_duplicates import near_duplicates
 from .pii import find_pii, spans_text
@@ -22,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, whose texts hold the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_facts(rows.unionByName(more))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base, detected = F.transform("places", lambda p: p["label"]), F.transform("detections", lambda d: d["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        found.id.alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["word"])).alias("first_word"), F.array_max(F.transform("places", lambda p: p["word"])).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, detected)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links (other documents of similarity >= 0.8), n_text_links (different texts), n_copies."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -68,6 +90,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_chat_formatting,
+        op2_license_scan,
         op3_ngram_jaccard_join,
         op4_benchmark_decontamination,
         op5_warc,
