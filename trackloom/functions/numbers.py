@@ -16,7 +16,8 @@ def finite(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """x within the limits; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def clamp_or(x: Column, low: float, high: float, default: float) -> Column:

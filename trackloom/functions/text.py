@@ -118,7 +118,7 @@ def snapshot_name(x: Column, fallback: str = "snapshot") -> Column:
 
 
 def format_distance(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", x), F.lit(""))
+    return F.when(x.isNotNull(), F.format_string("%.3f", x)).otherwise("")
 
 
 def format_size(n: Column) -> Column:
