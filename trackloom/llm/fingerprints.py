@@ -11,12 +11,15 @@ value, the lower half is the hash of word and t. So one aggregation makes all sa
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import range_bucket, range_edges
 
-SAMPLES = 32
+SAMPLES, CELLS = 32, 4096
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,20 +67,47 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << width))
 
 
+def gamma_quantiles(cells: int) -> list[float]:
+    """Quantiles k / cells of Gamma(2, 1), k from 0, by bisection of 1 - (1 + x) exp(-x); the last cell ends at its own middle's square."""
+    out = [0.0]
+    for k in range(1, cells + 1):
+        p = k / cells if k < cells else 1 - 1 / (8 * cells)
+        low, high = 0.0, 64.0
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
+        out.append((low + high) / 2)
+    return out
+
+
+@lru_cache(maxsize=1)
+def quantile_tables() -> tuple[str, str]:
+    """The quantiles and their logarithms as text: small expressions that Catalyst folds into array literals."""
+    found = gamma_quantiles(CELLS)
+    return ",".join(map(repr, found)), ",".join(repr(math.log(x)) if x else "0.0" for x in found)
+
+
 def candidates(term: Column, logs: list[Column], absent: list[Column], k: int) -> list[Column]:
     """The packed candidates of a word for sample k, one for each weight.
 
-    logs: ln of the weights (0 for weight 0); absent: 0, or ABSENT for weight 0, whose rank then is RANKS. There are no branches, so
-    what the weights share is computed once.
+    logs: ln of the weights (0 for weight 0); absent: 0, or ABSENT for weight 0, whose rank then is RANKS. What the weights share is
+    computed once. Gamma variates come from hashed uniforms by their quantile function, interpolated in a table of CELLS cells; in the
+    lowest cell, where ln c falls without bound, from its series, c = sqrt(2 p).
     """
+    plain, logarithms = (F.split(F.lit(t), ",").cast("array<double>") for t in quantile_tables())
 
     def bits(x: Column, right: int, width: int) -> Column:
         return F.shiftrightunsigned(x, right).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
+    def interpolated(table: Column, cell: Column, share: Column) -> Column:
+        low = F.get(table, cell)
+        return low + (F.get(table, cell + 1) - low) * share
+
     one, two = (F.xxhash64(term.bitwiseXOR(F.lit((2 * k + j + 101) << 40).cast("bigint"))) for j in range(2))
-    c = F.ln(-F.ln(_uniform(bits(one, 0, 32), 32) * _uniform(bits(one, 32, 32), 32)))
-    r = -F.ln(_uniform(bits(two, 0, 24), 24) * _uniform(bits(two, 24, 24), 24))
-    b = _uniform(bits(two, 48, 16), 16)
+    cell, share = bits(one, 52, 12).cast("int"), _uniform(bits(one, 0, 52), 52)
+    c = F.when(cell > 0, interpolated(logarithms, cell, share)).otherwise(0.5 * F.ln(share * (2.0 / CELLS)))
+    r = interpolated(plain, bits(two, 52, 12).cast("int"), _uniform(bits(two, 24, 28), 28))
+    b = _uniform(bits(two, 0, 24), 24)
     out = []
     for log, gone in zip(logs, absent, strict=True):
         t = F.floor(log / r + b)

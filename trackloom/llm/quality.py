@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Block, blocks
-from .tables import map_arrow
+from .tables import hashed_sample, map_arrow
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -230,11 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
     known = known.join(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id")).distinct(), "id", "left_semi")
-    chosen = known.orderBy(F.xxhash64(F.col("id"), F.lit(6)), "id").limit(sample).select("id", "y")
-    rows = [(r.id, r.y) for r in chosen.toLocalIterator()]
-    if not rows:
+    picked = hashed_sample(known.select("id", "y"), "id", sample, seed=6)
+    if picked.isEmpty():
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    picked = F.broadcast(docs.sparkSession.createDataFrame(rows, "id bigint, y int"))  # at most ``sample`` rows
+    picked = F.broadcast(picked)  # at most ``sample`` rows
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     measured = map_arrow(texts.join(picked, "id").select("id", "y", "text"), features(["id", "y"]), "id bigint, y int, x array<double>")
     told = sorted((r.id, r.y, tuple(r.x)) for r in measured.toLocalIterator())[: 2 * sample]

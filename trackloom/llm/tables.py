@@ -73,6 +73,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most n rows of a table of single columns, those of the smallest hashes of the key: a local table of bounded size.
+
+    Rows are first thinned by the hash to about twice as many, so that no task sorts more than that.
+    """
+    total = df.count()
+    if total > 4 * n:
+        df = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < F.lit(int((1 << 40) * 2.0 * n / total)))
+    rows = df.orderBy(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)), *df.columns).limit(n).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def range_edges(df: DataFrame, key: str, pieces: int) -> list:
     """Up to pieces-1 ascending split values of an orderable key, from its approximate percentiles: a list of bounded length."""
     if pieces < 2:

@@ -17,6 +17,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import U, blocks, mix, powers
-from .tables import map_arrow, range_bucket, range_edges
+from .tables import hashed_sample, map_arrow, range_bucket, range_edges
 
 SAMPLE, DICTIONARY_BYTES, SHARD_BYTES, PIECES, LEVEL, END_ID = 2000, 64 << 10, 4 << 20, 64, 3, 0
 #: Pieces of text whose ids a Python worker keeps at most, before it starts afresh.
-KEPT = 400_000
+KEPT = 2_500_000
 IDS = "id bigint, n bigint, frame binary"
 SHARDS = "piece int, seq bigint, dictionary_sha256 string, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -43,9 +44,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions that begin a word of the byte-level pre-tokenizer whatever surrounds them.
 
-    These are: an ASCII space or line end after a visible character (ASCII, or a letter of the Latin-1 block), an
-    ASCII mark after an ASCII letter or digit, and every document's begin. No pre-token spans such a position and none looks across it,
-    so the pieces between them can be encoded one by one.
+    These are: an ASCII space or line end after a visible character (ASCII, or a letter of the Latin-1 block), an ASCII mark after an ASCII
+    letter or digit or a letter of the Latin-1 block, a visible ASCII character after a line end that itself follows a visible one, and every document's
+    begin. No pre-token spans such a position and none looks across it, so the pieces between them can be encoded one by one.
     """
     visible, alnum = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
     visible[0x21:0x7F] = True
@@ -53,9 +54,13 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(raw)
     start = np.zeros(n, dtype=bool)
     if n > 1:
-        seen = visible[raw]
-        seen[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
-        start[1:] = (((raw[1:] == 0x20) | (raw[1:] == 0x0A)) & seen[:-1]) | (visible[raw[1:]] & ~alnum[raw[1:]] & alnum[raw[:-1]])
+        letter = np.zeros(n, dtype=bool)  # the last byte of a letter from U+00C0 to U+00FF
+        letter[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        seen, own = visible[raw], alnum[raw]
+        mark = seen & ~own
+        line = raw == 0x0A
+        start[1:] = (((raw[1:] == 0x20) | line[1:]) & (seen | letter)[:-1]) | (mark[1:] & (own | letter)[:-1])
+        start[2:] |= seen[2:] & line[1:-1] & (seen | letter)[:-2]
     start[offsets[:-1][offsets[:-1] < n]] = True
     return np.flatnonzero(start)
 
@@ -71,18 +76,21 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.ids = np.zeros(0, dtype=U), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.keys, self.begin, self.length = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Adds ascending new keys with the ids of their texts; ids go to the end of one growing array."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.concatenate([np.diff(self.at), [len(x) for x in found]]).astype(np.int64)
-        flat = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.uint32)])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, lengths, starts = keys[order], lengths[order], starts[:-1][order]
-        self.at = np.concatenate([[0], np.cumsum(lengths)])
-        self.ids = flat[np.arange(self.at[-1]) - np.repeat(self.at[:-1], lengths) + np.repeat(starts, lengths)]
+        length = np.array([len(x) for x in found], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(length.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        begin = self.used + np.cumsum(length) - length
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.length = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.length, at, length)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents in order, and where each document's ids begin."""
@@ -104,9 +112,9 @@ class Encoder:
             self.learn(distinct[~known], [data[a:b].decode() for a, b in zip(starts[new], ends[new], strict=True)])
             place = np.searchsorted(self.keys, distinct)
         place = place[which]
-        lengths = self.at[place + 1] - self.at[place]
+        lengths = self.length[place]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(upto[-1]) - np.repeat(upto[:-1], lengths) + np.repeat(self.at[place], lengths)]
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.begin[place] - upto[:-1], lengths)]
         return ids, upto[np.searchsorted(starts, offsets)]
 
 
@@ -122,7 +130,7 @@ def encoder(path: str) -> Encoder:
 
 def serialized(column: pa.Array, path: str, end_id: int) -> Iterator[bytes]:
     """Each text's ids with the end id, as bytes."""
-    for block in blocks(column, lower=False):
+    for block in blocks(column, size=4 << 20, lower=False):
         ids, at = encoder(path).encode(block.data, block.offsets)
         for a, b in zip(at[:-1], at[1:], strict=True):
             yield np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes()
@@ -137,8 +145,8 @@ def frames(path: str, end_id: int, dictionary: bytes, level: int) -> Callable:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
                 found, sizes = [], []
                 for raw in serialized(part.column(1), path, end_id):
                     sizes.append(len(raw) // 4)
@@ -183,8 +191,10 @@ def train(texts: DataFrame, path: str, end_id: int, sample: int, size: int) -> b
     """A dictionary of the id arrays of at most ``sample`` documents; empty where there is too little to train on."""
     import zstandard
 
-    chosen = texts.orderBy(F.xxhash64(F.col("id"), F.lit(8)), "id").limit(sample).select(F.substring("text", 1, 20_000).alias("text"))
-    raw = [x for row in chosen.toLocalIterator() for x in serialized(pa.array([row.text]), path, end_id)]
+    wanted = hashed_sample(texts.select("id").where("id is not null"), "id", sample, seed=8)
+    picked = texts.join(F.broadcast(wanted), "id", "left_semi").select("id", F.substring("text", 1, 20_000).alias("text"))
+    chosen = sorted((row.id, row.text) for row in picked.collect())[: 2 * sample]
+    raw = [x for _, text in chosen for x in serialized(pa.array([text]), path, end_id)]
     try:
         return zstandard.train_dictionary(size, raw).as_bytes()
     except zstandard.ZstdError:
