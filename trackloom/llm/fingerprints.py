@@ -5,116 +5,44 @@ uniform distribution, all from hashes of (word, k); with weight w it has t = flo
 ln c - r * (t - b + 1), and the word of the least value, with its t, is the sample. Two bags have equal samples with
 probability sum(min) / sum(max) of their weights, the generalised Jaccard similarity, so the share of equal samples estimates it.
 
-Words are counted in the row (sorted hashes, run lengths), and the samples are minima of packed longs: the upper half orders the
-value, the lower half is the hash of word and t. So one aggregation makes all samples, without a shuffle of words.
+Texts meet their successors in buckets of id ranges; from there on all steps group by rows of one bucket, so nothing is
+shuffled twice: words are counted by (text, word), each word's samples are drawn ``CHUNK`` at a time, and samples are minima of
+packed longs, the upper half of which orders the value while the lower half is the hash of word and t.
 """
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import range_bucket, range_edges
 
-SAMPLES, CELLS = 32, 4096
+SAMPLES, CHUNK = 32, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Constants of the fixed-point rank: the value is at least -128.
+LOWEST, STEPS = 128.0, 8388608.0
 
 
-def term_hashes(text: Column, tag: int) -> Column:
-    """An array of a hash for each word, with its lowest bit set to the tag."""
-    words = F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
-    return F.transform(words, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1) + F.lit(tag).cast("bigint"))
-
-
-def weights(first: Column, second: Column) -> Column:
-    """An array of (term, w0, w1): how often each word occurs in the first and in the second text."""
-    both = F.sort_array(F.concat(term_hashes(first, 0), term_hashes(second, 1)))
-
-    def runs(a: Column) -> Column:
-        last = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i) != F.get(a, i - 1)))
-        return F.when(F.size(a) > 0, last).otherwise(F.array().cast("array<int>"))
-
-    def merged(a: Column, ends: Column) -> Column:
-        def value(j: Column) -> Column:
-            return F.get(a, F.get(ends, j) - 1)
-
-        def length(j: Column) -> Column:
-            return F.get(ends, j) - F.coalesce(F.get(ends, j - 1), F.lit(0))
-
-        def one(_: Column, j: Column) -> Column:
-            tagged = (value(j).bitwiseAND(F.lit(1)) == 1).cast("int")
-            own, after = value(j), F.get(a, F.get(ends, j))
-            follows = (tagged == 0) & (after == own + 1)
-            leads = ~((tagged == 1) & F.coalesce(F.get(a, F.coalesce(F.get(ends, j - 1), F.lit(0)) - 1) == own - 1, F.lit(False)))
-            w0 = F.when(tagged == 0, length(j)).otherwise(0)
-            w1 = F.when(tagged == 1, length(j)).when(follows, length(j + 1)).otherwise(0)
-            return F.when(leads, F.struct(F.shiftright(own, 1).alias("term"), w0.alias("w0"), w1.alias("w1")))
-
-        return F.filter(F.transform(ends, one), lambda x: x.isNotNull())
-
-    # nested single-element transforms bind the sorted array and its run ends once
-    return F.flatten(F.transform(F.array(both), lambda a: F.flatten(F.transform(F.array(runs(a)), lambda e: merged(a, e)))))
-
-
-#: Constants of the fixed-point rank: the value is at least -128, and RANKS stands for a word that isn't there.
-LOWEST, STEPS, RANKS, ABSENT = 128.0, 8388608.0, (1 << 31) - 1, 1000.0
+def uniform(bits: Column, right: int, width: int) -> Column:
+    """The given bits of a hash as a number between 0 and 1, never either."""
+    part = F.shiftrightunsigned(bits, right).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    return (part + F.lit(0.5)) * F.lit(1.0 / (1 << width))
 
 
-def _uniform(bits: Column, width: int) -> Column:
-    return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << width))
+def draws(term: Column, chunk: Column, j: int) -> list[Column]:
+    """r{j}, c{j}, b{j} of a word for sample chunk * CHUNK + j; c as its logarithm. Gamma(2, 1) is minus the log of two uniforms' product."""
+    one, two = (F.xxhash64(term.bitwiseXOR(F.shiftleft(chunk.cast("bigint"), 48)), F.lit(2 * j + i)) for i in range(2))
+    r = -F.ln(uniform(one, 0, 32) * uniform(one, 32, 32))
+    c = F.ln(-F.ln(uniform(two, 0, 21) * uniform(two, 21, 21)))
+    return [r.alias(f"r{j}"), c.alias(f"c{j}"), uniform(two, 42, 22).alias(f"b{j}")]
 
 
-def gamma_quantiles(cells: int) -> list[float]:
-    """Quantiles k / cells of Gamma(2, 1), k from 0, by bisection of 1 - (1 + x) exp(-x); the last cell ends at its own middle's square."""
-    out = [0.0]
-    for k in range(1, cells + 1):
-        p = k / cells if k < cells else 1 - 1 / (8 * cells)
-        low, high = 0.0, 64.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
-        out.append((low + high) / 2)
-    return out
-
-
-@lru_cache(maxsize=1)
-def quantile_tables() -> tuple[str, str]:
-    """The quantiles and their logarithms as text: small expressions that Catalyst folds into array literals."""
-    found = gamma_quantiles(CELLS)
-    return ",".join(map(repr, found)), ",".join(repr(math.log(x)) if x else "0.0" for x in found)
-
-
-def candidates(term: Column, logs: list[Column], absent: list[Column], k: int) -> list[Column]:
-    """The packed candidates of a word for sample k, one for each weight.
-
-    logs: ln of the weights (0 for weight 0); absent: 0, or ABSENT for weight 0, whose rank then is RANKS. What the weights share is
-    computed once. Gamma variates come from hashed uniforms by their quantile function, interpolated in a table of CELLS cells; in the
-    lowest cell, where ln c falls without bound, from its series, c = sqrt(2 p).
-    """
-    plain, logarithms = (F.split(F.lit(t), ",").cast("array<double>") for t in quantile_tables())
-
-    def bits(x: Column, right: int, width: int) -> Column:
-        return F.shiftrightunsigned(x, right).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-
-    def interpolated(table: Column, cell: Column, share: Column) -> Column:
-        low = F.get(table, cell)
-        return low + (F.get(table, cell + 1) - low) * share
-
-    one, two = (F.xxhash64(term.bitwiseXOR(F.lit((2 * k + j + 101) << 40).cast("bigint"))) for j in range(2))
-    cell, share = bits(one, 52, 12).cast("int"), _uniform(bits(one, 0, 52), 52)
-    c = F.when(cell > 0, interpolated(logarithms, cell, share)).otherwise(0.5 * F.ln(share * (2.0 / CELLS)))
-    r = interpolated(plain, bits(two, 52, 12).cast("int"), _uniform(bits(two, 24, 28), 28))
-    b = _uniform(bits(two, 0, 24), 24)
-    out = []
-    for log, gone in zip(logs, absent, strict=True):
-        t = F.floor(log / r + b)
-        rank = F.least((c - r * (t - b + 1.0) + gone + F.lit(LOWEST)) * F.lit(STEPS), F.lit(float(RANKS))).cast("bigint")
-        own = term.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
-        out.append(F.shiftleft(rank, 32).bitwiseOR(own))
-    return out
+def packed(term: Column, log: Column, r: Column, c: Column, b: Column) -> Column:
+    """The candidate of a word whose weight has the given logarithm; null where it is null."""
+    t = F.floor(log / r + b)
+    rank = ((c - r * (t - b + 1.0) + F.lit(LOWEST)) * F.lit(STEPS)).cast("bigint")
+    own = term.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+    return F.shiftleft(rank, 32).bitwiseOR(own)
 
 
 def in_order(texts: DataFrame) -> DataFrame:
@@ -168,21 +96,28 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = ordered.withColumn("n_chars", n.cast("bigint"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     ordered = ordered.withColumn("edited", edited)
-    rows = ordered.select("bucket", "guest", "row", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline_outer(weights(F.col("text"), F.col("edited"))))
-    keys = ["bucket", "guest", "row", "id", "n_chars", "edited_sha256"]
-    present = lambda w: F.coalesce(F.col(w), F.lit(0))
-    rows = rows.select(
-        *keys, F.coalesce("term", F.lit(0).cast("bigint")).alias("term"),
-        *[F.ln(F.greatest(present(w), F.lit(1)).cast("double")).alias(f"log_{w}") for w in ("w0", "w1")],
-        *[F.when(present(w) > 0, 0.0).otherwise(ABSENT).alias(f"absent_{w}") for w in ("w0", "w1")],
-    )
-    logs, absent = [F.col("log_w0"), F.col("log_w1")], [F.col("absent_w0"), F.col("absent_w1")]
-    samples = [F.min(x).alias(f"{w}_{k}") for k in range(SAMPLES) for w, x in zip(("w0", "w1"), candidates(F.col("term"), logs, absent, k), strict=True)]
-    drawn = rows.groupBy(*keys).agg(*samples)
+    # fixed-width facts of a text go along as first(), so the keys stay short: the digest as four longs
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    parts = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"sha{k}") for k in range(4)]
+    keys, facts = ["bucket", "row"], ["guest", "id", "n_chars", *(f"sha{k}" for k in range(4))]
+    first = [F.first(x).alias(x) for x in facts]
+    both = ordered.select("bucket", "row", "guest", "id", "n_chars", "text", "edited", *parts)
+    both = both.select(*keys, *facts, F.explode(F.array(F.struct(F.lit(0).alias("tag"), F.col("text").alias("of")), F.struct(F.lit(1).alias("tag"), F.col("edited").alias("of")))).alias("x"))
+    words = both.select(*keys, *facts, "x.tag", F.explode(F.split(F.lower("x.of"), SEPARATORS)).alias("word"))
+    # the empty word stands for the text itself: it carries a text without words through and is never a sample
+    counted = words.select(*keys, *facts, "tag", F.when(F.col("word") != "", F.xxhash64("word")).otherwise(0).alias("term"))
+    counted = counted.groupBy(*keys, "term").agg(*first, *[F.count_if(F.col("tag") == k).alias(f"w{k}") for k in range(2)])
+    logs = [F.when((F.col("term") != 0) & (F.col(w) > 0), F.ln(F.col(w).cast("double"))).alias(f"log_{w}") for w in ("w0", "w1")]
+    chunks = counted.select(*keys, *facts, "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // CHUNK - 1))).alias("chunk"))
+    drawn = chunks.select("*", *[x for j in range(CHUNK) for x in draws(F.col("term"), F.col("chunk"), j)])
+    least = [F.min(packed(F.col("term"), F.col(f"log_{w}"), *(F.col(f"{x}{j}") for x in "rcb"))).alias(f"{w}_{j}") for j in range(CHUNK) for w in ("w0", "w1")]
+    drawn = drawn.groupBy(*keys, "chunk").agg(*first, *least)
     low = F.lit((1 << 32) - 1).cast("bigint")
-    taken = lambda c: F.when(F.shiftright(F.col(c), 32) < F.lit(RANKS), F.col(c).bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
-    lists = [F.array(*[taken(f"{w}_{k}") for k in range(SAMPLES)]).alias(w) for w in ("w0", "w1")]
-    drawn = drawn.select(*keys, *lists)
+    taken = lambda w: F.array(*[F.coalesce(F.col(f"{w}_{j}").bitwiseAND(low), F.lit(0).cast("bigint")) for j in range(CHUNK)])
+    drawn = drawn.groupBy(*keys).agg(*first, F.sort_array(F.collect_list(F.struct("chunk", taken("w0").alias("w0"), taken("w1").alias("w1")))).alias("all"))
+    lists = [F.flatten(f"all.{w}").alias(w) for w in ("w0", "w1")]
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"sha{k}")), 16, "0") for k in range(4)])
+    drawn = drawn.select("bucket", "guest", "row", "id", "n_chars", sha.alias("edited_sha256"), *lists)
     following = F.lead("w0").over(Window.partitionBy("bucket").orderBy("row"))
     drawn = drawn.withColumn("following", following).where(~F.col("guest"))
     return drawn.select(
