@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -122,6 +123,51 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert all(got[k, k] == (40, 1.0) for k in range(20)) and 0.8 <= got[50, 5][1] < 1
 
 
+def every_leak(docs, items) -> dict:
+    """(doc, item) -> the greatest similarity of all windows, at least 0.8; weights are counted over all items."""
+    parts = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    split = {(k, t): re.findall(WORDS, lower(t)) for k, t in items}
+    seen = Counter(s for w in split.values() for s in set(parts(w)))
+    weight = {s: math.log1p(len(split) / n) for s, n in seen.items()}
+    found = {}
+    for doc, text in docs:
+        words = re.findall(WORDS, lower(text))
+        for (item, _), own in split.items():
+            if not set(parts(words)) & set(parts(own)):
+                continue
+            have, size = Counter(parts(own)), min(len(own), len(words))
+            for k in range(len(words) - size + 1):
+                shared = Counter(parts(words[k : k + size])) & have
+                got = sum(weight[s] * c for s, c in shared.items()) / sum(weight[s] * c for s, c in have.items())
+                if got >= 0.8 - 1e-12:
+                    found[doc, item] = max(got, found.get((doc, item), 0))
+    return found
+
+
+def awkward_leaks():
+    """Items with boilerplate and repetition; documents with truncated items, and with only the rare half of an item."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    common = text(60)
+    items = [(k, text(15 + 2 * k)) for k in range(40)] + [(100 + k, f"{text(60)} {common}") for k in range(60)] + [(200, f"{text(9)} {'again and ' * 20}{text(9)}")]
+    docs = []
+    for k, (_, own) in enumerate(items):
+        words = own.split()
+        part = words[: len(words) // 2 + 4] if k in range(40, 100) else words[: -(-len(words) * 17 // 20)]
+        docs.append((k, f"{text(20 + k)} {' '.join(part)} {text(30)}"))
+    return [*docs, (900, text(300)), (901, f"{text(9)} {common} {text(9)}"), (902, "again and " * 60)], items
+
+
+def test_leaks_are_all_windows_above_the_threshold(spark):
+    from trackloom.llm.decontaminate import find_leaks
+
+    docs, items = awkward_leaks()
+    want = every_leak(docs, items)
+    found = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(want) > 90 and sum(40 <= k < 100 for k, _ in want) > 50
+    assert {(r.id, r.item): pytest.approx(r.similarity) for r in found} == want and len(found) == len(want)
+
+
 @pytest.mark.parametrize("name", ["op5_warc", "op9_mixing"])
 def test_sql(spark, name):
     assert differences(spark, connect(SMALL), q.queries()[name], q.oracle_sql()[name], SMALL) == []

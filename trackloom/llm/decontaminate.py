@@ -1,17 +1,17 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: exact weighted-shingle similarity of item-sized windows, found by an index of rare shingles.
 
-For each benchmark item of n words, windows of n words of a document are compared with it:
+For each benchmark item of n words, windows of n words of a document are compared with it. A window's similarity is the weight of the
+shingles that it and the item share, with multiplicity, over the weight of the item's shingles. A shingle weighs
+log(1 + items / items with it), so boilerplate of many items counts less.
 
-1. A window's SimHash is the sign of the summed word votes (64 bits), so windows that share most words have near fingerprints.
-2. Fingerprints are cut into ``RADIUS + 1`` blocks. Two fingerprints that differ in at most ``RADIUS`` bits agree in at least
-   one block, so looking up each block in an index of the items' blocks finds every item within the radius; the full distance is then checked.
-3. Every candidate is verified exactly: the weight of the shingles that window and item share, with multiplicity, over the weight of
-   the item's shingles. A shingle weighs log(1 + items / items with it), so boilerplate of many items counts less.
+1. Of each item the rarest shingles that together weigh more than 1 - ``threshold`` of it are indexed. A window that has none of them
+   is below the threshold, so looking up a document's shingles finds every item that it may hold.
+2. The similarity of all windows with each such item is computed at once: an occurrence of a shingle counts for the windows in which
+   fewer than the item's number of occurrences precede it, so it adds its weight to one range of window starts.
+3. Of equally similar windows the nearest by SimHash wins: the sign of the summed word votes (64 bits) of window and item, and
+   ``distance`` is the number of different bits. SimHash decides nothing else: no distance bound is implied by a similarity.
 
-A similarity of at least ``threshold`` > 0 needs a shared shingle, so windows are made only where they overlap a shingle of an item
-of their size; this leaves out no window that step 3 could accept. Texts are read whole.
-
-Items are broadcast in portions of at most ``PORTION_WORDS`` words; a larger benchmark takes more passes over the documents.
+Texts are read whole. Items are broadcast in portions of at most ``PORTION_WORDS`` words; a larger benchmark takes more passes over the documents.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bytetext import U, Block, blocks, mix
 from .tables import map_arrow
 
-NGRAM, THRESHOLD, RADIUS, PORTION_WORDS = 5, 0.8, 15, 1_000_000
+NGRAM, THRESHOLD, PORTION_WORDS = 5, 0.8, 1_000_000
 SCHEMA = "id bigint, item bigint, start bigint, words bigint, distance bigint, similarity double"
 
 
@@ -44,109 +44,109 @@ def fingerprints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
     return np.packbits(total[starts + size] - total[starts] > 0, axis=1).reshape(-1, 8).copy().view(U).reshape(-1)
 
 
-def hamming_blocks(radius: int) -> list[tuple[U, U]]:
-    """(shift, mask) of radius + 1 blocks that cover 64 bits."""
-    at = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(U(a), U((1 << (b - a)) - 1)) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 @dataclass
 class Item:
     item: int
     words: int
     fingerprint: U
-    shingles: dict[int, int]  # with multiplicity
+    shingles: np.ndarray  # ascending
+    counts: np.ndarray  # of each shingle
+    weights: np.ndarray  # of each shingle once
     weight: float
 
 
 class Index:
-    """Items by size; for each size an index of their fingerprint blocks, and the shingles of all items of that size."""
+    """Items, and their rare shingles with the item of each."""
 
-    def __init__(self, items: list[tuple[int, str]], ngram: int, radius: int, weights: dict[int, float], top: float):
-        self.radius, self.ngram, self.blocks, self.weights, self.top = radius, ngram, hamming_blocks(radius), weights, top
-        self.by_size: dict[int, list[Item]] = {}
+    def __init__(self, items: list[tuple[int, str]], ngram: int, threshold: float, weights: tuple[np.ndarray, np.ndarray]):
+        self.ngram, self.items = ngram, []
+        rare, owner = [], []
+        known, value = weights
         for key, text in items:
             block = words_of(text, ngram)
-            if not len(block.words):
-                continue
             n = len(block.words)
-            values, counts = np.unique(block.shingles, return_counts=True)
-            shingles = dict(zip(values.tolist(), counts.tolist(), strict=True))
-            weight = sum(weights.get(s, top) * c for s, c in shingles.items())
-            self.by_size.setdefault(n, []).append(Item(key, n, fingerprints(block.words, np.zeros(1, dtype=np.int64), n)[0], shingles, weight))
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        for n, own in self.by_size.items():
-            tables: list[dict[int, list[int]]] = [{} for _ in self.blocks]
-            for k, item in enumerate(own):
-                for table, (shift, mask) in zip(tables, self.blocks, strict=True):
-                    table.setdefault(int((item.fingerprint >> shift) & mask), []).append(k)
-            self.tables[n] = tables
-        pairs = sorted({(s, n) for n, own in self.by_size.items() for item in own for s in item.shingles})
-        self.shingle = np.array([s for s, _ in pairs], dtype=U)
-        self.size = np.array([n for _, n in pairs], dtype=np.int64)
+            if not n:
+                continue
+            shingles, counts = np.unique(block.shingles, return_counts=True)
+            each = value[np.searchsorted(known, shingles)]
+            weight = float((each * counts).sum())
+            order = np.argsort(-each, kind="stable")
+            sums = np.cumsum((each * counts)[order])
+            taken = int(np.searchsorted(sums, (1 - threshold) * weight + 1e-9 * weight, side="right")) + 1
+            rare.append(shingles[order[:taken]])
+            owner.append(np.full(len(rare[-1]), len(self.items)))
+            self.items.append(Item(key, n, fingerprints(block.words, np.zeros(1, dtype=np.int64), n)[0], shingles, counts, each, weight))
+        shingle = np.concatenate(rare) if rare else np.zeros(0, dtype=U)
+        order = np.argsort(shingle, kind="stable")
+        self.shingle, self.owner = shingle[order], (np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64))[order]
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.shingle >> U(42)).astype(np.int64)] = True
 
-    def candidates(self, found: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-        """(window, item, distance) of all items of n words within the radius of each fingerprint."""
-        own = self.by_size[n]
-        prints = np.array([item.fingerprint for item in own], dtype=U)
-        for w, value in enumerate(found):
-            near: set[int] = set()
-            for table, (shift, mask) in zip(self.tables[n], self.blocks, strict=True):
-                near.update(table.get(int((value >> shift) & mask), ()))
-            picked = np.array(sorted(near), dtype=np.int64)
-            if len(picked):
-                distance = np.bitwise_count(prints[picked] ^ value)
-                for k, d in zip(picked[distance <= self.radius].tolist(), distance[distance <= self.radius].tolist(), strict=True):
-                    yield w, k, d
-
 
 def words_of(text: str, ngram: int) -> Block:
     return next(blocks(pa.array([text or ""]), size=1 << 62)).find_words().hash_words().hash_shingles(ngram)
 
 
-def similarity(window: np.ndarray, item: Item, index: Index) -> float:
+def similarities(order: np.ndarray, values: np.ndarray, span: int, starts: int, item: Item) -> np.ndarray:
+    """Of each window of ``span`` shingles, the shared weight over the item's.
+
+    values: the document's shingles, ascending; order: their places.
+    """
+    low, high = np.searchsorted(values, item.shingles, side="left"), np.searchsorted(values, item.shingles, side="right")
+    shared = np.zeros(starts + 1)
+    for k in np.flatnonzero(high > low).tolist():
+        places, count = order[low[k] : high[k]], int(item.counts[k])
+        first = np.maximum(0, places - span + 1)
+        if len(places) > count:  # a window that holds as many earlier occurrences has its share of this shingle
+            first[count:] = np.maximum(first[count:], places[:-count] + 1)
+        last = np.minimum(places, starts - 1)
+        on = first <= last
+        np.add.at(shared, first[on], item.weights[k])
+        np.subtract.at(shared, last[on] + 1, item.weights[k])
+    return np.cumsum(shared[:-1]) / item.weight
+
+
+def similarity(window: np.ndarray, item: Item) -> float:
     """Shared weight over the item's weight; window: the shingles in it."""
     values, counts = np.unique(window, return_counts=True)
-    shared = sum(min(c, item.shingles[v]) * index.weights.get(v, index.top) for v, c in zip(values.tolist(), counts.tolist(), strict=True) if v in item.shingles)
-    return shared / item.weight if item.weight else 0.0
+    at = np.minimum(np.searchsorted(values, item.shingles), len(values) - 1)
+    shared = np.where(values[at] == item.shingles, np.minimum(counts[at], item.counts), 0)
+    return float((shared * item.weights).sum() / item.weight)
 
 
 def matches(block: Block, d: int, hits: np.ndarray, index: Index, threshold: float) -> dict[int, tuple[int, int, int, float]]:
     """Of one document, the best window of each item: item -> (start, words, distance, similarity).
 
-    hits: places of the document's shingles that items have. The nearest of equally similar windows wins, then the first.
+    hits: places of the document's shingles that are indexed. The nearest of equally similar windows wins, then the first.
     """
     words = block.words[block.word_at[d] : block.word_at[d + 1]]
     own = block.shingles[block.shingle_at[d] : block.shingle_at[d + 1]]
-    low, high = np.searchsorted(index.shingle, own[hits], side="left"), np.searchsorted(index.shingle, own[hits], side="right")
-    at_size: dict[int, list[int]] = {}
-    for place, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
-        for n in index.size[a:b].tolist():
-            at_size.setdefault(n, []).append(place)
+    found = np.unique(own[hits])
+    low, high = np.searchsorted(index.shingle, found, side="left"), np.searchsorted(index.shingle, found, side="right")
+    order = np.argsort(own, kind="stable")
+    values = own[order]
     best: dict[int, tuple[int, int, int, float]] = {}
-    for n, places in at_size.items():
-        size = min(n, len(words))  # a shorter document is one window
-        span = min(index.ngram, n)
-        cover = np.zeros(max(1, len(words) - size + 1) + 1, dtype=np.int64)
-        at = np.array(places)
-        np.add.at(cover, np.maximum(0, at + span - size), 1)
-        np.add.at(cover, np.minimum(at, len(cover) - 2) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        first = starts[0] if len(starts) else 0
-        for chunk in np.array_split(starts, max(1, len(starts) // 4096)):
-            if not len(chunk):
-                continue
-            first, last = chunk[0], chunk[-1] + size
-            prints = fingerprints(words[first:last], chunk - first, size)
-            for w, k, distance in index.candidates(prints, n):
-                item, start = index.by_size[n][k], int(chunk[w])
-                got = similarity(own[start : start + max(1, size - index.ngram + 1)], item, index)
-                if got >= threshold - 1e-12:
-                    old = best.get(item.item)
-                    if old is None or (-got, distance, start) < (-old[3], old[2], old[0]):
-                        best[item.item] = (start, size, distance, got)
+    for k in np.unique(np.concatenate([index.owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])).tolist():
+        item = index.items[k]
+        size = min(item.words, len(words))  # a shorter document is one window
+        span = max(1, size - index.ngram + 1)
+        got = similarities(order, values, span, max(1, len(words) - size + 1), item)
+        top = float(got.max())
+        if top < threshold - 1e-9:
+            continue
+        starts = np.flatnonzero(got >= top - 1e-9)
+        nearest: tuple[int, int] | None = None
+        for chunk in np.split(starts, np.flatnonzero(np.diff(starts // 4096)) + 1):
+            prints = fingerprints(words[chunk[0] : chunk[-1] + size], chunk - chunk[0], size)
+            distance = np.bitwise_count(prints ^ item.fingerprint)
+            at = int(np.argmin(distance))
+            if nearest is None or int(distance[at]) < nearest[0]:
+                nearest = int(distance[at]), int(chunk[at])
+        distance, start = nearest
+        exact = similarity(own[start : start + span], item)
+        old = best.get(item.item)
+        if exact >= threshold - 1e-12 and (old is None or (-exact, distance, start) < (-old[3], old[2], old[0])):
+            best[item.item] = (start, size, distance, exact)
     return best
 
 
@@ -198,7 +198,6 @@ def find_leaks(
     *,
     ngram: int = NGRAM,
     threshold: float = THRESHOLD,
-    radius: int = RADIUS,
     portion_words: int = PORTION_WORDS,
 ) -> DataFrame:
     """(id, item, start, words, distance, similarity): the best window of each item in each document that holds it.
@@ -215,9 +214,9 @@ def find_leaks(
         for _, text in items:
             for s in np.unique(words_of(text, ngram).shingles).tolist():
                 seen[s] = seen.get(s, 0) + 1
-        weights = {s: float(np.log1p(len(items) / c)) for s, c in seen.items()}
-        held = spark.sparkContext.broadcast((items, weights, float(np.log1p(len(items)))))
-        found.append(map_arrow(texts, scan(index_from(held, ngram, radius), threshold), SCHEMA))
+        known = np.array(sorted(seen), dtype=U)
+        held = spark.sparkContext.broadcast((items, (known, np.log1p(len(items) / np.array([seen[s] for s in known.tolist()], dtype=np.int64)))))
+        found.append(map_arrow(texts, scan(index_from(held, ngram, threshold), threshold), SCHEMA))
     if not found:
         return spark.createDataFrame([], SCHEMA)
     out = found[0]
@@ -226,10 +225,10 @@ def find_leaks(
     return out
 
 
-def index_from(held, ngram: int, radius: int) -> Callable[[], Index]:
+def index_from(held, ngram: int, threshold: float) -> Callable[[], Index]:
     def make() -> Index:
-        items, weights, top = held.value
-        return Index(items, ngram, radius, weights, top)
+        items, weights = held.value
+        return Index(items, ngram, threshold, weights)
 
     return make
 
