@@ -168,6 +168,18 @@ def test_leaks_are_all_windows_above_the_threshold(spark):
     assert {(r.id, r.item): pytest.approx(r.similarity) for r in found} == want and len(found) == len(want)
 
 
+def test_leaks_do_not_depend_on_portions(spark):
+    """Weights count the whole benchmark, and an item id with several texts is reported once, however the items are dealt out."""
+    from trackloom.llm.decontaminate import find_leaks
+
+    docs, items = awkward_leaks()
+    items = [*items, *[(k, f"{text} {text}") for k, text in items[:20]]]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, find_leaks(*tables).collect()))
+    assert len({r[:2] for r in whole}) == len(whole) > 0
+    assert sorted(map(tuple, find_leaks(*tables, portion_words=1500).collect())) == whole
+
+
 @pytest.mark.parametrize("name", ["op5_warc", "op9_mixing"])
 def test_sql(spark, name):
     assert differences(spark, connect(SMALL), q.queries()[name], q.oracle_sql()[name], SMALL) == []

@@ -2,7 +2,7 @@
 
 For each benchmark item of n words, windows of n words of a document are compared with it. A window's similarity is the weight of the
 shingles that it and the item share, with multiplicity, over the weight of the item's shingles. A shingle weighs
-log(1 + items / items with it), so boilerplate of many items counts less.
+log(1 + items / items with it), counted over the whole benchmark, so boilerplate of many items counts less.
 
 1. Of each item the rarest shingles that together weigh more than 1 - ``threshold`` of it are indexed. A window that has none of them
    is below the threshold, so looking up a document's shingles finds every item that it may hold.
@@ -11,7 +11,8 @@ log(1 + items / items with it), so boilerplate of many items counts less.
 3. Of equally similar windows the nearest by SimHash wins: the sign of the summed word votes (64 bits) of window and item, and
    ``distance`` is the number of different bits. SimHash decides nothing else: no distance bound is implied by a similarity.
 
-Texts are read whole. Items are broadcast in portions of at most ``PORTION_WORDS`` words; a larger benchmark takes more passes over the documents.
+Texts are read whole. Items are broadcast in portions of about ``PORTION_WORDS`` words, each with the weights of its own shingles; a
+larger benchmark takes more passes over the documents. All texts of an item id are in one portion.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, Block, blocks, mix
-from .tables import map_arrow
+from .tables import map_arrow, written
 
 NGRAM, THRESHOLD, PORTION_WORDS = 5, 0.8, 1_000_000
 SCHEMA = "id bigint, item bigint, start bigint, words bigint, distance bigint, similarity double"
@@ -173,19 +174,23 @@ def scan(index_of: Callable[[], Index], threshold: float) -> Callable:
     return run
 
 
-def portions(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, read one after the other, in lists of at most ``size`` words (one item at least)."""
-    held, used = [], 0
-    items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    for row in items.where("item is not null and text is not null").distinct().orderBy("item", "text").toLocalIterator():
-        n = row.text.count(" ") + 1
-        if held and used + n > size:
-            yield held
-            held, used = [], 0
-        held.append((row.item, row.text))
-        used += n
-    if held:
-        yield held
+def read_items(ngram: int) -> Callable:
+    """mapInArrow: (item, text) -> (item, text, words, shingles), the different shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                block.find_words().hash_words().hash_shingles(ngram)
+                sets = [np.unique(block.shingles[a:b]).view(np.int64) for a, b in zip(block.shingle_at[:-1], block.shingle_at[1:], strict=True)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))
+                n = block.last - block.first
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.first, n), batch.column(1).slice(block.first, n), pa.array(np.diff(block.word_at), pa.int64()), lists],
+                    ["item", "text", "words", "shingles"],
+                )
+
+    return run
 
 
 def find_leaks(
@@ -208,17 +213,24 @@ def find_leaks(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+    items = map_arrow(items.where("item is not null and text is not null").distinct(), read_items(ngram), "item bigint, text string, words bigint, shingles array<bigint>")
+    items = written(items, "items")
+    total, words = items.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    if not words:
+        return spark.createDataFrame([], SCHEMA)
+    n = -(-words // portion_words)
+    items = items.withColumn("portion", F.pmod(F.xxhash64("item"), F.lit(n)))
+    counts = items.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    used = written(items.select("portion", F.explode("shingles").alias("shingle")).distinct().join(counts, "shingle"), "item_shingles")
     found = []
-    for items in portions(benchmark, item_col, item_text_col, portion_words):
-        seen: dict[int, int] = {}
-        for _, text in items:
-            for s in np.unique(words_of(text, ngram).shingles).tolist():
-                seen[s] = seen.get(s, 0) + 1
-        known = np.array(sorted(seen), dtype=U)
-        held = spark.sparkContext.broadcast((items, (known, np.log1p(len(items) / np.array([seen[s] for s in known.tolist()], dtype=np.int64)))))
+    for k in range(n):
+        own = items.where(F.col("portion") == k).orderBy("item", "text").select("item", "text").collect()
+        facts = used.where(F.col("portion") == k).select("shingle", "n").toArrow()
+        shingle, seen = facts["shingle"].to_numpy().view(U), facts["n"].to_numpy()
+        order = np.argsort(shingle)
+        held = spark.sparkContext.broadcast(([(r.item, r.text) for r in own], (shingle[order], np.log1p(total / seen[order]))))
         found.append(map_arrow(texts, scan(index_from(held, ngram, threshold), threshold), SCHEMA))
-    if not found:
-        return spark.createDataFrame([], SCHEMA)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
