@@ -224,6 +224,27 @@ def test_fingerprints(spark, documents):
     assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.45
 
 
+def test_fingerprints_are_as_fine_as_64_samples(spark, documents):
+    """Over all pairs of next texts the error is that of 64 samples: at most sqrt(J (1 - J) / 64) each, and never near the old bound."""
+    from trackloom.llm.fingerprints import SAMPLES
+
+    got = {r.doc_id: r for r in q.op7_document_fingerprints(spark, SMALL).collect()}
+    bag = lambda t: Counter(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w)
+    errors, allowed = [], []
+    for k, (doc, text) in enumerate(documents):
+        after = documents[(k + 1) % len(documents)][1]
+        cut = len(text) // 4
+        for other, near in ((text[: len(text) - cut] + after[:cut], got[doc].near_edited), (after, got[doc].near_next)):
+            a, b = bag(text), bag(other)
+            if a or b:
+                true = sum((a & b).values()) / sum((a | b).values())
+                errors.append(near - true)
+                allowed.append(true * (1 - true) / 64)
+    assert SAMPLES >= 64 and all(len(r.fingerprint) == 8 * SAMPLES for r in got.values())
+    assert max(map(abs, errors)) < 0.25
+    assert sum(e * e for e in errors) < 1.3 * sum(allowed)
+
+
 def test_token_files(spark, documents):
     from tokenizers import Tokenizer
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .tables import range_bucket, range_edges
 
-SAMPLES, CHUNK = 32, 8
+SAMPLES, CHUNK = 64, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Constants of the fixed-point rank: the value is at least -128.
 LOWEST, STEPS = 128.0, 8388608.0
