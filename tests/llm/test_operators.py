@@ -108,6 +108,20 @@ def test_near_duplicates_in_large_groups(spark):
     assert {r.id: r.n_links for r in found} == want
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    """Near copies of unequal texts under one repeated id or null ids are one class; other texts under the same ids stay."""
+    from trackloom.llm.near_duplicates import keep_one
+
+    rng = random.Random(8)
+    bases = [[f"c{k}w{rng.randrange(900)}" for _ in range(80)] for k in range(8)]
+    near = lambda k, j: " ".join([*bases[k][:-1], f"end{j}"])
+    ids = [lambda j: 7, lambda j: None, lambda j: 7 if j % 2 else None, lambda j: 7, lambda j: 100 + j, lambda j: None, lambda j: 7 if j else None, lambda j: j]
+    rows = [(ids[k](j % 4), near(k, j % 4), k) for k in range(8) for j in range(6)]  # two texts of each class twice
+    kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, class int")).collect()
+    assert sorted(r["class"] for r in kept) == list(range(8))
+    assert {r["class"]: r.doc_id for r in kept} == {0: 7, 1: None, 2: 7, 3: 7, 4: 100, 5: None, 6: 7, 7: 0}
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     from trackloom.llm.decontaminate import find_leaks
 

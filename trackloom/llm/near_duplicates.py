@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, Block, blocks, mix, powers
@@ -32,7 +32,7 @@ from .tables import map_arrow, written
 
 NGRAM, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 20, 4, 1e-6
 BLOCK, VERIFY_BLOCK, STEP = 8192, 1024, 16
-#: Up to so many rows of three longs are broadcast to pick the texts to verify; beyond that they are joined by a shuffle.
+#: Up to so many rows of six longs are broadcast to pick the texts to verify; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -76,7 +76,7 @@ def minhashes(block: Block, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(ngram: int, bands: int, rows: int):
-    """mapInArrow: (id, text) -> (id, node, signature)."""
+    """mapInArrow: (id, text, print) -> (id, print, node, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def sign(ngram: int, bands: int, rows: int):
                 packed = np.ascontiguousarray(minhashes(block, bands, rows)).view(np.int64)
                 n = block.last - block.first
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(packed.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(block.nodes), lists], ["id", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(block.nodes), lists], ["id", "print", "node", "signature"])
 
     return run
 
@@ -247,7 +247,7 @@ def verify(ngram: int, threshold: float):
         for (_, i, j), rows in grouped(batches, 3):
             sets, found = shingle_sets(rows["text"].combine_chunks(), ngram)
             nodes, side, copies = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy()
-            keep = np.flatnonzero(found == nodes)  # a repeated id may have brought another text
+            keep = np.flatnonzero(found == nodes)
             keep = keep[np.unique(nodes[keep], return_index=True)[1]]
             if len(keep) < 2:
                 continue
@@ -292,30 +292,22 @@ def in_blocks(df: DataFrame, size: str, block: int) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    *,
-    ngram: int = NGRAM,
-    threshold: float = THRESHOLD,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    tolerance: float = TOLERANCE,
-    block: int = BLOCK,
-    verify_block: int = VERIFY_BLOCK,
-) -> DataFrame:
-    """One row per input row: id, node, class_id, n_links, n_text_links, n_copies.
+def print_of(text: Column) -> Column:
+    """A hash of the text as it is: with the id it tells rows apart, where ids are repeated or null."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    class_id is the smallest id of the rows connected by similarity of at least ``threshold``; n_links counts the other rows
-    linked to this one, copies included; n_text_links the linked different texts; n_copies the rows of an equal word sequence.
-    Null texts are empty; null ids are kept (a class of null ids only has a null class_id); repeated rows are copies;
-    further columns are ignored; an empty table gives an empty result.
+
+def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, bands: int, rows: int, tolerance: float, block: int, verify_block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, print, node, signature) of each row, and (node, copies, id, print, links, text_links, root) of each node.
+
+    A node's id and print are those of the row that stands for it: the smallest id, nulls last, then the smallest print.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, node bigint, signature array<bigint>"), "signed")
-    nodes = written(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("signature").alias("signature")), "nodes")
+    texts = texts.withColumn("print", print_of(F.col("text")))
+    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, print bigint, node bigint, signature array<bigint>"), "signed")
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("lead")
+    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), lead, F.first("signature").alias("signature"))
+    nodes = written(nodes.select("node", "copies", "lead.id", "lead.print", "signature"), "nodes")
 
     places = nodes.select("node", F.posexplode("signature").alias("band", "value"))
     places = places.select("node", "band", F.xxhash64("value", "band").alias("bucket"))
@@ -327,22 +319,52 @@ def near_duplicates(
     candidates = map_arrow(dealt, prune(bands, rows, plan), "u bigint, v bigint")
     clusters = connected_components(candidates)
 
-    wanted = clusters.join(nodes.select("node", "copies", "id"), "node")
+    wanted = clusters.join(nodes.select("node", "copies", "id", "print"), "node")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = written(wanted.join(sizes, "root").select("id", "node", "copies", "root", "size"), "wanted")
-    chosen = wanted.withColumnRenamed("id", "wanted_id")
+    wanted = written(wanted.join(sizes, "root").select("id", "print", "node", "copies", "root", "size"), "wanted")
+    chosen = wanted.withColumnsRenamed({"id": "wanted_id", "print": "wanted_print"})
     if wanted.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    told = texts.join(chosen, F.col("id").eqNullSafe(F.col("wanted_id")))
+    told = texts.join(chosen, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("print") == F.col("wanted_print")))
+    if repeats(signed):  # one row for each node: equal texts under one id
+        told = told.dropDuplicates(["node"])
     told = in_blocks(told, "size", verify_block).select("root", "i", "j", "side", "node", "copies", "text")
     dealt = told.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     verified = written(map_arrow(dealt, verify(ngram, threshold), "node bigint, other bigint, links bigint, text_links bigint"), "verified")
 
     classes = connected_components(verified.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
-    known = nodes.select("node", "copies", "id").join(links, "node", "left").join(classes, "node", "left")
-    known = known.select("node", "copies", "id", "links", "text_links", F.coalesce("root", "node").alias("root"))
-    known = written(known, "known")
+    known = nodes.select("node", "copies", "id", "print").join(links, "node", "left").join(classes, "node", "left")
+    known = known.select("node", "copies", "id", "print", "links", "text_links", F.coalesce("root", "node").alias("root"))
+    return signed, written(known, "known")
+
+
+def repeats(signed: DataFrame) -> bool:
+    """Whether any row has the id and text of another."""
+    return not signed.groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    ngram: int = NGRAM,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    tolerance: float = TOLERANCE,
+    block: int = BLOCK,
+    verify_block: int = VERIFY_BLOCK,
+) -> DataFrame:
+    """One row per input row: id, node, class_id, n_links, n_text_links, n_copies.
+
+    class_id is the smallest id of the rows connected by similarity of at least ``threshold``; n_links counts the other rows
+    linked to this one, copies included; n_text_links the linked different texts; n_copies the rows of an equal word sequence.
+    Null texts are empty; null ids are kept (a class of null ids only has a null class_id); repeated rows are copies;
+    further columns are ignored; an empty table gives an empty result.
+    """
+    signed, known = classified(docs, id_col, text_col, ngram, threshold, bands, rows, tolerance, block, verify_block)
     firsts = known.where("links is not null").groupBy("root").agg(F.min("id").alias("first"))
     facts = known.join(firsts, "root", "left").select(
         "node",
@@ -354,15 +376,28 @@ def near_duplicates(
     return signed.select("id", "node").join(facts, "node").select("id", "node", "class_id", "n_links", "n_text_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near duplicates: of each class, the row with the smallest id stays (its repetitions go too).
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    ngram: int = NGRAM,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    tolerance: float = TOLERANCE,
+    block: int = BLOCK,
+    verify_block: int = VERIFY_BLOCK,
+) -> DataFrame:
+    """The documents without near duplicates: exactly one row of each class stays, of the smallest id (null only if all are).
 
-    Every column of the input is kept. Rows of null id are told apart by their text only: one of each equal group stays.
+    Every column of the input is kept. Rows of a repeated or null id are told apart by their texts, so each class keeps a row of its own.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where("id <=> class_id").select(F.col("id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__stay")), "left_semi")
-    repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    signed, known = classified(docs, id_col, text_col, ngram, threshold, bands, rows, tolerance, block, verify_block)
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("lead")
+    stay = known.groupBy("root").agg(lead).select(F.col("lead.id").alias("__stay"), F.col("lead.print").alias("__stay_print"))
+    named = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__print": print_of(F.col(f"`{text_col}`"))})
+    kept = named.join(stay, F.col("__id").eqNullSafe(F.col("__stay")) & (F.col("__print") == F.col("__stay_print")), "left_semi")
+    if repeats(signed):
+        kept = kept.dropDuplicates(["__id", "__print"])
+    return kept.drop("__id", "__print")
