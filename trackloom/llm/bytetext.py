@@ -6,6 +6,7 @@ Null texts are empty. Texts are never cut: a batch is processed in blocks of who
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ LOWER[65:91] += 32
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 BASE = 0x9E3779B97F4A7C15 | 1
-_POW = {"up": np.ones(1, dtype=U), "down": np.ones(1, dtype=U)}
+#: A random number for each of 64 places and 256 byte values.
+TABLE = np.random.default_rng(20240301).integers(0, 1 << 64, 64 * 256, dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    if len(_POW["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, U(base), dtype=U)
-            steps[0] = 1
-            _POW[name] = np.multiply.accumulate(steps)
-    return _POW["up"][:n], _POW["down"][:n]
-
-
 @dataclass
 class Block:
     """Whole documents of one Arrow batch: rows first..last-1."""
@@ -68,13 +59,39 @@ class Block:
         return self
 
     def hash_words(self) -> Block:
-        """Sets words: a 64-bit hash for each word, equal for equal words everywhere."""
-        up, down = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], out=total[1:])
-        self.words = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+        """Sets words: a 64-bit hash for each word, equal for equal words everywhere.
+
+        Each byte counts by a random number for its value and its place in the word, so no pattern of bytes is special.
+        """
+        sizes = self.ends - self.starts
+        if not len(sizes):
+            self.words = np.zeros(0, dtype=U)
+            return self
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(begin[-1] + sizes[-1]) - np.repeat(begin, sizes)
+        values = TABLE[((place & 63) << 8) | self.data[place + np.repeat(self.starts, sizes)]]
+        far = np.flatnonzero(place > 63)
+        if len(far):
+            values[far] *= mix((place[far] >> 6).astype(U) * U(BASE)) | U(1)
+        self.words = mix(np.add.reduceat(values, begin) + sizes.astype(U))
         return self
 
+    def digests(self) -> np.ndarray:
+        """Two longs for each document: a BLAKE2 digest of its words joined by blanks; of its bytes if it has no word."""
+        sizes = self.ends - self.starts
+        begin = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        joined = np.full(total + len(sizes), 32, dtype=np.uint8)
+        within = np.arange(total) - np.repeat(begin, sizes)
+        joined[within + np.repeat(begin + np.arange(len(sizes)), sizes)] = self.data[within + np.repeat(self.starts, sizes)]
+        at = (np.append(begin, total)[self.word_at] + self.word_at).tolist()
+        raw, joined, offsets = self.data, joined.tobytes(), self.offsets.tolist()
+        out = []
+        for d in range(len(at) - 1):
+            own = joined[at[d] : at[d + 1]] or b"\0" + raw[offsets[d] : offsets[d + 1]].tobytes()
+            out.append(hashlib.blake2b(own, digest_size=16).digest())
+        return np.frombuffer(b"".join(out), dtype="<i8").reshape(-1, 2)
+
     def hash_shingles(self, n: int) -> Block:
         """Sets shingles (hashes of n consecutive words; a document of fewer words has one of all its words) and shingle_at."""
         counts = np.diff(self.word_at)

@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(node, root) for every node of the edges; root is the smallest node of its component.
 
     Each step replaces edges by edges to smaller nodes; only minima are gathered, never a node's neighbours, so a node of
-    any degree is pre-aggregated before the shuffle. Steps are written to the shared folder, and end when a step changes
+    any degree is pre-aggregated before the shuffle. Minima are written before they meet the edges, so that join is one of two plain shuffles
+    and Spark splits the rows of a node of high degree among tasks. Steps are written to the shared folder, and end when a step changes
     nothing. Loops and repeated edges are allowed; an empty table gives an empty table.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
@@ -23,10 +24,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             break
         last = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = large.join(small, "u")
         e = written(
             linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),

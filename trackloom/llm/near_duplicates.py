@@ -1,8 +1,8 @@
 """N-gram Jaccard join: MinHash buckets, Bayesian pruning of candidate pairs, exact verification.
 
 Texts are word sequences (see ``bytetext``); a document's set is that of its shingles of ``ngram`` words, or one shingle of
-all words where it has fewer. Documents of equal word sequences are copies: they count as one node, a 64-bit hash of the
-sequence, and are never expanded into pairs. Texts without any word are copies only of equal texts.
+all words where it has fewer. Documents of equal word sequences are copies: they count as one node, told by a 128-bit
+digest of the sequence, and are never expanded into pairs. Texts without any word are copies only of equal texts.
 
 1. ``sign``: MinHash values of each document, packed so that a band of four values is one long.
 2. Nodes that agree in a band meet in a bucket. Within a bucket, pairs compare their MinHash values a few at a time; a pair is
@@ -26,33 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U, Block, blocks, mix, powers
+from .bytetext import U, Block, blocks, mix
 from .components import connected_components
-from .tables import map_arrow, written
+from .tables import free_name, map_arrow, written
 
 NGRAM, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 20, 4, 1e-6
-BLOCK, VERIFY_BLOCK, STEP = 8192, 1024, 16
+BLOCK, VERIFY_BLOCK, STEP = 8192, 512, 16
+#: In a verify block so many bytes of text count as a row, so blocks of long texts have fewer of them.
+ROW_BYTES = 4096
 #: Up to so many rows of six longs are broadcast to pick the texts to verify; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def node_hashes(block: Block) -> np.ndarray:
-    """A hash of each document's word sequence; of its bytes if it has no word."""
-    up, _ = powers(len(block.words) + 1)
-    n = np.diff(block.word_at)
-    out = np.zeros(len(n), dtype=U)
-    if len(block.words):
-        place = np.arange(len(block.words)) - np.repeat(block.word_at[:-1], n)
-        total = np.concatenate([[U(0)], np.cumsum(block.words * up[place])])
-        out = total[block.word_at[1:]] - total[block.word_at[:-1]]
-    for d in np.flatnonzero(n == 0):
-        raw, h = block.data[block.offsets[d] : block.offsets[d + 1]], 1
-        if len(raw):
-            h = int(((raw.astype(U) + U(1)) * powers(len(raw))[0]).sum())
-        out[d] = U(h)
-    return mix(out + n.astype(U) * U(0x632BE59BD9B4E019)).view(np.int64)
-
-
 def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 64, count, dtype=U), rng.integers(0, 1 << 63, count, dtype=U) * U(2) + U(1)
@@ -76,17 +61,21 @@ def minhashes(block: Block, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(ngram: int, bands: int, rows: int):
-    """mapInArrow: (id, text, print) -> (id, print, node, signature)."""
+    """mapInArrow: (id, text, print) -> (id, print, node, check, bytes, signature); node and check are the digest's two halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 block.find_words().hash_words().hash_shingles(ngram)
-                block.nodes = node_hashes(block)
+                found = block.digests()
+                block.nodes, checks = found[:, 0].copy(), found[:, 1].copy()
                 packed = np.ascontiguousarray(minhashes(block, bands, rows)).view(np.int64)
                 n = block.last - block.first
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(packed.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(block.nodes), lists], ["id", "print", "node", "signature"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(block.nodes), pa.array(checks), pa.array(np.diff(block.offsets)), lists],
+                    ["id", "print", "node", "check", "bytes", "signature"],
+                )
 
     return run
 
@@ -125,7 +114,7 @@ class Forest:
 def survivors(left: np.ndarray, right: np.ndarray, band: int, rows: int, plan: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of left, the rows of right that first meet it in this band and outlive the incremental comparison."""
     wide_left, wide_right = left.view(np.uint16).reshape(len(left), -1), right.view(np.uint16).reshape(len(right), -1)
-    step = max(1, 1_000_000 // max(1, len(right)))
+    step = max(1, 250_000 // max(1, len(right)))
     for low in range(0, len(left), step):
         part, wide = left[low : low + step], wide_left[low : low + step]
         i, j = np.divmod(np.arange(len(part) * len(right)), len(right))
@@ -205,16 +194,16 @@ def prune(bands: int, rows: int, plan: list[tuple[int, int]]):
 
 
 def shingle_sets(column: pa.Array, ngram: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct shingles and the node hash of each text."""
-    sets, nodes = [], []
+    """Sorted distinct shingles and the second half of the digest of each text."""
+    sets, checks = [], []
     for block in blocks(column):
         block.find_words().hash_words().hash_shingles(ngram)
-        nodes.append(node_hashes(block))
+        checks.append(block.digests()[:, 1])
         sets += [np.unique(block.shingles[a:b]) for a, b in zip(block.shingle_at[:-1], block.shingle_at[1:], strict=True)]
-    return sets, np.concatenate(nodes) if nodes else np.zeros(0, dtype=np.int64)
+    return sets, np.concatenate(checks) if checks else np.zeros(0, dtype=np.int64)
 
 
-def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of all pairwise intersections, exactly: shingles of one set only are left out, the rest multiply in slices of columns."""
     n = len(sets)
     out = np.zeros((n, n), dtype=np.float32)
@@ -237,8 +226,19 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
+def alike(sets: list[np.ndarray], threshold: float, step: int = 256) -> np.ndarray:
+    """Which pairs of sets have a Jaccard similarity of at least the threshold; empty sets are like nothing."""
+    common, sizes = intersections(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    out = np.zeros(common.shape, dtype=bool)
+    for low in range(0, len(sizes), step):
+        part = common[low : low + step].astype(np.float64)
+        union = sizes[low : low + step, None] + sizes[None, :] - part
+        out[low : low + step] = (part >= threshold * union - 1e-9) & (union > 0)
+    return out
+
+
 def verify(ngram: int, threshold: float):
-    """mapInArrow over rows sorted by (root, i, j): (root, i, j, side, node, copies, text) -> (node, other, links, text_links).
+    """mapInArrow over rows sorted by (root, i, j): (root, i, j, side, node, check, copies, text) -> (node, other, links, text_links).
 
     other is null in rows that carry counts; rows of the spanning forest have zero counts.
     """
@@ -247,15 +247,12 @@ def verify(ngram: int, threshold: float):
         for (_, i, j), rows in grouped(batches, 3):
             sets, found = shingle_sets(rows["text"].combine_chunks(), ngram)
             nodes, side, copies = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy()
-            keep = np.flatnonzero(found == nodes)
+            keep = np.flatnonzero(found == rows["check"].to_numpy())
             keep = keep[np.unique(nodes[keep], return_index=True)[1]]
             if len(keep) < 2:
                 continue
             nodes, side, copies, sets = nodes[keep], side[keep], copies[keep], [sets[k] for k in keep]
-            sizes = np.array([len(s) for s in sets], dtype=np.float64)
-            common = intersections(sets).astype(np.float64)
-            union = sizes[:, None] + sizes[None, :] - common
-            linked = (common >= threshold * union - 1e-9) & (union > 0)
+            linked = alike(sets, threshold)
             np.fill_diagonal(linked, False)
             if i != j:
                 linked &= side[:, None] != side[None, :]
@@ -269,7 +266,7 @@ def verify(ngram: int, threshold: float):
                 [
                     pa.array(np.concatenate([nodes[counted], nodes[moved]])),
                     pa.array(np.concatenate([nodes[counted], nodes[forest.label[moved]]]), mask=np.concatenate([np.ones(len(counted), bool), np.zeros(len(moved), bool)])),
-                    pa.array(np.concatenate([(linked[counted] @ copies), zero])),
+                    pa.array(np.concatenate([np.array([copies[linked[k]].sum() for k in counted], dtype=np.int64), zero])),
                     pa.array(np.concatenate([linked[counted].sum(axis=1, dtype=np.int64), zero])),
                 ],
                 ["node", "other", "links", "text_links"],
@@ -304,10 +301,11 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.withColumn("print", print_of(F.col("text")))
-    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, print bigint, node bigint, signature array<bigint>"), "signed")
+    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, print bigint, node bigint, check bigint, bytes bigint, signature array<bigint>"), "signed")
+    signed = told_apart(signed)
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("lead")
-    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), lead, F.first("signature").alias("signature"))
-    nodes = written(nodes.select("node", "copies", "lead.id", "lead.print", "signature"), "nodes")
+    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), lead, *[F.first(c).alias(c) for c in ("check", "signature")], F.max("bytes").alias("bytes"))
+    nodes = written(nodes.select("node", "check", "copies", "bytes", "lead.id", "lead.print", "signature"), "nodes")
 
     places = nodes.select("node", F.posexplode("signature").alias("band", "value"))
     places = places.select("node", "band", F.xxhash64("value", "band").alias("bucket"))
@@ -319,16 +317,17 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     candidates = map_arrow(dealt, prune(bands, rows, plan), "u bigint, v bigint")
     clusters = connected_components(candidates)
 
-    wanted = clusters.join(nodes.select("node", "copies", "id", "print"), "node")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = written(wanted.join(sizes, "root").select("id", "print", "node", "copies", "root", "size"), "wanted")
+    wanted = written(clusters.join(nodes.select("node", "check", "copies", "bytes", "id", "print"), "node"), "wanted")
+    weight = F.greatest(F.count("*"), F.floor(F.sum("bytes") / ROW_BYTES)).alias("size")
+    sizes = written(wanted.groupBy("root").agg(weight), "sizes")
+    wanted = written(wanted.join(sizes, "root").select("id", "print", "node", "check", "copies", "root", "size"), "wanted")
     chosen = wanted.withColumnsRenamed({"id": "wanted_id", "print": "wanted_print"})
     if wanted.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     told = texts.join(chosen, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("print") == F.col("wanted_print")))
     if repeats(signed):  # one row for each node: equal texts under one id
         told = told.dropDuplicates(["node"])
-    told = in_blocks(told, "size", verify_block).select("root", "i", "j", "side", "node", "copies", "text")
+    told = in_blocks(told, "size", verify_block).select("root", "i", "j", "side", "node", "check", "copies", "text")
     dealt = told.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     verified = written(map_arrow(dealt, verify(ngram, threshold), "node bigint, other bigint, links bigint, text_links bigint"), "verified")
 
@@ -339,6 +338,16 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     return signed, written(known, "known")
 
 
+def told_apart(signed: DataFrame) -> DataFrame:
+    """Gives another node to texts whose digests agree in the first half only, which hardly ever happens."""
+    halves = signed.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least < most")
+    if halves.isEmpty():
+        return signed
+    joined = signed.join(halves.select(F.col("node").alias("of"), "least"), F.col("node") == F.col("of"), "left")
+    other = F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return written(joined.withColumn("node", other).drop("of", "least"), "signed")
+
+
 def repeats(signed: DataFrame) -> bool:
     """Whether any row has the id and text of another."""
     return not signed.groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
@@ -395,9 +404,16 @@ def keep_one(
     """
     signed, known = classified(docs, id_col, text_col, ngram, threshold, bands, rows, tolerance, block, verify_block)
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("lead")
-    stay = known.groupBy("root").agg(lead).select(F.col("lead.id").alias("__stay"), F.col("lead.print").alias("__stay_print"))
-    named = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__print": print_of(F.col(f"`{text_col}`"))})
-    kept = named.join(stay, F.col("__id").eqNullSafe(F.col("__stay")) & (F.col("__print") == F.col("__stay_print")), "left_semi")
+    several = known.where("copies > 1 or links is not null")
+    leads = written(several.groupBy("root").agg(lead).select("root", F.struct("lead.id", "lead.print").alias("lead")), "leads")
+    classes = written(signed.select("id", "print", "node").join(several.select("node", "root"), "node"), "classes").join(leads, "root")
+    go = classes.where(~F.struct("id", "print").eqNullSafe(F.col("lead"))).select(F.col("id").alias("__go"), F.col("print").alias("__go_print"))
+    go = written(go.distinct(), "go")
+    if go.count() <= BROADCAST_ROWS:  # two longs a row
+        go = F.broadcast(go)
+    key, mark = free_name(docs, "id"), free_name(docs, "print")
+    named = docs.withColumns({key: F.col(f"`{id_col}`").cast("bigint"), mark: print_of(F.col(f"`{text_col}`"))})
+    kept = named.join(go, F.col(key).eqNullSafe(F.col("__go")) & (F.col(mark) == F.col("__go_print")), "left_anti")
     if repeats(signed):
-        kept = kept.dropDuplicates(["__id", "__print"])
-    return kept.drop("__id", "__print")
+        kept = kept.dropDuplicates([key, mark])
+    return kept.drop(key, mark)

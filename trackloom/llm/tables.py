@@ -5,33 +5,18 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 _FOLDERS: dict[str, str] = {}
-_SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application: they need no installation of it."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="trackloom-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, f"{package.name}/{source.relative_to(package)}")
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
-
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
@@ -116,3 +101,12 @@ def _bucket(key: Column, edges: list) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str | T.DataType) -> Column:
     """A column in the kind asked for, or nulls where the table lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name with underscores before it until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -3,7 +3,7 @@
 A dataset is a folder with two tables, written by Spark on any store it knows.
 
 * ``dictionary``: one row (sha256, dictionary bytes, tokenizer, end_id). The dictionary is trained on the serialized id arrays of at most
-  ``SAMPLE`` documents, those of the smallest hashes of their ids.
+  ``SAMPLE`` whole documents with ``SAMPLE_BYTES`` bytes of text together.
 * ``shards``: rows of about ``SHARD_BYTES`` (piece, seq, dictionary_sha256, doc_ids, offsets, n_tokens, payload) in ascending order of the document id.
   payload holds one zstandard frame for each document, of its ids as little-endian unsigned 32-bit integers; offsets[k] is
   where document k's frame begins and offsets[k + 1] where it ends. A frame of ``SHARD_BYTES`` or more has a shard of its own.
@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytetext import U, blocks, mix, powers
+from .bytetext import U, Block, blocks, mix
 from .tables import hashed_sample, map_arrow, range_bucket, range_edges
 
-SAMPLE, DICTIONARY_BYTES, SHARD_BYTES, PIECES, LEVEL, END_ID = 2000, 64 << 10, 4 << 20, 64, 3, 0
-#: Pieces of text whose ids a Python worker keeps at most, before it starts afresh.
-KEPT = 2_500_000
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES, PIECES, LEVEL, END_ID = 2000, 4 << 20, 64 << 10, 4 << 20, 64, 3, 0
+#: What a Python worker keeps of pieces of text met before: so many slots, and ids before it starts afresh; bytes of a piece that two longs tell.
+SLOT_BITS, KEPT, SHORT = 20, 4 << 20, 15
+SLOTS = 1 << SLOT_BITS
+#: The lowest k bytes of a long.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 IDS = "id bigint, n bigint, frame binary"
 SHARDS = "piece int, seq bigint, dictionary_sha256 string, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -66,57 +69,84 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of documents by the tokenizers library; equal pieces of text are encoded once."""
+    """Ids of documents by the tokenizers library; short pieces of text that were met before aren't encoded again.
+
+    A piece of at most ``SHORT`` bytes is told exactly by two longs, which hold its bytes and their number. They are kept in a table of
+    ``SLOTS`` pieces: a piece whose two slots hold others is encoded and takes the second, so memory is bounded and no id depends on a hash.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.low, self.high = np.zeros(SLOTS, dtype=U), np.zeros(SLOTS, dtype=U)
+        self.begin, self.length = np.zeros(SLOTS, dtype=np.int32), np.zeros(SLOTS, dtype=np.uint8)
+        self.forget(KEPT)
 
-    def forget(self) -> None:
-        self.keys, self.begin, self.length = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+    def forget(self, size: int) -> None:
+        self.high[:] = 0  # of no piece: the highest byte is the number of bytes
+        self.ids, self.used = np.zeros(size, dtype=np.uint32), 0
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Adds ascending new keys with the ids of their texts; ids go to the end of one growing array."""
+    def learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin in the table's ids, and how many they are."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         length = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(length.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        total = int(length.sum())
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=total)
         begin = self.used + np.cumsum(length) - length
-        self.used += len(flat)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.length = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.length, at, length)
+        self.used += total
+        return begin, length
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents in order, and where each document's ids begin."""
+        if self.used + len(raw) > len(self.ids):  # a byte has one id at most
+            self.forget(max(KEPT, len(raw)))
         starts = piece_starts(raw, offsets)
-        ends = np.append(starts[1:], len(raw))
-        up, down = powers(len(raw) + 1)
-        total = np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)])])
-        keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT:
-            self.forget()
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == distinct[inside]
-        if not known.all():
-            new = first[~known]
+        sizes = np.diff(np.append(starts, len(raw)))
+        short = sizes <= SHORT
+        eight = np.ndarray(len(raw) + 9, dtype="<u8", buffer=np.concatenate([raw, np.zeros(16, dtype=np.uint8)]), strides=(1,))
+        low = eight[starts] & MASKS[np.minimum(sizes, 8)]
+        high = (eight[starts + 8] & MASKS[np.clip(sizes - 8, 0, 7)]) | (np.minimum(sizes, 255).astype(U) << U(56))
+        mixed = mix(low ^ mix(high))
+        slot = (mixed >> U(64 - SLOT_BITS)).astype(np.int64)
+        other = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))  # may be in its second slot
+        slot[other] = (mixed[other] & U(SLOTS - 1)).astype(np.int64)
+        begin, length = self.begin[slot].astype(np.int64), self.length[slot].astype(np.int64)
+        new = other[~(short[other] & (self.low[slot[other]] == low[other]) & (self.high[slot[other]] == high[other]))]
+        if len(new):
             data = raw.tobytes()
-            self.learn(distinct[~known], [data[a:b].decode() for a, b in zip(starts[new], ends[new], strict=True)])
-            place = np.searchsorted(self.keys, distinct)
-        place = place[which]
-        lengths = self.length[place]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.begin[place] - upto[:-1], lengths)]
+            pieces: dict[bytes, int] = {}
+            which = np.array([pieces.setdefault(data[a : a + n], len(pieces)) for a, n in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)])
+            at, n = self.learn([x.decode("utf-8", "replace") for x in pieces])
+            begin[new], length[new] = at[which], n[which]
+            keep = new[short[new]]
+            first = (mixed[keep] >> U(64 - SLOT_BITS)).astype(np.int64)
+            empty = self.high[first] == 0
+            slot[keep[empty]] = first[empty]
+            self.low[slot[keep]], self.high[slot[keep]] = low[keep], high[keep]
+            self.begin[slot[keep]], self.length[slot[keep]] = begin[keep], length[keep]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)]
         return ids, upto[np.searchsorted(starts, offsets)]
 
+    def documents(self, block: Block) -> Iterator[np.ndarray]:
+        """The ids of each document. One that holds the string of an added token is encoded as one text: pieces would split the token."""
+        raw, offsets = block.data, block.offsets
+        ids, at = self.encode(raw, offsets)
+        data, whole = raw.tobytes() if self.added else b"", set()
+        for token in self.added:
+            place = data.find(token)
+            while place >= 0:
+                whole.add(int(np.searchsorted(offsets, place, side="right")) - 1)
+                place = data.find(token, place + 1)
+        for d in range(len(offsets) - 1):
+            if d in whole:
+                text = data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace")
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                yield ids[at[d] : at[d + 1]]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -130,10 +160,13 @@ def encoder(path: str) -> Encoder:
 
 def serialized(column: pa.Array, path: str, end_id: int) -> Iterator[bytes]:
     """Each text's ids with the end id, as bytes."""
-    for block in blocks(column, size=4 << 20, lower=False):
-        ids, at = encoder(path).encode(block.data, block.offsets)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes()
+    for block in blocks(column, lower=False):
+        for ids in encoder(path).documents(block):
+            yield np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+
+
+def framed(batch: pa.RecordBatch, first: int, sizes: list[int], found: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["id", "n", "frame"])
 
 
 def frames(path: str, end_id: int, dictionary: bytes, level: int) -> Callable:
@@ -145,13 +178,15 @@ def frames(path: str, end_id: int, dictionary: bytes, level: int) -> Callable:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                found, sizes = [], []
-                for raw in serialized(part.column(1), path, end_id):
-                    sizes.append(len(raw) // 4)
-                    found.append(press.compress(raw))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["id", "n", "frame"])
+            found, sizes, first, held = [], [], 0, 0
+            for raw in serialized(batch.column(1), path, end_id):
+                sizes.append(len(raw) // 4)
+                found.append(press.compress(raw))
+                held += len(found[-1])
+                if held > 1 << 20:
+                    yield framed(batch, first, sizes, found)
+                    found, sizes, first, held = [], [], first + len(sizes), 0
+            yield framed(batch, first, sizes, found)
 
     return run
 
@@ -187,20 +222,43 @@ def shards(digest: str, size: int) -> Callable:
     return run
 
 
-def train(texts: DataFrame, path: str, end_id: int, sample: int, size: int) -> bytes:
-    """A dictionary of the id arrays of at most ``sample`` documents; empty where there is too little to train on."""
+def train(texts: DataFrame, path: str, end_id: int, sample: int, most: int, size: int) -> bytes:
+    """A dictionary of the id arrays of at most ``sample`` whole documents with ``most`` bytes of text together; empty where that is too little.
+
+    Candidates are the texts of ``sample`` ids, one for each id; in order of their hashes each goes in that still fits.
+    """
     import zstandard
 
-    wanted = hashed_sample(texts.select("id").where("id is not null"), "id", sample, seed=8)
-    picked = texts.join(F.broadcast(wanted), "id", "left_semi").select("id", F.substring("text", 1, 20_000).alias("text"))
-    chosen = sorted((row.id, row.text) for row in picked.collect())[: 2 * sample]
-    raw = [x for _, text in chosen for x in serialized(pa.array([text]), path, end_id)]
+    ids = hashed_sample(texts.select("id").where("id is not null"), "id", sample, seed=8)
+    told = F.struct(F.xxhash64("text").alias("print"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    rows = texts.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min(told).alias("told")).collect()
+    chosen, used = [], 0
+    for row in sorted(rows, key=lambda r: (r.told.print or 0, r.id)):
+        if used + row.told.bytes <= most:
+            chosen.append((row.id, row.told.print))
+            used += row.told.bytes
+    if not chosen:
+        return b""
+    chosen = F.broadcast(texts.sparkSession.createDataFrame(chosen, "id bigint, print bigint"))
+    own = texts.withColumn("print", F.xxhash64("text")).join(chosen, ["id", "print"], "left_semi")
+    serial = map_arrow(own.select("id", "text"), arrays(path, end_id), "id bigint, ids binary").groupBy("id").agg(F.min("ids").alias("ids"))
     try:
-        return zstandard.train_dictionary(size, raw).as_bytes()
+        return zstandard.train_dictionary(size, [bytes(r.ids) for r in sorted(serial.collect(), key=lambda r: r.id)]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
+def arrays(path: str, end_id: int) -> Callable:
+    """mapInArrow: (id, text) -> (id, ids), the ids as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(serialized(batch.column(1), path, end_id))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "ids"])
+
+    return run
+
+
 def write_tokens(
     docs: DataFrame,
     folder: str,
@@ -210,6 +268,7 @@ def write_tokens(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
     dictionary_bytes: int = DICTIONARY_BYTES,
     shard_bytes: int = SHARD_BYTES,
     pieces: int = PIECES,
@@ -219,12 +278,13 @@ def write_tokens(
 
     Null texts are empty (one end id); null ids come first; repeated rows are written as often as they occur; further columns are
     ignored; an empty table writes an empty dataset. Documents are dealt out by id ranges, so only frames are shuffled, once.
-    The sample of training texts is cut at 20,000 characters each: it forms the dictionary only, never a result.
+    The dictionary is trained on whole documents, at most ``sample`` with ``sample_bytes`` bytes of text together; it forms no result.
+    Invalid UTF-8 is read as U+FFFD.
     """
     path = tokenizer or vocabulary()
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    dictionary = train(texts, path, end_id, sample, dictionary_bytes)
+    dictionary = train(texts, path, end_id, sample, sample_bytes, dictionary_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     header = spark.createDataFrame([(digest, bytearray(dictionary), os.path.basename(path), end_id)], "sha256 string, dictionary binary, tokenizer string, end_id int")
     header.coalesce(1).write.parquet(f"{folder}/dictionary")
