@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,19 @@ def matches(block: Block, d: int, hits: np.ndarray, index: Index, threshold: flo
     return best
 
 
+def found_in(column: pa.Array, index: Index, threshold: float) -> Iterator[tuple[int, dict[int, tuple[int, int, int, float]]]]:
+    """(row, item -> facts) of each text of a column in which an item was found."""
+    for block in blocks(column):
+        block.find_words().hash_words().hash_shingles(index.ngram)
+        likely = np.flatnonzero(index.bits[(block.shingles >> U(42)).astype(np.int64)])
+        likely = likely[np.isin(block.shingles[likely], index.shingle)]
+        docs = np.searchsorted(block.shingle_at, likely, side="right") - 1
+        for d in np.unique(docs).tolist():
+            found = matches(block, d, likely[docs == d] - block.shingle_at[d], index, threshold)
+            if found:
+                yield block.first + d, found
+
+
 def scan(index_of: Callable[[], Index], threshold: float) -> Callable:
     """mapInArrow: (id, text) -> SCHEMA, a row for each document and item found in it."""
 
@@ -158,15 +172,9 @@ def scan(index_of: Callable[[], Index], threshold: float) -> Callable:
         index = index_of()
         for batch in batches:
             out: list[tuple] = []
-            for block in blocks(batch.column(1)):
-                block.find_words().hash_words().hash_shingles(index.ngram)
-                likely = np.flatnonzero(index.bits[(block.shingles >> U(42)).astype(np.int64)])
-                likely = likely[np.isin(block.shingles[likely], index.shingle)]
-                docs = np.searchsorted(block.shingle_at, likely, side="right") - 1
-                for d in np.unique(docs).tolist():
-                    found = matches(block, d, likely[docs == d] - block.shingle_at[d], index, threshold)
-                    key = batch.column(0)[block.first + d].as_py()
-                    out += [(key, item, *facts) for item, facts in sorted(found.items())]
+            for row, found in found_in(batch.column(1), index, threshold):
+                key = batch.column(0)[row].as_py()
+                out += [(key, item, *facts) for item, facts in sorted(found.items())]
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item", "start", "words", "distance", "similarity"])
@@ -174,6 +182,20 @@ def scan(index_of: Callable[[], Index], threshold: float) -> Callable:
     return run
 
 
+def clean(index_of: Callable[[], Index], threshold: float, text_at: int) -> Callable:
+    """mapInArrow: the rows in whose text no item was found, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of()
+        for batch in batches:
+            stay = np.ones(batch.num_rows, dtype=bool)
+            for row, _ in found_in(batch.column(text_at), index, threshold):
+                stay[row] = False
+            yield batch.filter(pa.array(stay))
+
+    return run
+
+
 def read_items(ngram: int) -> Callable:
     """mapInArrow: (item, text) -> (item, text, words, shingles), the different shingles of each text."""
 
@@ -211,14 +233,20 @@ def find_leaks(
     ``ngram`` words have one shingle; repeated rows are each reported; items of one id and several texts report the best; null item ids
     are left out; further columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = [map_arrow(texts, scan(index, threshold), SCHEMA) for index in indexes(benchmark, item_col, item_text_col, ngram, threshold, portion_words)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, ngram: int, threshold: float, portion_words: int) -> list[Callable[[], Index]]:
+    """What makes the index of each portion of the benchmark in a task, with the shingle weights of the whole benchmark."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     items = map_arrow(items.where("item is not null and text is not null").distinct(), read_items(ngram), "item bigint, text string, words bigint, shingles array<bigint>")
     items = written(items, "items")
     total, words = items.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     if not words:
-        return spark.createDataFrame([], SCHEMA)
+        return []
     n = -(-words // portion_words)
     items = items.withColumn("portion", F.pmod(F.xxhash64("item"), F.lit(n)))
     counts = items.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
@@ -230,11 +258,8 @@ def find_leaks(
         shingle, seen = facts["shingle"].to_numpy().view(U), facts["n"].to_numpy()
         order = np.argsort(shingle)
         held = spark.sparkContext.broadcast(([(r.item, r.text) for r in own], (shingle[order], np.log1p(total / seen[order]))))
-        found.append(map_arrow(texts, scan(index_from(held, ngram, threshold), threshold), SCHEMA))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        found.append(index_from(held, ngram, threshold))
+    return found
 
 
 def index_from(held, ngram: int, threshold: float) -> Callable[[], Index]:
@@ -245,7 +270,22 @@ def index_from(held, ngram: int, threshold: float) -> Callable[[], Index]:
     return make
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no item was found, with all their columns. Rows of a leaking id all go."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__leak")), "left_anti")
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    *,
+    ngram: int = NGRAM,
+    threshold: float = THRESHOLD,
+    portion_words: int = PORTION_WORDS,
+) -> DataFrame:
+    """The rows in whose text no item was found, with all their columns.
+
+    Each row is judged by its own text where it is, so nothing is shuffled: rows of a repeated or null id stay or go one by one. Null texts
+    stay; an empty benchmark keeps all; an empty table stays empty.
+    """
+    for index in indexes(benchmark, item_col, item_text_col, ngram, threshold, portion_words):
+        docs = map_arrow(docs, clean(index, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs
