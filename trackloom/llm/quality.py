@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytetext import Block, blocks
-from .tables import hashed_sample, map_arrow
+from .tables import free_name, hashed_sample, map_arrow
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -206,13 +207,13 @@ def features(keys: list[str]) -> Callable:
 
 
 def scores(model: Model, text_at: int, names: list[str]) -> Callable:
-    """mapInArrow: appends score to the columns."""
+    """mapInArrow: appends the score, under the last of the names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(text_at), lower=False):
                 score = model.score(measure(block))
-                yield pa.RecordBatch.from_arrays([*(c.slice(block.first, len(score)) for c in batch.columns), pa.array(score)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(block.first, len(score)) for c in batch.columns), pa.array(score)], names)
 
     return run
 
@@ -225,7 +226,7 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits the model on at most ``sample`` labelled documents that aren't held out.
 
-    Ids with a null label, several labels, or no document don't count; of a repeated id every text counts.
+    Ids with a null label, several labels, or no document don't count; of a repeated id one text counts, that of the least features.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
@@ -236,16 +237,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(picked)  # at most ``sample`` rows
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     measured = map_arrow(texts.join(picked, "id").select("id", "y", "text"), features(["id", "y"]), "id bigint, y int, x array<double>")
-    told = sorted((r.id, r.y, tuple(r.x)) for r in measured.toLocalIterator())[: 2 * sample]
+    told = sorted((r.id, r.y, tuple(r.x)) for r in measured.groupBy("id", "y").agg(F.min("x").alias("x")).collect())  # one row for each id
     return fit(np.array([t[2] for t in told]), np.array([t[1] for t in told], dtype=np.float64))
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, and ``score``: the probability that a document is good.
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The input's rows and columns, and ``score_col``: the probability that a document is good.
 
-    Null texts are empty; empty texts get the score of an empty text; no other column takes part in a score.
+    Null texts are empty; empty texts get the score of an empty text; no other column takes part in a score. If the input has a column of
+    that name, its own stays and the score is called by the name with underscores before it, as ``free_name`` tells.
     """
-    kept = docs.drop("score")
-    texts = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields), "`score` double"])
-    return map_arrow(texts, scores(model, texts.columns.index(text_col), texts.columns), schema)
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        score_col = free_name(docs, score_col)
+    texts = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    schema = T.StructType([*texts.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return map_arrow(texts, scores(model, texts.columns.index(text_col), schema.names), schema)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of a score of at least ``least``, with their own columns, whatever these are called."""
+    name = free_name(docs, "score")
+    return score_quality(docs, model, text_col, name).where(F.col(name) >= least).drop(name)
