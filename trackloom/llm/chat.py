@@ -53,8 +53,12 @@ class Template:
     def escape(self, text: str) -> str:
         return _escaper(tuple(self.controls())).sub(lambda m: ESCAPE + m[0], text)
 
+    def escape_role(self, role: str) -> str:
+        """As a text; also where what stands after the role in its opening begins."""
+        return _escaper((*self.controls(), self.other.before.split("{role}")[1])).sub(lambda m: ESCAPE + m[0], role)
+
     def opening(self, role: str) -> str:
-        return self.roles[role].before if role in self.roles else self.other.before.replace("{role}", self.escape(role))
+        return self.roles[role].before if role in self.roles else self.other.before.replace("{role}", self.escape_role(role))
 
     def part(self, role: str) -> Part:
         return self.roles.get(role, self.other)
@@ -67,6 +71,8 @@ def _escaper(controls: tuple[str, ...]) -> re.Pattern:
     if controls not in _ESCAPERS:
         if any(not c or ESCAPE in c for c in controls):
             raise ValueError("control strings must not be empty or hold a backslash")
+        if any(c.startswith(c[-k:]) for c in controls for k in range(1, len(c))):
+            raise ValueError("control strings must not begin with their own end: text before one could be read as a part of it")
         _ESCAPERS[controls] = re.compile(r"\\|" + "|".join(f"(?={re.escape(c)})" for c in controls))
     return _ESCAPERS[controls]
 
