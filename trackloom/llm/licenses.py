@@ -1,9 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression over lower-cased words joined by single spaces, with a label, a priority and a confidence. Rules are made from
-``FAMILIES``, each in the forms in which licenses are named (``FORMS``), and from ``PASSAGES``, sentences that occur in one license only;
-together a few hundred. A rule names the keyword without which it can't match; the keywords of a text are found in one pass
-of an Aho-Corasick automaton, and only windows of words around a keyword are matched, by the rules it opens.
+A rule is a regular expression over lower-cased words joined by single spaces, with a label, a priority and a confidence (see
+``license_rules``). It names its gate words, one of which every match holds: mostly rare words of its own. The gate words of a text are
+found in one pass of an Aho-Corasick automaton, and only windows of words around them are matched, by the rules they open.
 
 Detections overlap: "gnu lesser general public license version 2.1" holds "general public license". A detection whose words
 lie within those of one of higher priority, or of the same priority and more words, is dropped. Base phrases (``BASE``) are places, not
@@ -13,7 +12,7 @@ detections: none is ever dropped.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,103 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import blocks
+from .bytetext import WORD, blocks
+from .license_rules import FAMILIES, FORMS, SIGNATURES
 from .tables import map_arrow
 
 #: Phrase -> label of the base phrases (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label -> name (a pattern over words), versions it is named with, SPDX-like words, word that every form holds.
-FAMILIES = [
-    ("mit", "mit|expat|x11", "", "mit", "licen[sc]e"),
-    ("apache", "apache(?: software)?", "1 0|1 1|2|2 0", "apache", "licen[sc]e"),
-    ("gpl", "gnu general public|general public|gpl|gnu gpl", "1|2|3|1 0|2 0|3 0", "gpl", "licen[sc]e"),
-    ("lgpl", "gnu lesser general public|lesser general public|gnu library general public|lgpl|gnu lgpl", "2|2 0|2 1|3|3 0", "lgpl", "licen[sc]e"),
-    ("agpl", "gnu affero general public|affero general public|agpl|gnu agpl", "1|3|1 0|3 0", "agpl", "licen[sc]e"),
-    ("gfdl", "gnu free documentation|gfdl", "1 1|1 2|1 3", "gfdl", "licen[sc]e"),
-    ("bsd", "(?:2 clause|3 clause|4 clause|0 clause|simplified|new|revised|original|modified)? ?bsd", "", "bsd", "licen[sc]e"),
-    ("mpl", "mozilla public|mpl", "1 0|1 1|2 0", "mpl", "licen[sc]e"),
-    ("epl", "eclipse public|epl", "1 0|2 0", "epl", "licen[sc]e"),
-    ("edl", "eclipse distribution|edl", "1 0", "edl", "licen[sc]e"),
-    ("cddl", "common development and distribution|cddl", "1 0|1 1", "cddl", "licen[sc]e"),
-    ("cpl", "common public|cpl", "1 0", "cpl", "licen[sc]e"),
-    ("cpal", "common public attribution|cpal", "1 0", "cpal", "licen[sc]e"),
-    ("eupl", "european union public|eupl", "1 0|1 1|1 2", "eupl", "licen[sc]e"),
-    ("isc", "isc|internet systems consortium", "", "isc", "licen[sc]e"),
-    ("zlib", "zlib|zlib libpng", "", "zlib", "licen[sc]e"),
-    ("boost", "boost software", "1 0", "bsl", "licen[sc]e"),
-    ("artistic", "artistic|perl artistic|clarified artistic", "1 0|2 0", "artistic", "licen[sc]e"),
-    ("python", "python software foundation|psf", "2|2 0", "psf", "licen[sc]e"),
-    ("ruby", "ruby", "", "ruby", "licen[sc]e"),
-    ("php", "php", "3 0|3 01", "php", "licen[sc]e"),
-    ("zope", "zope public|zpl", "1 1|2 0|2 1", "zpl", "licen[sc]e"),
-    ("osl", "open software|osl", "1 0|2 0|2 1|3 0", "osl", "licen[sc]e"),
-    ("afl", "academic free|afl", "1 1|1 2|2 0|2 1|3 0", "afl", "licen[sc]e"),
-    ("upl", "universal permissive|upl", "1 0", "upl", "licen[sc]e"),
-    ("ncsa", "university of illinois(?: ncsa)? open source|ncsa open source", "", "ncsa", "licen[sc]e"),
-    ("ms_pl", "microsoft public|ms pl", "", "ms pl", "licen[sc]e"),
-    ("ms_rl", "microsoft reciprocal|ms rl", "", "ms rl", "licen[sc]e"),
-    ("wtfpl", "do what the fuck you want to public|wtfpl", "1|2", "wtfpl", "licen[sc]e"),
-    ("unlicense", "the unlicense|unlicense", "", "unlicense", "licen[sc]e"),
-    ("cc0", "cc0|creative commons zero", "1 0", "cc0", "licen[sc]e"),
-    ("cc_by", "creative commons attribution|cc by", "2 0|2 5|3 0|4 0", "cc by", "licen[sc]e"),
-    ("cc_by_sa", "creative commons attribution share ?alike|cc by sa", "2 0|2 5|3 0|4 0", "cc by sa", "licen[sc]e"),
-    ("cc_by_nc", "creative commons attribution non ?commercial|cc by nc", "2 0|2 5|3 0|4 0", "cc by nc", "licen[sc]e"),
-    ("cc_by_nd", "creative commons attribution no ?deriv(?:ative)?s|cc by nd", "2 0|2 5|3 0|4 0", "cc by nd", "licen[sc]e"),
-    ("cc_by_nc_sa", "creative commons attribution non ?commercial share ?alike|cc by nc sa", "2 0|2 5|3 0|4 0", "cc by nc sa", "licen[sc]e"),
-    ("cc_by_nc_nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd", "2 0|2 5|3 0|4 0", "cc by nc nd", "licen[sc]e"),
-    ("odbl", "open database|odbl", "1 0", "odbl", "licen[sc]e"),
-    ("odc_by", "open data commons attribution|odc by", "1 0", "odc by", "licen[sc]e"),
-    ("pddl", "public domain dedication and|pddl", "1 0", "pddl", "licen[sc]e"),
-    ("ofl", "sil open font|open font|ofl", "1 0|1 1", "ofl", "licen[sc]e"),
-    ("ubuntu_font", "ubuntu font", "1 0", "ubuntu font", "licen[sc]e"),
-    ("busl", "business source|busl", "1 0|1 1", "busl", "licen[sc]e"),
-    ("sspl", "server side public|sspl", "1", "sspl", "licen[sc]e"),
-    ("elastic", "elastic", "1|2|2 0", "elastic", "licen[sc]e"),
-    ("openssl", "openssl|openssl and ssleay", "", "openssl", "licen[sc]e"),
-    ("curl", "curl", "", "curl", "licen[sc]e"),
-    ("vim", "vim", "", "vim", "licen[sc]e"),
-    ("postgresql", "postgresql", "", "postgresql", "licen[sc]e"),
-    ("w3c", "w3c software(?: and document)?", "", "w3c", "licen[sc]e"),
-    ("icu", "icu|unicode", "", "icu", "licen[sc]e"),
-    ("intel", "intel simplified software|intel open source", "", "intel", "licen[sc]e"),
-    ("ibm_pl", "ibm public|ipl", "1 0", "ipl", "licen[sc]e"),
-    ("apsl", "apple public source|apsl", "1 0|1 1|1 2|2 0", "apsl", "licen[sc]e"),
-    ("npl", "netscape public", "1 0|1 1", "npl", "licen[sc]e"),
-    ("qpl", "q public|qpl", "1 0", "qpl", "licen[sc]e"),
-    ("sleepycat", "sleepycat", "", "sleepycat", "licen[sc]e"),
-    ("lppl", "latex project public|lppl", "1 0|1 1|1 2|1 3", "lppl", "licen[sc]e"),
-    ("nasa", "nasa open source", "1 3", "nasa", "licen[sc]e"),
-    ("cecill", "cecill", "1 0|1 1|2 0|2 1", "cecill", "licen[sc]e"),
-    ("mulan", "mulan permissive software|mulanpsl", "1|2", "mulanpsl", "licen[sc]e"),
-    ("openrail", "open responsible ai|openrail", "", "openrail", "licen[sc]e"),
-    ("llama", "llama(?: 2| 3)? community", "", "llama", "licen[sc]e"),
-]
-#: Forms of naming a license: suffix, pattern with {n} name, {v} version, {s} SPDX-like words, {w} license word; priority; confidence; keyword root.
-FORMS = [
-    ("version", r"(?:{n}) (?:{w})(?: agreement)?,? (?:version |v)(?:{v})", 40, 0.95, "licen"),
-    ("under", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{n})(?: {w})?(?: (?:version |v)?(?:{v}))?", 50, 0.98, "under"),
-    ("spdx", r"spdx license identifier (?:{s})(?: (?:{v}))?(?: only| or later)?", 60, 1.0, "spdx"),
-    ("named", r"(?:the )?(?:{n}) (?:{w})", 20, 0.8, "licen"),
-    ("subject", r"subject to the (?:terms (?:and conditions )?of the )?(?:{n}) (?:{w})", 30, 0.9, "licen"),
-]
-#: Sentences of license texts: label, pattern, keyword (fixed values).
-PASSAGES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute"),
-    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "warranty"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public_domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "domain"),
-    ("proprietary", r"all rights reserved", "reserved"),
-    ("proprietary", r"proprietary and confidential", "proprietary"),
-    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "hereby"),
-    ("apache", r"you may not use this file except in compliance with the license", "compliance"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license", "mozilla"),
-    ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
-]
-#: Words on each side of a keyword in which its rules are matched; no pattern spans more.
+#: The word that every base phrase ends with.
+BASE_WORD = "license"
+#: Words on each side of a gate word in which its rules are matched; no match spans more.
 REACH = 28
 
 
@@ -130,28 +41,31 @@ class Rule:
     pattern: re.Pattern
     priority: int
     confidence: float
-    keyword: str
+    gates: tuple[str, ...]
+
+
+def ruled(label: str, name: str, pattern: str, priority: int, confidence: float, gates: str) -> Rule:
+    return Rule(label, name, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), priority, confidence, tuple(gates.split()))
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, in their order: highest priority first, then as listed."""
     out = []
-    for label, name, versions, spdx, word in FAMILIES:
-        for form, pattern, priority, confidence, keyword in FORMS:
-            if form == "version" and not versions:
-                continue
-            text = pattern.format(n=name, v=versions or "0", s=spdx, w=word)
-            out.append(Rule(label, f"{label}_{form}", re.compile(rf"(?<![^ ]){text}(?![^ ])"), priority, confidence, keyword))
-    for k, (label, pattern, keyword) in enumerate(PASSAGES):
-        priority, confidence = (5, 0.3) if label in ("copyright", "proprietary") else (70, 0.95)
-        out.append(Rule(label, f"{label}_passage_{k}", re.compile(rf"(?<![^ ]){pattern}(?![^ ])"), priority, confidence, keyword))
+    for label, gates, name, versions, spdx in FAMILIES:
+        for form, pattern, priority, confidence in FORMS:
+            if versions or form != "version":
+                out.append(ruled(label, f"{label}_{form}", pattern.format(n=name, v=versions or "0", s=spdx), priority, confidence, gates))
+    for k, line in enumerate(SIGNATURES.strip().splitlines()):
+        label, priority, confidence, gates, pattern = line.split(" | ")
+        out.append(ruled(label, f"{label}_signature_{k}", pattern, int(priority), float(confidence), gates))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @lru_cache(maxsize=1)
-def opened() -> dict[str, tuple[Rule, ...]]:
-    return {k: tuple(r for r in rules() if r.keyword == k) for k in {r.keyword for r in rules()}}
+def opened() -> dict[tuple[str, ...], tuple[Rule, ...]]:
+    """Rules by their gate words."""
+    return {g: tuple(r for r in rules() if r.gates == g) for g in dict.fromkeys(r.gates for r in rules())}
 
 
 @lru_cache(maxsize=1)
@@ -159,7 +73,7 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for keyword in opened():
+    for keyword in {BASE_WORD, *(w for r in rules() for w in r.gates)}:
         found.add_word(keyword, keyword)
     found.make_automaton()
     return found
@@ -185,11 +99,11 @@ def base_places(words: list[str], at: list[int]) -> list[tuple[int, str]]:
 
 
 def detect(words: list[str], places: dict[str, list[int]]) -> list[Detection]:
-    """All detections around the keywords' words, each once."""
+    """All detections around the gate words, each once; places are those of whole words."""
     found = {}
-    for keyword, at in places.items():
+    for gates, own in opened().items():
         merged: list[list[int]] = []
-        for k in sorted(at):
+        for k in sorted({k for g in gates for k in places.get(g, ())}):
             low, high = max(0, k - REACH), min(len(words), k + REACH + 1)
             if merged and low <= merged[-1][1]:
                 merged[-1][1] = high
@@ -200,11 +114,11 @@ def detect(words: list[str], places: dict[str, list[int]]) -> list[Detection]:
             begins = [0]
             for w in words[low:high]:
                 begins.append(begins[-1] + len(w) + 1)
-            for rule in opened()[keyword]:
+            for rule in own:
                 for m in rule.pattern.finditer(window):
-                    first = int(np.searchsorted(begins, m.start(), side="right")) - 1
-                    last = int(np.searchsorted(begins, m.end(), side="left"))
-                    found[first, last, rule.name] = Detection(low + first, low + last, rule)
+                    first = low + bisect_right(begins, m.start()) - 1
+                    last = low + bisect_left(begins, m.end())
+                    found[first, last, rule.name] = Detection(first, last, rule)
     return sorted(found.values(), key=lambda d: (-d.rule.priority, d.first - d.last, d.first, d.rule.name))
 
 
@@ -241,7 +155,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(block.last - block.first):
                 low, high = int(block.offsets[d]), int(block.offsets[d + 1])
                 text = data[low:high].decode("latin-1")  # a character for each byte, so places are bytes
-                hits = [(low + end, keyword) for end, keyword in find.iter(text)]
+                hits = [
+                    (low + end, keyword)
+                    for end, keyword in find.iter(text)
+                    if not (end + 1 < len(text) and WORD[ord(text[end + 1])]) and not (end >= len(keyword) and WORD[ord(text[end - len(keyword)])])
+                ]
                 places, found = [], []
                 if hits:
                     a, b = block.word_at[d], block.word_at[d + 1]
@@ -251,7 +169,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     by_keyword: dict[str, list[int]] = {}
                     for k, (_, keyword) in zip(at.tolist(), hits, strict=True):
                         by_keyword.setdefault(keyword, []).append(k)
-                    places = [{"word": w, "label": label} for w, label in base_places(words, by_keyword.get("licen", []))]
+                    places = [{"word": w, "label": label} for w, label in base_places(words, by_keyword.get(BASE_WORD, []))]
                     found = [
                         {"first": x.first, "last": x.last, "label": x.rule.label, "rule": x.rule.name, "confidence": x.rule.confidence}
                         for x in suppressed(detect(words, by_keyword))
