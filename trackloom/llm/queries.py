@@ -84,7 +84,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select(
         found.id.alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        spans_text(F.col("spans")).alias("spans"),
+        spans_text(F.col("spans")).alias("spans"), "n_added",
     )
 
 
