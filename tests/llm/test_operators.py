@@ -266,7 +266,6 @@ def test_token_files(spark, documents):
     from trackloom.llm.tables import new_path
 
     tokenizer, want, start = Tokenizer.from_file(vocabulary()), [], 0
-    tokenizer.encode_special_tokens = True
     for doc, text in documents:
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
         want.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
