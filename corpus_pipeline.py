@@ -7,12 +7,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackloom.llm.decontaminate import drop_leaks
 from trackloom.llm.mixing import mixed
 from trackloom.llm.near_duplicates import keep_one
-from trackloom.llm.quality import score_quality, train
+from trackloom.llm.quality import accepted, train
 from trackloom.llm.tables import new_path, written
 from trackloom.llm.token_files import read_index, write_tokens
 
@@ -20,8 +19,7 @@ from trackloom.llm.token_files import read_index, write_tokens
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on their labels, accepts: a score of at least 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, train(docs, labels))
-    return scored.where(F.col("score") >= 0.5).select(docs.columns)
+    return accepted(docs, train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
