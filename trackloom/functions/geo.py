@@ -193,3 +193,74 @@ def ground_search_limit(outer: Column, range_m: Column, calibration: Column) ->
 def fit_scale(width: Column, height: Column, box_width: Column, box_height: Column) -> Column:
     """The largest scale at which an image lies within a box."""
     return F.least(box_width / width, box_height / height)
+
+
+def click_view(x_ratio: Column, y_ratio: Column, yaw: Column, pitch: Column, zoom: Column, width: Column, height: Column) -> Column:
+    """struct(yaw_delta, pitch_delta, yaw, pitch) of a click on a view in perspective, by its place on the stage."""
+    view_h = fov(zoom)
+    view_v = vertical_fov(view_h, width, height)
+    across, down = (clamp(x_ratio, 0, 1) - 0.5) * 2, (clamp(y_ratio, 0, 1) - 0.5) * 2
+    delta, rise = F.degrees(F.atan(across * F.tan(F.radians(view_h / 2)))), -F.degrees(F.atan(down * F.tan(F.radians(view_v / 2))))
+    return F.struct(signed_yaw(delta).alias("yaw_delta"), rise.alias("pitch_delta"), norm_yaw(yaw + delta).alias("yaw"), clamp(pitch + rise, -90, 90).alias("pitch"))
+
+
+def ground_distance(azimuth: Column, x: Column, y: Column, height: Column, yaw: Column, pitch: Column, view_h: Column, width: Column, stage_height: Column, most: Column) -> Column:
+    """The distance along an azimuth whose ground point is nearest to a place on the stage: 361 tries, then 41 around the best; the first of equals.
+
+    Null if no try is on the stage, or the best is farther off than 80 pixels and 12 % of the stage's shorter side.
+    """
+    least, tries, again = 0.05, 360, 40
+
+    def tried(low: Column, step: Column, count: int) -> Column:
+        def one(k: Column) -> Column:
+            metres = low + step * k
+            p = ground_to_screen(azimuth, metres, height, yaw, pitch, view_h, width, stage_height)
+            return F.struct(((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("error"), k.alias("k"), metres.alias("metres"))
+
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(count)), one), lambda t: t["error"].isNotNull()))
+
+    step = (most - least) / tries
+    coarse = F.transform(F.array(tried(F.lit(least), step, tries)), lambda t: F.struct(t["error"].alias("error"), t["metres"].alias("metres")))
+
+    def refined(t: Column) -> Column:
+        low, high = F.greatest(F.lit(least), t["metres"] - step), F.least(most, t["metres"] + step)
+        fine = tried(low, (high - low) / again, again)
+        better = fine["error"] < t["error"]
+        limit = F.greatest(F.lit(80.0), F.least(width, stage_height) * 0.12)
+        error = F.when(better, fine["error"]).otherwise(t["error"])
+        return F.when(error <= limit * limit, F.when(better, fine["metres"]).otherwise(t["metres"]))
+
+    return F.get(F.transform(coarse, refined), F.lit(0))
+
+
+def hud_radii(range_m: Column, outer_m: Column, sector_m: Column, view: Column, distance_m: Column, scale: Column, zoom: Column, ground_m: Column, low: Column, high: Column) -> Column:
+    """struct(outer, inner, marker, label_y) in pixels of the radar overlay; null without ranges."""
+    z = F.greatest(or_one(zoom), F.lit(0.01))
+    limits = lambda v: F.greatest(low, F.least(high, v))
+    wide = F.when(view > 0, limits(view / (90.0 / z))).otherwise(limits(z))
+    base = F.when(distance_m > 0, distance_m).otherwise(range_m)
+    pixels = lambda metres, least: clamp(metres / base * sector_m * or_one(scale) * wide, least, 100)
+    marker = pixels(F.when(ground_m > 0, ground_m).otherwise(range_m), 2)
+    known = range_m.isNotNull() & sector_m.isNotNull() & (outer_m > 0)
+    return F.when(known, F.struct(pixels(outer_m, 4).alias("outer"), pixels(range_m, 2).alias("inner"), marker.alias("marker"), clamp(clamp(104 - marker, 4, 104) - 8, 12, 96).alias("label_y")))
+
+
+def hud_payload(range_m: Column, view: Column, distance_m: Column, scale: Column) -> Column:
+    """The distances that the viewer's radar overlay is drawn from."""
+    return F.struct(
+        range_m.alias("range_m"), (range_m * 2.0).alias("outer_range_m"), (distance_m * scale).alias("base_sector_radius_m"), view.alias("calibration_fov_deg"), distance_m.alias("calibration_distance_m"),
+        scale.alias("manual_scale"), F.lit(MIN_RADIUS).alias("min_sector_radius_m"), F.lit(0.25).alias("min_zoom_multiplier"), F.lit(8.0).alias("max_zoom_multiplier"),
+    )
+
+
+def offset_from_targets(heading_deg: Column, targets: Column) -> Column:
+    """The offset that the first target with both map_bearing and yaw implies; null without one."""
+    both = F.filter(targets, lambda t: t["map_bearing"].isNotNull() & t["yaw"].isNotNull())
+    first = F.get(both, F.lit(0))
+    return signed_yaw(first["map_bearing"] - heading_deg - first["yaw"])
+
+
+def current_fov(video: Column, state_video: Column, zoom: Column) -> Column:
+    """The field of view of the last state, if it is of this video or either names none; null without a zoom."""
+    other = (F.coalesce(video, F.lit("")) != "") & (F.coalesce(state_video, F.lit("")) != "") & (video != state_video)
+    return F.when(~F.coalesce(other, F.lit(False)) & finite(zoom).isNotNull(), fov(zoom))

@@ -13,6 +13,8 @@ WIDE, NARROW = "".join(chr(0xFF01 + k) for k in range(94)) + "　", "".join(chr(
 CANDIDATE_MARKS = ("360 detection candidates", "360 poi clusters", "all_classes", "poi_candidates_360", "poi_candidates", "poi_clusters")
 SPHERE_NAMES, FLAT_NAMES = ("sphere", "360", "equirectangular", "pano"), ("flat", "pinhole", "front")
 MORE_SPHERE_NAMES, MORE_FLAT_NAMES = ("panorama",), ("normal",)
+PREFIX, OLD_PREFIX, LONG_PREFIX = "POI:", "360 POI Clusters:", "360 Detection Candidates"
+AUTO_SOURCES = ("yolo_candidate", "auto_point", "yolo_pinhole")
 ENGINES = {"krpano": ("krpano",), "psv": ("psv", "photo-sphere-viewer", "photosphere", "photo_sphere_viewer")}
 
 
@@ -168,3 +170,58 @@ def error_list(errors: Column) -> Column:
 
 def is_marking_mode(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x)).isin("marking", "picked"), F.lit(False))
+
+
+def display_prefix(x: Column) -> Column:
+    """A table's display text with the present prefix in place of the old one."""
+    text = F.trim(F.coalesce(x, F.lit("")))
+    tail = F.trim(F.substring(text, len(OLD_PREFIX) + 1, 1 << 30))
+    return F.when(text.startswith(OLD_PREFIX), F.when(tail != "", F.concat(F.lit(f"{PREFIX} "), tail)).otherwise(PREFIX.rstrip(":"))).otherwise(text)
+
+
+def display_name(layer: Column, identifier: Column) -> Column:
+    """How a candidate table is shown: by its own text if it has one, else by its name."""
+    own, name = F.trim(F.coalesce(identifier, F.lit(""))), F.trim(F.coalesce(layer, F.lit("")))
+    plain = F.when((name == "") | (name == "poi_candidates_360"), LONG_PREFIX).when(F.lower(name) == "all_classes", f"{PREFIX} All_Classes")
+    plain = plain.when(name.startswith("poi_clusters"), F.concat(F.lit(f"{PREFIX} "), name)).otherwise(F.concat(F.lit(f"{LONG_PREFIX}: "), name))
+    return F.when(own != "", display_prefix(own)).otherwise(plain)
+
+
+def display_alias(shown: Column, name: Column, alias: Column) -> Column:
+    """The display text of a table of one class under the class's alias, with its prefix kept."""
+    base = display_prefix(shown)
+    same = (F.trim(F.coalesce(shown, F.lit(""))) == "") | (F.coalesce(F.trim(name), F.lit("")) == "") | (F.coalesce(alias, F.lit("")) == "") | (alias == F.trim(name))
+    return F.when(same, base).when(base.startswith(PREFIX), F.concat(F.lit(f"{PREFIX} "), alias)).when(base.startswith(f"{LONG_PREFIX}:"), F.concat(F.lit(f"{LONG_PREFIX}: "), alias)).otherwise(alias)
+
+
+def cache_stem(path: Column) -> Column:
+    """A video's name without folders and extension, as the stem of cached images."""
+    name = F.regexp_replace(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_replace(F.regexp_replace(name, r"[^0-9A-Za-z_.-]+", "_"), "^_+|_+$", "")
+    return F.when(stem == "", "video").otherwise(stem)
+
+
+def missing_keys(base: Column, other: Column) -> Column:
+    """The keys of a catalogue that another lacks, sorted."""
+    return F.sort_array(F.array_except(base, other))
+
+
+def unique_ordered(values: Column) -> Column:
+    """The different values in the order of their first places."""
+    return F.array_distinct(values)
+
+
+def is_auto_target(source: Column, marker: Column, candidate: Column, semantic_class: Column) -> Column:
+    """Whether a target was made by a detector."""
+    named = lambda x: F.coalesce(x, F.lit("")) != ""
+    return F.coalesce(F.lower(F.trim(source)).isin(*AUTO_SOURCES), F.lit(False)) | F.coalesce(marker == "target_point", F.lit(False)) | named(candidate) | named(semantic_class)
+
+
+def same_frame(video: Column, frame: Column, other_video: Column, other_frame: Column) -> Column:
+    """Whether two states show one frame of one video; not where a frame isn't a whole number."""
+    return F.coalesce((video == other_video) & (frame.try_cast("bigint") == other_frame.try_cast("bigint")), F.lit(False))
+
+
+def frame_in_range(frame: Column, count: Column) -> Column:
+    """Whether a frame is one of the video's; where the number of frames isn't known, any from 0 on."""
+    return F.coalesce((frame >= 0) & F.coalesce((frame < count) | (count <= 0), F.lit(True)), F.lit(False))

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
 from ..session import ship
 
 METRES_PER_LAT, METRES_PER_LON = 110_574.0, 111_320.0
@@ -79,36 +78,34 @@ def match_references(
 ) -> DataFrame:
     """points with ``match``: struct(ref_idx, lat, lon, distance_m) of the nearest reference, or null.
 
-    Nearest is by planar degrees, the first ref_idx among equals; that one is measured and kept if within the tolerance, equality included.
+    Nearest is by planar degrees, the first ref_idx among equals; that one is measured on the ellipsoid (or by
+    ``distance``, such as ``haversine``) and kept if within the tolerance, equality included.
     References meet in cells: each is listed in its own cell and the eight around, so a point looks up one list and no
     pairs are made. Points without coordinates, or beyond ``most_lat``, for which cells would be too small, raise or stay unmatched as told:
     latitudes beyond it are an error.
     """
     size = cell_size(tolerance_m, most_lat)
-    measure = distance or haversine
+    measure = distance or geodesic()
     cell = lambda lat, lon: (F.floor(lat / size), F.floor(lon / size))
     own = refs.select("ref_idx", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).where("rlat is not null and rlon is not null")
     cy, cx = cell(F.col("rlat"), F.col("rlon"))
     around = F.explode(F.array(*[F.struct((cy + y).alias("cy"), (cx + x).alias("cx")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-    lists = own.withColumn("c", around).groupBy("c.cy", "c.cx").agg(F.collect_list(F.struct("ref_idx", "rlat", "rlon")).alias("near"))
+    lists = own.withColumn("c", around).groupBy("c.cy", "c.cx").agg(F.sort_array(F.collect_list(F.struct("ref_idx", "rlat", "rlon"))).alias("near"))
+    lists = lists.select("cy", "cx", "near", F.col("near.rlat").alias("lats"), F.col("near.rlon").alias("lons"))
     py, px = cell(F.col("lat"), F.col("lon"))
     safe = F.when(F.abs(F.col("lat")) > most_lat, F.raise_error(F.lit(f"a latitude is beyond most_lat = {most_lat}")).cast("bigint")).otherwise(py)
     placed = points.withColumn("cy", safe).withColumn("cx", px)
     found = placed.join(lists, ["cy", "cx"], "left")
-    best = F.array_min(
-        F.transform(
-            "near",
-            lambda r: F.struct(
-                ((r["rlat"] - F.col("lat")) * (r["rlat"] - F.col("lat")) + (r["rlon"] - F.col("lon")) * (r["rlon"] - F.col("lon"))).alias("d2"), r["ref_idx"].alias("ref_idx"), r["rlat"].alias("rlat"), r["rlon"].alias("rlon")
-            ),
-        )
-    )
+    # numbers only in the inner loop; of equally near references the first of the sorted list counts
+    off = F.zip_with("lats", "lons", lambda y, x: (y - F.col("lat")) * (y - F.col("lat")) + (x - F.col("lon")) * (x - F.col("lon")))
+    found = found.withColumn("off", off)
+    best = F.get(F.col("near"), (F.array_position(F.col("off"), F.array_min("off")) - 1).cast("int"))
     found = found.withColumn("best", best).withColumn("metres", measure(F.col("lat"), F.col("lon"), F.col("best.rlat"), F.col("best.rlon")))
     kept = F.when(
         F.col("metres") <= tolerance_m,
         F.struct(F.col("best.ref_idx").alias("ref_idx"), F.col("best.rlat").alias("lat"), F.col("best.rlon").alias("lon"), F.col("metres").alias("distance_m")),
     )
-    return found.withColumn("match", kept).drop("cy", "cx", "near", "best", "metres")
+    return found.withColumn("match", kept).drop("cy", "cx", "near", "lats", "lons", "off", "best", "metres")
 
 
 def aligned(matched: DataFrame, refs: DataFrame) -> DataFrame:

@@ -98,3 +98,16 @@ def restored_markings(rows: DataFrame) -> DataFrame:
         "video", "frame", F.coalesce("x.target_id", "x.target_order").alias("id"), F.coalesce("x.target_order", "x.target_id").alias("order"),
         norm_yaw(F.col("x.target_yaw")).alias("yaw"), clamp(F.coalesce("x.target_pitch", F.lit(0.0)), -90, 90).alias("pitch"), F.greatest(F.lit(0.01), F.coalesce("x.view_zoom", F.lit(1.0))).alias("zoom"),
     )
+
+
+def sorted_markings(rows: DataFrame) -> DataFrame:
+    """Restored markings with ``place`` from 1 within their frame: by order, then id, then input position."""
+    order = Window.partitionBy("video", "frame").orderBy(F.coalesce("target.order", F.lit(0)), F.coalesce("target.id", F.lit(0)), "pos")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def last_view(rows: DataFrame) -> DataFrame:
+    """video, frame, yaw, pitch, zoom of the view in which each frame's last restored marking was made."""
+    place = F.struct(F.coalesce("target.order", F.lit(0)).alias("a"), F.coalesce("target.id", F.lit(0)).alias("b"), F.col("pos").alias("c"))
+    view = F.struct(F.col("target.view_yaw_to_camera_heading").alias("yaw"), F.col("target.view_pitch").alias("pitch"), F.col("target.view_zoom").alias("zoom"))
+    return rows.groupBy("video", "frame").agg(F.max_by(view, place).alias("x")).select("video", "frame", "x.*")

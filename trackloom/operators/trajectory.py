@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import heading, local_vector
 from ..session import ship
@@ -32,13 +33,14 @@ def headings(positions: DataFrame, frames: DataFrame | None = None, key: str = "
     at = lambda shift: F.try_element_at(F.col("near"), F.col("frame") + F.lit(shift))
 
     def pair(a: Column, b: Column) -> Column:
-        east, north = local_vector(a["lat"], a["lon"], b["lat"], b["lon"])
-        return F.when(a.isNotNull() & b.isNotNull(), F.struct(heading(east, north).alias("heading"), F.sqrt(east * east + north * north).alias("distance_m")))
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(a["lat"].alias("lat1"), a["lon"].alias("lon1"), b["lat"].alias("lat2"), b["lon"].alias("lon2")))
 
     both = [pair(at(-k), at(k)) for k in range(reach, 0, -1)]
     single = [x for k in range(reach, 0, -1) for x in (pair(at(0), at(k)), pair(at(-k), at(0)))]
-    rows = rows.withColumn("found", F.coalesce(*both, *single))
-    return rows.select(key, "frame", F.col("found.heading").alias("heading"), F.col("found.distance_m").alias("distance_m"))
+    rows = rows.select(key, "frame", F.coalesce(*both, *single).alias("p"))  # the pair first: the vector is computed once
+    east, north = local_vector(*(F.col(f"p.{x}") for x in ("lat1", "lon1", "lat2", "lon2")))
+    rows = rows.select(key, "frame", east.alias("east"), north.alias("north"))
+    return rows.select(key, "frame", heading(F.col("east"), F.col("north")).alias("heading"), F.sqrt(F.col("east") * F.col("east") + F.col("north") * F.col("north")).alias("distance_m"))
 
 
 def held_headings(visits: DataFrame, key: str = "video", order: str = "seq", reach: int = REACH, scale: float = 1.0) -> DataFrame:
@@ -63,8 +65,7 @@ def held_headings(visits: DataFrame, key: str = "video", order: str = "seq", rea
             yield batch.assign(held_heading=out_heading, radius_m=out_radius)
 
     ship(visits.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in visits.schema.fields}
-    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", held_heading double, radius_m double"
+    schema = T.StructType([*visits.schema.fields, T.StructField("held_heading", T.DoubleType()), T.StructField("radius_m", T.DoubleType())])
     return visits.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import circle, ground_to_screen, sector, vertical_fov
+from ..functions.geo import circle, ground_to_screen, haversine, sector, vertical_fov
 from ..functions.numbers import fixed
-from ..operators import match, navigate, project, resample, review, trajectory
-from . import fixtures, scalars
+from ..operators import frames, match, navigate, project, resample, review, trajectory
+from . import fixtures, scalars, session_queries
 from .fixtures import table, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,7 @@ POINTS_SQL = with_("track", "refs") + ", pt AS (SELECT track_id, epoch_us(ts) AS
 
 def matched_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fixtures.track(spark, sf_dir).select("track_id", resample.micros(F.col("ts")).alias("us"), "lat", "lon")
-    return match.match_references(points, fixtures.refs(spark, sf_dir), TOLERANCE_M)
+    return match.match_references(points, fixtures.refs(spark, sf_dir), TOLERANCE_M, distance=haversine)  # on the sphere, as the SQL
 
 
 @query(POINTS_SQL + " SELECT track_id, us, lat, lon, ref_idx, metres FROM matched")
@@ -97,7 +97,7 @@ def join_nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POINTS_SQL + " SELECT count(*) AS points, count(ref_idx) AS matched FROM matched")
 def agg_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched_points(spark, sf_dir).agg(F.count("*").alias("points"), F.count("match").alias("matched"))
+    return frames.matched_count(matched_points(spark, sf_dir))
 
 
 @query(POINTS_SQL + " SELECT track_id, us, lat AS latitude, lon AS longitude, coalesce(r2.lat, m.lat) AS aligned_latitude, coalesce(r2.lon, m.lon) AS aligned_longitude, coalesce(r2.reference_label, '') AS kp,"
@@ -254,36 +254,34 @@ def dedup_marking_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("markings") + " SELECT video, CAST(count(DISTINCT frame) AS BIGINT) AS frames FROM markings GROUP BY video")
 def agg_picked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.markings(spark, sf_dir).select("video", "frame").distinct().groupBy("video").agg(F.count("*").alias("frames"))
+    return frames.frame_count(fixtures.markings(spark, sf_dir))
 
 
 @query(with_("candidates") + " SELECT DISTINCT video, frame FROM candidates")
 def agg_detection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.candidates(spark, sf_dir).select("video", "frame").distinct()
+    return frames.distinct_frames(fixtures.candidates(spark, sf_dir))
 
 
 @query(with_("candidates") + " SELECT video, min(frame) AS first_frame, count(*) AS features FROM candidates GROUP BY video")
 def agg_first_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.candidates(spark, sf_dir).groupBy("video").agg(F.min("frame").alias("first_frame"), F.count("*").alias("features"))
+    return frames.first_frames(fixtures.candidates(spark, sf_dir))
 
 
 @query(with_("candidates") + " SELECT video, array_to_string(list_sort(list(DISTINCT semantic_class)), '|') AS classes, CASE WHEN count(DISTINCT semantic_class) = 1 THEN max(semantic_class) END AS single FROM candidates GROUP BY video")
 def agg_sorted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = F.sort_array(F.collect_set("semantic_class"))
-    rows = fixtures.candidates(spark, sf_dir).groupBy("video").agg(classes.alias("c"))
-    return rows.select("video", F.array_join("c", "|").alias("classes"), F.when(F.size("c") == 1, F.get("c", F.lit(0))).alias("single"))
+    rows = frames.sorted_classes(fixtures.candidates(spark, sf_dir))
+    return rows.select("video", F.array_join("classes", "|").alias("classes"), frames.single_class(F.col("classes")).alias("single"))
 
 
 @query("SELECT p_type AS value, min(p_partkey) AS first_pos FROM part WHERE trim(p_type) <> '' GROUP BY p_type ORDER BY first_pos LIMIT 4")
 def agg_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four distinct values of a column, in row order: the limit is the feature."""
-    rows = table(spark, sf_dir, "part").where(F.trim("p_type") != "").groupBy(F.col("p_type").alias("value")).agg(F.min("p_partkey").alias("first_pos"))
-    return rows.orderBy("first_pos").limit(4)
+    return frames.distinct_values(table(spark, sf_dir, "part"), "p_type", 4, "p_partkey")
 
 
 @query(with_("markings") + " SELECT video, max(greatest(coalesce(target_id, 0), coalesce(target_order, 0))) + 1 AS next_id FROM markings GROUP BY video")
 def agg_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.markings(spark, sf_dir).groupBy("video").agg((F.max(F.greatest(F.coalesce("target_id", F.lit(0)), F.coalesce("target_order", F.lit(0)))) + 1).alias("next_id"))
+    return frames.next_id(fixtures.markings(spark, sf_dir))
 
 
 TARGETS_SQL = """WITH t AS (
@@ -371,6 +369,8 @@ def geo_vertical_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fixed(vertical_fov(F.lit(20.0) + F.col("p_size"), F.lit(16.0), F.lit(9.0)), 6).alias("value"))
 
 
+QUERIES |= session_queries.QUERIES
+ORACLES |= session_queries.ORACLES
 for _name in scalars.SCALARS:
     QUERIES[_name] = scalars.query(_name)
     ORACLES[_name] = scalars.oracle(_name)

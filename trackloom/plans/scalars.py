@@ -135,12 +135,8 @@ SCALARS: dict[str, Scalar] = {
     "proj_norm_gpx_field": Scalar("part", "p_partkey", lambda: text.normalize_gpx_field(F.concat(F.lit("{http://x}"), NAME())), strip(f"regexp_replace(lower(trim({NAME_SQL})), '[\\s:./-]+', '_', 'g')")),
     "proj_frame_index": Scalar("part", "p_partkey", lambda: text.parse_frame(FRAME()), f"CASE WHEN regexp_matches(trim({FRAME_SQL}), '^[+]?[0-9]+$') THEN CAST(trim({FRAME_SQL}) AS BIGINT) END"),
     "pred_marking_mode": Scalar("part", "p_partkey", lambda: text.is_marking_mode(MODE()), f"coalesce(lower(trim({MODE_SQL})) IN ('marking', 'picked'), false)"),
-    "pred_frame_in_range": Scalar("part", "p_partkey", lambda: F.expr("p_partkey % 60 < p_size OR p_size % 10 = 0"), "p_partkey % 60 < p_size OR p_size % 10 = 0"),
     "pred_user_click": Scalar("part", "p_partkey", lambda: review.is_user_click(F.expr("CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' Manual_Click' WHEN 2 THEN 'yolo' ELSE '' END"), F.expr("CASE WHEN p_size % 7 = 0 THEN 'c' END"), F.lit(None).cast("string"), F.lit(""), F.expr("CASE WHEN p_size % 3 = 0 THEN 1 END"), F.expr("CASE WHEN p_size % 5 = 0 THEN 1 END")), "coalesce(p_partkey % 4 <> 2, true) AND p_size % 7 <> 0 AND (p_size % 3 = 0 OR p_size % 5 = 0)"),
     "pred_meaningful": Scalar("part", "p_partkey", lambda: review.is_meaningful(F.expr("CASE WHEN p_size % 7 = 0 THEN 'c' END"), F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit(""), F.expr("p_size % 3"), F.expr("CASE WHEN p_size % 5 = 0 THEN 0 END")), "p_size % 7 = 0 OR p_size % 3 > 0"),
-    "time_to_frame": Scalar("events", "event_id", lambda: F.rint(C("event_id") / 8.0 * 4.0).cast("bigint"), "CAST(round_even(event_id / 8e0 * 4e0, 0) AS BIGINT)"),
-    "time_format": Scalar("events", "event_id", lambda: F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"),
-    "time_to_layer": Scalar("events", "event_id", lambda: F.date_trunc("MILLISECOND", F.col("ts") + F.expr("INTERVAL '0.001999' SECOND")).cast("timestamp_ntz"), "date_trunc('millisecond', ts + INTERVAL 1999 MICROSECOND)"),
 }
 
 

@@ -146,16 +146,42 @@ def append_marking(targets: Column, new: Column, most: int = 100) -> Column:
 
 
 def store_markings(existing_path: str):
-    """A foreachBatch function that appends the markings of a batch which the table at the path doesn't hold yet."""
+    """A foreachBatch function that adds the markings of a batch which the table at the path doesn't hold yet.
+
+    Each batch has a folder of its own, so one that is run again after a failure writes the same rows in place of its first ones.
+    """
+    from ..operators.export import existing as present
     from ..operators.review import insert_markings
 
-    def store(batch: DataFrame, _: int) -> None:
-        try:
-            existing = batch.sparkSession.read.parquet(existing_path)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            existing = batch.limit(0)
-        insert_markings(existing, batch).write.mode("append").parquet(existing_path)
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = batch.limit(0)
+        if present(spark, [existing_path]):
+            before = spark.read.option("basePath", existing_path).schema(batch.schema.add("batch", "bigint")).parquet(existing_path).where(F.col("batch") != number)
+        insert_markings(before, batch).write.mode("overwrite").parquet(f"{existing_path}/batch={number}")
 
     return store
+
+
+def settled(changes: DataFrame, quiet_us: int = 300_000, key: str = "video", time: str = "ts") -> DataFrame:
+    """The changes after which nothing changed for so long: what is posted of a burst is its last state. The last change of all counts."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    after = F.lead(us).over(Window.partitionBy(key).orderBy(time, "seq"))
+    return changes.withColumn("__after", after - us).where(F.col("__after").isNull() | (F.col("__after") >= quiet_us)).drop("__after")
+
+
+def unsuppressed(posts: DataFrame, hold_us: int = 1_200_000, key: str = "video", time: str = "ts") -> DataFrame:
+    """The posts without own ones that follow an external change too soon; ``external`` tells the two apart."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    last = F.max(F.when(F.col("external"), us)).over(Window.partitionBy(key).orderBy(time, "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return posts.withColumn("__since", us - last).where(F.col("external") | F.col("__since").isNull() | (F.col("__since") >= hold_us)).drop("__since")
+
+
+def graced(states: DataFrame, grace_us: int = 900_000, key: str = "video", time: str = "ts") -> DataFrame:
+    """states (key, frame, seq, time, n_targets) with cleared: whether an empty list counts, having stayed empty for so long at the same frame."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    order = Window.partitionBy(key).orderBy(time, "seq")
+    new = (F.col("n_targets") > 0) | ~F.col("frame").eqNullSafe(F.lag("frame").over(order)) | (F.lag("n_targets").over(order) > 0)
+    rows = states.withColumn("__run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.min(us).over(Window.partitionBy(key, "__run"))
+    return rows.withColumn("cleared", (F.col("n_targets") == 0) & (us - first >= grace_us)).drop("__run")
