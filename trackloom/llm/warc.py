@@ -5,9 +5,9 @@ asks for and ARC lacks: an identifier, an ISO timestamp, a type, and digests of
 least ``LEAST`` bytes, that with the largest key stays whole and the others become revisits of it. ``write_warc`` writes
 WARC/1.1 files and ``read_warc`` reads them back by Content-Length.
 
-Files are written by Spark's text writer, whose line end is the two line ends that close a WARC record, so any store that Spark
-writes to will do and lost executors leave nothing behind. A file holds at most ``PER_FILE`` records. Payloads are bytes on the way: they are
-written as they are, whatever their encoding.
+Each record is a gzip member of its own, as WARC readers expect. Files are written by Spark's text writer, whose line end is the zero byte that
+ends a member (the highest byte of its length), so any store that Spark writes to will do and lost executors leave nothing behind. A file
+takes records until it has ``FILE_BYTES``. Payloads are bytes on the way: they are written as they are, whatever their encoding.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import map_arrow
+from .tables import map_arrow, written
 
-LEAST, PER_FILE = 1000, 5000
-RECORD_END = "\r\n\r\n"
+LEAST, FILE_BYTES, ARC_BYTES, LEVEL = 1000, 64 << 20, 4 << 20, 3
+#: Up to so many revisits are broadcast to their records, with a few hundred bytes each; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: A gzip member holds less, so the highest byte of its length is zero; a longer record is several members.
+MEMBER_BYTES = (1 << 24) - 1
 #: Fixed field names of the two ARC versions.
 ARC_FIELDS = {
     "1": ("url", "ip", "date", "type", "length"),
@@ -39,7 +42,7 @@ ARC_NAMES = {
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARC_SCHEMA = "version string, url string, ip string, date string, type string, block binary"
+ARC_SCHEMA = "version string, url string, ip string, date string, type string, block binary, digest string, size bigint, key bigint"
 
 
 @dataclass
@@ -108,35 +111,47 @@ def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
         at = end + 1 + size
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0):
-            for at, records in _chunks(parse_arc(raw.as_py() or b""), 500):
-                columns = [[getattr(r, f) for r in records] for f in ("version", "url", "ip", "date", "type", "block")]
-                kinds = [pa.string()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["version", "url", "ip", "date", "type", "block"])
+def _parse_batches(key_header: str | None) -> Callable:
+    """mapInArrow: (ARC file) -> ARC_SCHEMA."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                for records in _chunks(parse_arc(raw.as_py() or b""), lambda r: len(r.block)):
+                    payloads = [payload_of(r.block) for r in records]
+                    columns = [[getattr(r, f) for r in records] for f in ("version", "url", "ip", "date", "type", "block")]
+                    columns += [[hashlib.sha1(p).hexdigest() for p in payloads], [len(p) for p in payloads], [_key(r.block, key_header) for r in records]]
+                    kinds = [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ARC_SCHEMA.split(", ")])
+
+    return run
+
 
+def _key(block: bytes, header: str | None) -> int | None:
+    found = http_header(block, header) if header else None
+    return int(found) if found and re.fullmatch(r"-?[0-9]{1,19}", found) and -(1 << 63) <= int(found) < 1 << 63 else None
 
-def _chunks(items: Iterator, n: int) -> Iterator[tuple[int, list]]:
+
+def _chunks(items: Iterator, size: Callable[[object], int], most: int = ARC_BYTES, rows: int = 256) -> Iterator[list]:
+    """Lists of items of about ``most`` bytes together, and of at most so many rows."""
     held: list = []
-    at = 0
+    used = 0
     for item in items:
         held.append(item)
-        if len(held) == n:
-            yield at, held
-            at, held = at + n, []
+        used += size(item)
+        if used >= most or len(held) == rows:
+            yield held
+            held, used = [], 0
     if held:
-        yield at, held
+        yield held
 
 
-def parse_arc_column(df: DataFrame, column: str) -> DataFrame:
-    """ARC_SCHEMA rows of all records in a binary column of ARC files."""
-    return map_arrow(df.select(column), _parse_batches, ARC_SCHEMA)
+def read_arc(spark: SparkSession, path: str, key_header: str | None = None) -> DataFrame:
+    """ARC_SCHEMA rows of the ARC files at a path that Spark reads; each file is one task's.
 
-
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """ARC_SCHEMA rows of the ARC files at a path that Spark reads; each file is one task's."""
-    return parse_arc_column(spark.read.format("binaryFile").load(path).select("content"), "content")
+    digest and size are those of the payload; key is an integer in the HTTP header of that name, null without it.
+    """
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), _parse_batches(key_header), ARC_SCHEMA)
 
 
 def payload_of(block: bytes) -> bytes:
@@ -177,76 +192,84 @@ def warc_type(url: str, block: bytes) -> tuple[str, str]:
     return "resource", "text/dns" if url.startswith("dns:") else "application/octet-stream"
 
 
-def warc_record(kind: str, content: str, url: str, ip: str, date: str, identity: str, digest: str, block: bytes, refers_to: str | None = None, target: str | None = None) -> bytes:
+def warc_record(kind: str, content: str, url: str, ip: str, date: str, identity: str, digest: str, block: bytes, refers_to: str | None = None, target: str | None = None, target_date: str | None = None) -> bytes:
     """A record without the two line ends that close it."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {identity}", f"WARC-Date: {iso_date(date)}"]
     if kind != "warcinfo":
         lines += [f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: {base32_sha1(digest)}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers_to}", f"WARC-Refers-To-Target-URI: {target}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers_to}", f"WARC-Refers-To-Target-URI: {target}", f"WARC-Refers-To-Date: {iso_date(target_date)}"]
     lines += [f"WARC-Block-Digest: {base32_sha1(hashlib.sha1(block).hexdigest())}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, date, block) -> (key, url, date, digest, size)."""
-    for batch in batches:
-        payloads = [payload_of(b.as_py() or b"") for b in batch.column(3)]
-        digests = pa.array([hashlib.sha1(p).hexdigest() for p in payloads], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], digests, pa.array([len(p) for p in payloads], pa.int64())], ["key", "url", "date", "digest", "size"])
-
-
-def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, ip, date, type, block, digest, first_key, first_url, first_date) -> (record)."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            out = []
-            for r in batch.slice(low, 256).to_pylist():
-                block, digest = r["block"] or b"", r["digest"]
-                kind, content = warc_type(r["url"], block)
-                identity = record_id("record", r["key"], r["url"], r["date"], digest)
-                if kind == "warcinfo":
-                    block = f"software: trackloom\r\nformat: WARC File Format 1.1\r\nconverted-from: {r['url']}\r\n".encode()
-                    out.append(warc_record(kind, content, r["url"], r["ip"], r["date"], identity, digest, block))
-                elif r["first_key"] is not None:
-                    head = block[: len(block) - len(payload_of(block))] if kind == "response" else b""
-                    first = record_id("record", r["first_key"], r["first_url"], r["first_date"], digest)
-                    out.append(warc_record("revisit", content, r["url"], r["ip"], r["date"], identity, digest, head, first, r["first_url"]))
-                else:
-                    out.append(warc_record(kind, content, r["url"], r["ip"], r["date"], identity, digest, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-
-def convert(records: DataFrame, key: str, least: int = LEAST) -> DataFrame:
-    """(record): WARC records of a table of ARC records with a bigint ``key``.
-
-    Only digests meet: keys are pre-aggregated by payload, and blocks are joined to the few payloads that occur more than once. Records of
-    equal payload and equal largest key are all whole; null keys are the smallest.
+def member(record: bytes, level: int = LEVEL) -> bytes:
+    """The record as gzip members, without the zero byte at the end."""
+    out = []
+    for at in range(0, len(record), MEMBER_BYTES):
+        part = zlib.compressobj(level, zlib.DEFLATED, 31)
+        out.append(part.compress(record[at : at + MEMBER_BYTES]) + part.flush())
+    return b"".join(out)[:-1]
+
+
+def _converted(file_bytes: int) -> Callable:
+    """mapInArrow: (rid, key, url, ip, date, type, block, digest, first_rid, first_key, first_url, first_date) -> (file, record); record is gzipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, used = 0, 0
+        for batch in batches:
+            rows = (r for low in range(0, batch.num_rows, 64) for r in batch.slice(low, 64).to_pylist())
+            for part in _chunks(rows, lambda r: len(r["block"] or b"")):
+                files, out = [], []
+                for r in part:
+                    files.append(file)
+                    out.append(member(_record(r) + b"\r\n\r\n"))
+                    used += len(out[-1])
+                    if used >= file_bytes:
+                        file, used = file + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(out, pa.binary())], ["file", "record"])
+
+    return run
+
+
+def _record(r: dict) -> bytes:
+    block, digest = r["block"] or b"", r["digest"]
+    kind, content = warc_type(r["url"], block)
+    identity = record_id("record", r["rid"], r["key"], r["url"], r["date"], digest)
+    if kind == "warcinfo":
+        block = f"software: trackloom\r\nformat: WARC File Format 1.1\r\nconverted-from: {r['url']}\r\n".encode()
+    elif r["first_rid"] is not None:
+        head = block[: len(block) - len(payload_of(block))] if kind == "response" else b""
+        first = record_id("record", r["first_rid"], r["first_key"], r["first_url"], r["first_date"], digest)
+        return warc_record("revisit", content, r["url"], r["ip"], r["date"], identity, digest, head, first, r["first_url"], r["first_date"])
+    return warc_record(kind, content, r["url"], r["ip"], r["date"], identity, digest, block)
+
+
+def convert(records: DataFrame, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(file, record): gzipped WARC records of ARC_SCHEMA rows, and the number of the file within its task that each goes to.
+
+    The records are written once, with their digests; only digests, keys and URLs meet, and of these only the revisits return to their records.
+    Records of equal payload and equal largest key are all whole; null keys are the smallest. An identifier counts the record's place in
+    the written table, so repeated rows have records of their own.
     """
-    base = records.select(F.col(key).alias("key"), "url", "ip", "date", "type", "block")
-    sizes = map_arrow(base.select("key", "url", "date", "block"), _describe, "key bigint, url string, date string, digest string, size bigint")
-    firsts = sizes.where((F.col("size") >= least) & ~F.col("url").startswith("filedesc:")).groupBy("digest").agg(
-        F.max(F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("order"), "key", "url", "date")).alias("first"), F.count("*").alias("n")
-    )
-    firsts = firsts.where("n > 1").select(F.col("digest").alias("of"), "first")
-    told = map_arrow(base, _with_digest, "key bigint, url string, ip string, date string, type string, block binary, digest string, size bigint")
-    joined = told.join(firsts, (F.col("digest") == F.col("of")) & (F.col("size") >= least) & ~F.col("url").startswith("filedesc:"), "left")
-    later = F.col("first").isNotNull() & (F.coalesce("key", F.lit(-(1 << 63))) < F.col("first.order"))
-    columns = [F.when(later, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("key", "url", "date")]
-    return map_arrow(joined.select("key", "url", "ip", "date", "type", "block", "digest", *columns), _converted, "record binary")
-
-
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [payload_of(b.as_py() or b"") for b in batch.column(5)]
-        digests = pa.array([hashlib.sha1(p).hexdigest() for p in payloads], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, digests, pa.array([len(p) for p in payloads], pa.int64())], [*batch.schema.names, "digest", "size"])
-
-
-def write_warc(records: DataFrame, folder: str, per_file: int = PER_FILE, compression: str = "gzip") -> str:
-    """Writes the records as WARC files (gzip as a whole, or "none") and returns the folder."""
-    text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", per_file).text(folder)
+    records = written(records.withColumn("rid", F.monotonically_increasing_id()), "records", "zstd")
+    facts = records.where((F.col("size") >= least) & ~F.col("url").startswith("filedesc:"))
+    facts = facts.select("rid", "digest", F.coalesce("key", F.lit(-(1 << 63))).alias("order"), "key", "url", "date")
+    firsts = facts.groupBy("digest").agg(F.max(F.struct("order", "rid", "key", "url", "date")).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.where("n > 1").select(F.col("digest").alias("of"), "first"), "firsts")
+    later = facts.join(firsts, F.col("digest") == F.col("of")).where(F.col("order") < F.col("first.order"))
+    later = written(later.select(F.col("rid").alias("own"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("rid", "key", "url", "date")]), "revisits")
+    if later.count() <= BROADCAST_ROWS:
+        later = F.broadcast(later)
+    told = records.join(later, F.col("rid") == F.col("own"), "left")
+    columns = ("rid", "key", "url", "ip", "date", "type", "block", "digest", "first_rid", "first_key", "first_url", "first_date")
+    return map_arrow(told.select(*columns), _converted(file_bytes), "file int, record binary")
+
+
+def write_warc(records: DataFrame, folder: str) -> str:
+    """Writes the gzipped records as WARC files and returns the folder."""
+    text = records.select("file", F.col("record").cast("string").alias("value"))
+    text.write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(folder)
     return folder
 
 
@@ -299,75 +322,111 @@ def expanded(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 WARC_SCHEMA = "type string, id string, url string, date string, refers_to string, digest string, headers map<string,string>, block binary"
 
 
+def warc_digest(fields: dict[str, str]) -> str | None:
+    return base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex() if "WARC-Payload-Digest" in fields else None
+
+
+def checked(fields: dict[str, str], block: bytes) -> str | None:
+    """The digest of the record's payload, counted from its block; that of the header for a revisit. ValueError if a digest isn't that of its header."""
+    if base32_sha1(hashlib.sha1(block).hexdigest()) != fields.get("WARC-Block-Digest", ""):
+        raise ValueError(f"{fields.get('WARC-Record-ID')}: the block doesn't have its digest")
+    digest = warc_digest(fields)
+    if digest is not None and fields["WARC-Type"] != "revisit" and hashlib.sha1(payload_of(block)).hexdigest() != digest:
+        raise ValueError(f"{fields.get('WARC-Record-ID')}: the payload doesn't have its digest")
+    return digest
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("type", "id", "url", "date", "refers_to", "digest", "headers", "block")
     kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.binary()]
     for batch in batches:
         for raw in batch.column(0):
-            for _, found in _chunks(parse_warc(expanded(raw.as_py() or b"")), 256):
+            for found in _chunks(parse_warc(expanded(raw.as_py() or b"")), lambda x: len(x[1])):
                 rows = [
-                    (
-                        f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Target-URI"), f["WARC-Date"], f.get("WARC-Refers-To"),
-                        base64.b32decode(f["WARC-Payload-Digest"][5:]).hex() if "WARC-Payload-Digest" in f else None, list(f.items()), block,
-                    )
+                    (f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Target-URI"), f["WARC-Date"], f.get("WARC-Refers-To"), checked(f, block), list(f.items()), block)
                     for f, block in found
-                ]
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """WARC_SCHEMA rows of all records of the WARC files at a path; digests are hexadecimal."""
-    return map_arrow(spark.read.format("binaryFile").load(folder).select("content"), _read_batches, WARC_SCHEMA)
+    """WARC_SCHEMA rows of all records of the WARC files at a path; digests are hexadecimal, and checked."""
+    return map_arrow(_files(spark, folder), _read_batches, WARC_SCHEMA)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
+
+
+FACTS = "type string, id string, refers_to string, key bigint, size bigint, digest string"
+
+
+def _facts(key_header: str) -> Callable:
+    """mapInArrow: (WARC file) -> FACTS, counted from the blocks; size is that of the payload, null for a revisit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            for raw in batch.column(0):
+                for found in _chunks(parse_warc(expanded(raw.as_py() or b"")), lambda x: len(x[1])):
+                    rows = [
+                        (f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Refers-To"), _key(block, key_header), None if f["WARC-Type"] == "revisit" else len(payload_of(block)), checked(f, block))
+                        for f, block in found
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FACTS.split(", ")])
+
+    return run
 
 
 def _as_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html) -> (arc): small ARC files of the pages, by turns of version 1 and 2."""
-    for n, batch in enumerate(batches):
-        for low in range(0, batch.num_rows, 100):
+    n = 0
+    for batch in batches:
+        rows = (row for low in range(0, batch.num_rows, 64) for row in zip(*(c.to_pylist() for c in batch.slice(low, 64).columns), strict=True))
+        for part in _chunks(rows, lambda row: len(row[2] or "")):
             records = []
-            for page, url, html in zip(*(c.to_pylist() for c in batch.slice(low, 100).columns), strict=True):
+            for page, url, html in part:
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 key = "" if page is None else str(page)
                 head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {key}\r\n\r\n"
                 records.append((url or "about:blank", "0.0.0.0", "19960101000000", "text/html", head.encode() + payload))
-            version = "12"[(n + low // 100) % 2]
-            yield pa.RecordBatch.from_arrays([pa.array([arc_file(version, f"pages-{n}-{low}.arc", records)], pa.binary())], ["arc"])
+            yield pa.RecordBatch.from_arrays([pa.array([arc_file("12"[n % 2], f"pages-{n}.arc", records)], pa.binary())], ["arc"])
+            n += 1
+
+
+def _page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
 
 
 def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(arc): pages as legacy archives, 100 to a file, each page's id in an HTTP header.
+    """(arc): pages as small legacy archives of a few megabytes, each page's id in an HTTP header.
 
     Null html is empty, a null URL is about:blank, a null id an empty header; further columns are ignored.
     """
-    rows = pages.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
-    return map_arrow(rows, _as_arc, "arc binary")
+    return map_arrow(_page_rows(pages, id_col, url_col, html_col), _as_arc, "arc binary")
 
 
-def http_value(block: Column, name: str) -> Column:
-    """A header of an HTTP response's block, as text; null without it."""
-    head = F.substring_index(F.decode(F.substring(block, 1, 2000), "ISO-8859-1"), "\r\n\r\n", 1)
-    found = F.regexp_extract(head, rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1)
-    return F.when(found != "", found)
+def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> str:
+    """Pages -> ARC files -> ARC records -> WARC files; returns the folder. Odd pages are taken as ``pages_as_arc`` says; an empty table has no file."""
 
+    def through_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _parse_batches("X-Page-Id")(_as_arc(batches))
 
-def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> str:
-    """Pages -> ARC records -> WARC files; returns the folder."""
-    records = parse_arc_column(pages_as_arc(pages, id_col, url_col, html_col), "arc")
-    pages_only = records.where(~F.col("url").startswith("filedesc:")).withColumn("key", http_value(F.col("block"), "X-Page-Id").cast("bigint"))
-    return write_warc(convert(pages_only, "key", least), folder)
+    records = map_arrow(_page_rows(pages, id_col, url_col, html_col), through_arc, ARC_SCHEMA)
+    return write_warc(convert(records.where(~F.col("url").startswith("filedesc:")), least), folder)
 
 
 def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives: refers_to is the page_id of the record revisited."""
-    found = read_warc(spark, folder).where("type in ('response', 'revisit')")
-    facts = found.select(
-        http_value(F.col("block"), "X-Page-Id").cast("bigint").alias("page_id"),
-        http_value(F.col("block"), "Content-Length").cast("bigint").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "id", F.col("refers_to").alias("of"),
-    )
-    seen = facts.where("record_type = 'response'").select(F.col("id").alias("of"), F.col("page_id").alias("refers_to")).groupBy("of").agg(F.max("refers_to").alias("refers_to"))
-    wanted = facts.where("of is not null").select("of").distinct()
-    return facts.join(seen.join(wanted, "of", "left_semi"), "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives, counted from the payloads as they were read.
+
+    A revisit has the payload of the record it refers to; refers_to is the page_id of that record. Repeated and null page_ids have a row for each
+    record. A record that is cut off or doesn't have its digest raises ValueError.
+    """
+    found = written(map_arrow(_files(spark, folder), _facts("X-Page-Id"), FACTS).where("type in ('response', 'revisit')"), "facts")
+    whole = found.where("type = 'response'").select(F.col("key").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "id")
+    again = found.where("type = 'revisit'").select(F.col("key").alias("own"), "refers_to").join(whole, F.col("refers_to") == F.col("id"), "left")
+    again = again.select(F.col("own").alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("page_id").alias("refers_to"))
+    return whole.drop("id").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(again)
 
 
 #: The same facts in DuckDB, from the pages themselves.
