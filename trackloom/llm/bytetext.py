@@ -117,7 +117,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     if not len(column):
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, offsets, data = column.buffers()

@@ -16,9 +16,16 @@ from ..session import ship
 _FOLDERS: dict[str, str] = {}
 
 
+#: Batches of texts hold at most so many bytes (or one row) where the session has Spark's own limit, eight times that: each is in memory several times.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_SETTING, "").removesuffix("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
