@@ -305,18 +305,20 @@ def parse_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
         del held[: end + 4 + size + 4]
 
 
-def expanded(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def expanded(raw: bytes, step: int = 1 << 20, feed: int = 1 << 14) -> Iterator[bytes]:
     """The file's bytes in pieces, expanded if gzipped (one member or many)."""
     if raw[:2] != b"\x1f\x8b":
         for at in range(0, len(raw), step):
             yield raw[at : at + step]
         return
-    while raw:
+    view, at = memoryview(raw), 0
+    while at < len(raw):
         part = zlib.decompressobj(31)
-        while raw and not part.eof:
-            yield part.decompress(raw, step)
-            raw = part.unconsumed_tail
-        raw = part.unused_data
+        while at < len(raw) and not part.eof:  # little at a time: what a member leaves is copied
+            chunk = view[at : at + feed]
+            out = part.decompress(chunk)
+            at += len(chunk) - len(part.unused_data)
+            yield out
 
 
 WARC_SCHEMA = "type string, id string, url string, date string, refers_to string, digest string, headers map<string,string>, block binary"
