@@ -22,7 +22,7 @@ FAMILIES = [
     ("eupl", "eupl european", "european union public|eupl", "1 0|1 1|1 2", "eupl"),
     ("isc", "isc consortium", "isc|internet systems consortium", "", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "", "zlib"),
-    ("boost", "boost", "boost software", "1 0", "bsl"),
+    ("boost", "boost bsl", "boost software", "1 0", "bsl"),
     ("artistic", "artistic", "(?:perl |clarified )?artistic", "1 0|2 0", "artistic"),
     ("python", "python psf", "python software foundation|psf", "2|2 0", "psf"),
     ("ruby", "ruby", "ruby", "", "ruby"),

@@ -61,7 +61,7 @@ CUES = {
 }
 FEATURES = (
     "kind", "length", "digits", "luhn", "distinct", "separators", "first", "spaced", "letter_before", "letter_after", "digit_near", "decimal_near",
-    "colons", "doubled", "letters", "upper", "different", "slashes", "marked", "cue_mail", "cue_net", "cue_pay", "cue_call", "cue_other", "cue_key", "cue_set",
+    "colons", "doubled", "letters", "upper", "different", "slashes", "marked", "at_marked", "dot_word", "cue_mail", "cue_net", "cue_pay", "cue_call", "cue_other", "cue_key", "cue_set",
 )
 TRAINING, CARRIERS, CARRIER_CHARS, PRECISION, CONTEXT = 1500, 300, 2000, 0.98, 40
 
@@ -149,7 +149,8 @@ def described(spans: DataFrame) -> DataFrame:
         "colons": F.length(F.regexp_replace("found", "[^:]", "")), "doubled": F.col("found").contains("::").cast("int"),
         "letters": F.length(F.regexp_replace("found", "[^A-Za-z]", "")), "upper": F.length(F.regexp_replace("found", "[^A-Z]", "")),
         "different": F.size(F.array_distinct(F.split(F.col("found"), ""))), "slashes": F.length(F.regexp_replace("found", "[^/_-]", "")),
-        "marked": F.col("found").rlike(r"(?i)^-----|[\[({]at|[\[({ ]dot[\])} ]|^AKIA|^gh[pousr]_|^xox|^eyJ|^sk[-_]").cast("int"),
+        "marked": F.col("found").rlike(r"(?i)^-----|^AKIA|^gh[pousr]_|^xox|^eyJ|^sk[-_]").cast("int"),
+        "at_marked": F.col("found").rlike(r"(?i)[\[({] ?at").cast("int"), "dot_word": F.col("found").rlike(r"(?i)[\[({ ]dot[\])} ]").cast("int"),
     } | {f"cue_{name}": (F.col("left") if name in ("set", "key") else around).rlike(pattern).cast("int") for name, pattern in CUES.items()}
     return spans.withColumn("x", F.array(*[F.coalesce(values[name].cast("double"), F.lit(0.0)) for name in FEATURES]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) ->
     """mapInArrow with this package at hand on the executors."""
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(BATCH_SETTING, "").removesuffix("b") == str(BATCH_DEFAULT):
+    if spark.conf.get(BATCH_SETTING).removesuffix("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
@@ -93,6 +94,26 @@ def range_bucket(key: Column, edges: list) -> Column:
     return F.when(key.isNull(), 0).otherwise(_bucket(key, edges))
 
 
+def range_pieces(df: DataFrame, key: str, tie: str, pieces: int) -> Column:
+    """Numbers of about ``pieces`` equal pieces in ascending order of a bigint key, nulls first.
+
+    A key that fills several pieces by itself has as many of its own, among which its rows are dealt out by a hash of ``tie``; so have nulls.
+    """
+    at = [k / pieces for k in range(1, max(2, pieces))]
+    found = df.agg(F.percentile_approx(key, at, 10_000).alias("at"), F.count("*").alias("n"), F.count(key).alias("known")).first()
+    marks = Counter(x for x in found["at"] or [] if x is not None)
+    heavy = {x: n for x, n in marks.items() if n > 1}
+    edges = sorted(set(marks) | {x + 1 for x in heavy if x + 1 < 1 << 63})
+    nulls = max(1, -(-(found["n"] - found["known"]) * pieces // max(1, found["n"])))
+    most = max([nulls, *heavy.values()])
+    own = F.when(F.col(key).isNull(), nulls)
+    for x, n in sorted(heavy.items()):
+        own = own.when(F.col(key) == F.lit(x), n)
+    within = F.pmod(F.xxhash64(tie), own.otherwise(1)).cast("int")
+    bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + (_bucket(F.col(key), edges) if edges else F.lit(0)))
+    return (bucket * most + within).cast("int")
+
+
 def _bucket(key: Column, edges: list) -> Column:
     """A balanced tree of comparisons: log2(edges) of them for each row."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import U, Block, blocks, mix
-from .tables import hashed_sample, map_arrow, range_bucket, range_edges
+from .tables import hashed_sample, map_arrow, range_pieces
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES, PIECES, LEVEL, END_ID = 2000, 4 << 20, 64 << 10, 4 << 20, 64, 3, 0
 #: What a Python worker keeps of pieces of text met before: so many slots, and ids before it starts afresh; bytes of a piece that two longs tell.
@@ -277,7 +277,8 @@ def write_tokens(
     """Writes the dataset described above and returns its folder.
 
     Null texts are empty (one end id); null ids come first; repeated rows are written as often as they occur; further columns are
-    ignored; an empty table writes an empty dataset. Documents are dealt out by id ranges, so only frames are shuffled, once.
+    ignored; an empty table writes an empty dataset. Documents are dealt out by id ranges, so only frames are
+    shuffled, once; a null or repeated id that fills several ranges is dealt out among them by its frames.
     The dictionary is trained on whole documents, at most ``sample`` with ``sample_bytes`` bytes of text together; it forms no result.
     Invalid UTF-8 is read as U+FFFD.
     """
@@ -289,9 +290,9 @@ def write_tokens(
     header = spark.createDataFrame([(digest, bytearray(dictionary), os.path.basename(path), end_id)], "sha256 string, dictionary binary, tokenizer string, end_id int")
     header.coalesce(1).write.parquet(f"{folder}/dictionary")
     pieces = max(pieces, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = range_edges(texts, "id", pieces)
+    piece = range_pieces(texts, "id", "frame", pieces)
     pressed = map_arrow(texts, frames(path, end_id, dictionary, level), IDS)
-    dealt = pressed.withColumn("piece", range_bucket(F.col("id"), edges)).repartition("piece").sortWithinPartitions("piece", "id", "n", "frame")
+    dealt = pressed.withColumn("piece", piece).repartition("piece").sortWithinPartitions("piece", "id", "n", "frame")
     map_arrow(dealt.select("piece", "id", "n", "frame"), shards(digest, shard_bytes), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
     return folder
 
