@@ -193,7 +193,8 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, floor: float):
     best, where = 1e-6, None
     whole = g.sum() ** 2 / (h.sum() + floor)
     for f in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 9))):
+        values = np.unique(x[:, f])
+        for cut in values[1:] if len(values) <= 12 else np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 9))):
             low = x[:, f] < cut
             if low.any() and not low.all():
                 got = g[low].sum() ** 2 / (h[low].sum() + floor) + g[~low].sum() ** 2 / (h[~low].sum() + floor) - whole
