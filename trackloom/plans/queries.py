@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import circle, ground_to_screen, haversine, sector, vertical_fov
 from ..functions.numbers import fixed
-from ..operators import frames, match, navigate, project, resample, review, trajectory
+from ..operators import export, frames, match, navigate, project, resample, review, trajectory
 from . import fixtures, scalars, session_queries
 from .fixtures import table, with_
 
@@ -107,6 +107,28 @@ def proj_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("track_id", "us", "latitude", "longitude", "aligned_latitude", "aligned_longitude", "kp", "kp_match")
 
 
+SINK_SQL = POINTS_SQL + """, al AS (SELECT m.us // 3600000000 AS frame, m.us, m.lat, m.lon, m.m AS metres_, m.ref_idx, r.reference_id, r.reference_name, r.reference_label, r.lat AS rlat, r.lon AS rlon FROM matched m LEFT JOIN refs r ON r.ref_idx = m.ref_idx),
+tx AS (SELECT frame, frame + 3 AS source_frame, 3 AS frame_shift, printf('%04d/frame_%07d.jpg', frame // 1000, frame) AS image_path, strftime(date_trunc('millisecond', make_timestamp(us)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp, printf('%.9f', lat) AS latitude, printf('%.9f', lon) AS longitude,
+  printf('%.9f', coalesce(rlat, lat)) AS aligned_latitude, printf('%.9f', coalesce(rlon, lon)) AS aligned_longitude, coalesce(reference_label, '') AS kp, coalesce(reference_id, '') AS reference_id, coalesce(reference_name, '') AS reference_name, coalesce(reference_label, '') AS reference_label,
+  CASE WHEN ref_idx IS NULL THEN '' ELSE printf('%.3f', floor(metres_ * 1e3 + 0.5) / 1e3) END AS kp_distance_m, CASE WHEN rlat IS NULL THEN '' ELSE printf('%.9f', rlat) END AS kp_latitude, CASE WHEN rlon IS NULL THEN '' ELSE printf('%.9f', rlon) END AS kp_longitude, CASE WHEN ref_idx IS NULL THEN 0 ELSE 1 END AS kp_match FROM al)"""
+
+
+def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = match.aligned(matched_points(spark, sf_dir), fixtures.refs(spark, sf_dir))
+    frame = F.floor(F.col("us") / 3_600_000_000).cast("bigint")
+    return rows.withColumns({"frame": frame, "source_frame": frame + 3, "ts": F.timestamp_micros("us").cast("timestamp_ntz"), "kp_distance_m": fixed(F.col("kp_distance_m"), 3)})
+
+
+@query(SINK_SQL + " SELECT * FROM tx")
+def sink_frames_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.frames_table(frame_rows(spark, sf_dir), 3)
+
+
+@query(SINK_SQL + " SELECT frame AS frame_index, frame, source_frame, image_path, kp, reference_id, reference_name, reference_label, kp_distance_m, latitude, longitude FROM tx WHERE kp_match = 1")
+def sink_matched_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.matched_table(frame_rows(spark, sf_dir), 3)
+
+
 HEADING_SQL = with_("positions") + """, prs AS (
   SELECT c.video, c.frame, c.lat, c.lon, k.k, b.lat AS blat, b.lon AS blon, a.lat AS alat, a.lon AS alon
   FROM positions c CROSS JOIN (SELECT unnest(range(1, 11)) AS k) k LEFT JOIN positions b ON b.video = c.video AND b.frame = c.frame - k.k LEFT JOIN positions a ON a.video = c.video AND a.frame = c.frame + k.k

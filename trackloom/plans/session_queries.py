@@ -602,3 +602,28 @@ def st_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
        f" SELECT seq, n_targets = 0 AND epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY video, run) >= {HOURS // 2} AS cleared FROM r")
 def st_clear_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.graced(state_rows(spark, sf_dir).withColumn("frame", F.col("seq") % 2), HOURS // 2).select("seq", "cleared")
+
+
+# the parts of compound results that the scalar queries leave out
+
+AT_SQL, AT2_SQL = ("(35e0 + (event_id % 1000) / 1e4)", "(136e0 + (event_id * 7 % 1000) / 1e4)"), ("(35e0 + (event_id * 3 % 1000) / 1e4)", "(136e0 + (event_id * 11 % 1000) / 1e4)")
+TURN_SQL, ARC_SQL = "radians(event_id * 53 % 777)", "(event_id * 53 % 777 / 7e0 / 6378137e0)"
+SINE_SQL = f"(sin(radians({AT_SQL[0]})) * cos({ARC_SQL}) + cos(radians({AT_SQL[0]})) * sin({ARC_SQL}) * cos({TURN_SQL}))"
+LON_SQL = f"degrees(radians({AT_SQL[1]}) + atan2(sin({TURN_SQL}) * sin({ARC_SQL}) * cos(radians({AT_SQL[0]})), cos({ARC_SQL}) - sin(radians({AT_SQL[0]})) * {SINE_SQL}))"
+
+
+def at(pair: tuple[str, str]) -> list[Column]:
+    return [F.expr(x) for x in pair]
+
+
+def angle() -> Column:
+    return F.expr("CAST(event_id * 53 % 777 AS DOUBLE)")
+
+
+scalar("geo_destination_lon", "events", "event_id", lambda: fixed(geo.destination(*at(AT_SQL), angle(), angle() / 7)["lon"], 6), rounded(LON_SQL))
+scalar("geo_local_vector_north", "events", "event_id", lambda: fixed(geo.local_vector(*at(AT_SQL), *at(AT2_SQL))[1], 3), rounded(f"radians({AT2_SQL[0]} - {AT_SQL[0]}) * 6378137e0", "1e3"))
+scalar("geo_dms_minutes", "events", "event_id", lambda: geo.dms(at(AT_SQL)[0])[1]["num"], f"CAST(floor(({AT_SQL[0]} - floor({AT_SQL[0]})) * 60) AS BIGINT)")
+scalar("geo_rotate_forward", "events", "event_id", lambda: fixed(geo.rotate_yaw(F.lit(1.0), F.lit(2.0), F.lit(3.0), angle())[2], 6), rounded("3e0 * cos(radians(event_id * 53 % 777)) - 1e0 * sin(radians(event_id * 53 % 777))"))
+scalar("geo_click_flat_pitch", "part", "p_partkey", lambda: fixed(geo.click_flat(F.col("p_size") / 50.0, F.col("p_size") / 50.0, F.lit(70.0), F.lit(43.0))[1], 6), rounded("-degrees(atan((greatest(0e0, least(1e0, p_size / 50e0)) - 0.5e0) * 2 * tan(radians(21.5e0))))"))
+scalar("geo_direction", "events", "event_id", lambda: fixed(geo.direction(*at(AT_SQL), angle(), angle() / 7)[0]["lon"], 6), rounded(LON_SQL))
+scalar("limit_rings", "part", "p_partkey", lambda: F.size(geo.grid_radii(F.lit(0.5), F.col("p_size") * 20 + 0.5)), "least(250, p_size * 20)")
