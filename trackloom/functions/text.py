@@ -225,3 +225,18 @@ def same_frame(video: Column, frame: Column, other_video: Column, other_frame: C
 def frame_in_range(frame: Column, count: Column) -> Column:
     """Whether a frame is one of the video's; where the number of frames isn't known, any from 0 on."""
     return F.coalesce((frame >= 0) & F.coalesce((frame < count) | (count <= 0), F.lit(True)), F.lit(False))
+
+
+def message(key: Column, code: Column, catalogue: dict[str, dict[str, str]], values: dict[str, Column], default: str = "en") -> Column:
+    """The text of a key in a language, else in the default one, else the key; ``{name}`` of a known value is filled in, any other stays."""
+    table = F.create_map(*[F.lit(x) for language, texts in catalogue.items() for k, v in texts.items() for x in (f"{language}:{k}", v)])
+    at = lambda language: F.try_element_at(table, F.concat(language, F.lit(":"), key))
+    text = F.coalesce(at(code), at(F.lit(default)), key)
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return text
+
+
+def build_digest(*files: tuple[str, Column]) -> Column:
+    """SHA-256 over the name, a zero byte and the bytes of each file."""
+    return F.sha2(F.concat(*[F.concat(F.lit(name).cast("binary"), F.lit("\0").cast("binary"), content.cast("binary")) for name, content in files]), 256)

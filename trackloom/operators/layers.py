@@ -6,6 +6,7 @@ subset (its filter text), categories (array of (value, enabled)), visible, selec
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +168,23 @@ def hidden(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
         if c in names:
             rows = rows.withMetadata(c, {"hidden": True})
     return rows
+
+
+def filtered(rows: DataFrame, subset: str | None) -> DataFrame:
+    """The rows that a table's own filter text lets through; all of them if it is blank or can't be read over these columns."""
+    if not (subset or "").strip():
+        return rows
+    try:
+        return rows.where(subset)
+    except (AnalysisException, ParseException):
+        return rows
+
+
+def changed(loaded: DataFrame, now: DataFrame) -> DataFrame:
+    """The tables to save: made since loading, edited, or with another number of rows than then.
+
+    loaded: (layer_id, features); now: (layer_id, features, edited).
+    """
+    before = loaded.select(F.col("layer_id").alias("__id"), F.col("features").alias("__features"))
+    both = now.join(before, F.col("layer_id") == F.col("__id"), "left")
+    return both.where(F.col("__id").isNull() | F.coalesce("edited", F.lit(False)) | ~F.col("features").eqNullSafe(F.col("__features"))).drop("__id", "__features")

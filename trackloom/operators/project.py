@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import calibrated_distance, camera_height, destination, distance_quality, fov, ground_from_pitch, norm_yaw, positive, signed_delta, signed_yaw
+from ..functions.geo import calibrated_distance, camera_height, destination, distance_quality, fov, grid_radii, ground_from_pitch, ground_to_screen, norm_yaw, positive, signed_delta, signed_yaw
 from ..functions.numbers import clamp
 
 
@@ -45,3 +45,14 @@ def project_targets(rows: DataFrame, fallback_offset: float = 0.0, calibration_f
     )
     rows = rows.withColumn("quality", distance_quality(F.col("distance_m"))).withColumn("point", F.when(known, destination(F.col("lat"), F.col("lon"), F.col("bearing"), F.col("distance_m"))))
     return rows.withColumn("yaw_delta", F.col("__delta")).withColumn("target_yaw", F.col("__yaw")).drop("__yaw", "__delta")
+
+
+def ground_grid(rows: DataFrame, samples: int = 64) -> DataFrame:
+    """The rows with radius, k, x, y: where ``samples`` + 1 points of each whole-metre ring show on the stage; points out of view are left out.
+
+    rows: inner_m, outer_m, camera_m, yaw, pitch, view_h, width, height.
+    """
+    c = F.col
+    rings = rows.withColumn("radius", F.explode(grid_radii(c("inner_m"), c("outer_m")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    point = ground_to_screen(c("k") / float(samples) * 360.0, c("radius"), c("camera_m"), c("yaw"), c("pitch"), c("view_h"), c("width"), c("height"))
+    return rings.withColumn("p", point).where("p is not null").select(*rows.columns, "radius", "k", "p.x", "p.y")

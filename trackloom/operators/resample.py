@@ -37,6 +37,11 @@ def frame_at(us: Column, fps: Column) -> Column:
     return F.rint(us / 1e6 * fps).cast("bigint")
 
 
+def time_of(frame: Column, fps: Column) -> Column:
+    """Microseconds from the video's begin at a frame, rounding half to even."""
+    return F.rint(frame / fps * 1e6).cast("bigint")
+
+
 def resample(track: DataFrame, videos: DataFrame, key: str = "track_id", stretch_us: int = STRETCH_US) -> DataFrame:
     """key, source_frame, ts, lat, lon: one row for each frame from the first point to before the last.
 
@@ -47,8 +52,7 @@ def resample(track: DataFrame, videos: DataFrame, key: str = "track_id", stretch
     pairs = pairs.withColumn("us_length", F.col("us_next") - F.col("us")).where("us_length > 0")
     pairs = pairs.withColumn("f0", frame_at(F.col("us") - F.col("us_first"), F.col("fps"))).withColumn("f1", frame_at(F.col("us_next") - F.col("us_first"), F.col("fps")))
     frames = pairs.where("f1 > f0").withColumn("n", F.explode(F.sequence("f0", F.col("f1") - 1)))
-    us = F.rint(F.col("n") / F.col("fps") * 1e6).cast("bigint")
-    frames = frames.withColumn("at", us)
+    frames = frames.withColumn("at", time_of(F.col("n"), F.col("fps")))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("at") - (F.col("us") - F.col("us_first"))) / F.col("us_length")))
     frames = frames.withColumn("share", share)
     rows = frames.select(

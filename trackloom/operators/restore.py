@@ -175,3 +175,21 @@ def opened_sessions(videos: DataFrame, picked: DataFrame, detected: DataFrame, l
     found = videos.join(least(picked, "__p"), key, "left").join(least(detected, "__d"), key, "left").join(least(listed, "__l"), key, "left")
     mode = F.when(F.col("__p").isNotNull(), "marking").when(F.col("__d").isNotNull(), "detect").when(F.col("__l").isNotNull(), "layer")
     return found.select(*videos.columns, F.coalesce("__p", "__d", "__l").alias("first_frame"), mode.alias("mode"))
+
+
+def inferred_videos(asked: DataFrame, files: DataFrame, key: str = "database") -> DataFrame:
+    """asked (key, folder, parent, names) with video: where a session's video lies.
+
+    The first of its names that is in the folder or its parent, the folder first; else the only .mp4 file of the two; else null. names: in order of trust,
+    blanks left out. files: (folder, name).
+    """
+    places = asked.select(key, F.posexplode(F.array("folder", "parent")).alias("turn", "at")).where("at is not null")
+    here = files.select(F.col("folder").alias("__at"), F.col("name").alias("__name")).distinct()
+    found = places.join(here, F.col("at") == F.col("__at"))
+    names = asked.select(F.col(key).alias("__key"), F.posexplode("names").alias("rank", "wanted")).where(F.trim("wanted") != "")
+    named = found.join(names, (F.col(key) == F.col("__key")) & (F.col("__name") == F.col("wanted")))
+    path = F.concat("at", F.lit("/"), "__name")
+    first = named.groupBy(key).agg(F.min_by(path, F.struct("rank", "turn")).alias("__first"))
+    only = found.where(F.lower("__name").endswith(".mp4")).select(key, path.alias("p")).distinct().groupBy(key).agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    only = only.where("n = 1").select(key, F.col("p").alias("__only"))
+    return asked.join(first, key, "left").join(only, key, "left").withColumn("video", F.coalesce("__first", "__only")).drop("__first", "__only")

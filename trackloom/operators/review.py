@@ -111,3 +111,10 @@ def last_view(rows: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("target.order", F.lit(0)).alias("a"), F.coalesce("target.id", F.lit(0)).alias("b"), F.col("pos").alias("c"))
     view = F.struct(F.col("target.view_yaw_to_camera_heading").alias("yaw"), F.col("target.view_pitch").alias("pitch"), F.col("target.view_zoom").alias("zoom"))
     return rows.groupBy("video", "frame").agg(F.max_by(view, place).alias("x")).select("video", "frame", "x.*")
+
+
+def display_order(targets: Column) -> Column:
+    """Targets in the order in which they are shown: by order, else id, else first; equal ones as they come."""
+    number = lambda t: F.coalesce(F.nullif(t["order"], F.lit(0)), t["id"], F.lit(0)).cast("bigint")
+    placed = F.sort_array(F.transform(targets, lambda t, k: F.struct(number(t).alias("a"), k.alias("b"), t.alias("t"))))
+    return F.transform(placed, lambda x: x["t"])
