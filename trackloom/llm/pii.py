@@ -17,6 +17,7 @@ over the candidates of one document; texts themselves are never shuffled.
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import hashed_sample
+from .tables import hashed_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: With the kind that only the method finds.
@@ -314,10 +315,12 @@ def labelled(rows: list, truth: dict) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def fitted(texts: DataFrame, n: int = TRAINING, precision: float = PRECISION) -> Trees:
     """The trees and thresholds; features come from the same columns as on the main path. ``measured`` has each kind's held-out figures."""
     fit_in = texts.select("text").where(F.length("text").between(40, CARRIER_CHARS))
-    carriers = sorted(r.text for r in hashed_sample(fit_in, "text", CARRIERS, seed=10).collect())
+    carriers = sorted(r.text for r in hashed_rows(fit_in, "text", CARRIERS, seed=10))
     made = planted(carriers, n)
     truth = {k: spans for k, _, spans in made}
-    docs = texts.sparkSession.createDataFrame([(k, k, t) for k, t, _ in made], "row bigint, id bigint, text string")
+    listed = F.lit(json.dumps([{"row": k, "id": k, "text": t} for k, t, _ in made]))
+    spark = texts.sparkSession
+    docs = spark.range(1).select(F.inline(F.from_json(listed, "array<struct<row:bigint,id:bigint,text:string>>"))).repartition(spark.sparkContext.defaultParallelism)
     rows = described(checked(candidates(docs))).where("kind is not null").select("id", "kind", "strict", "passes", "start", "finish", "x").collect()
     x, y, owner = labelled(sorted(rows, key=lambda r: (r.id, r.kind, r.start, r.strict)), truth)
     test = owner % 3 == 1

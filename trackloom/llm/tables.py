@@ -8,7 +8,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,16 +66,21 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """At most n rows of a table of single columns, those of the smallest hashes of the key: a local table of bounded size.
+def hashed_rows(df: DataFrame, key: str, n: int, seed: int) -> list[Row]:
+    """At most n rows of a table, those of the smallest hashes of the key.
 
     Rows are first thinned by the hash to about twice as many, so that no task sorts more than that.
     """
     total = df.count()
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
     if total > 4 * n:
-        df = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < F.lit(int((1 << 40) * 2.0 * n / total)))
-    rows = df.orderBy(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)), *df.columns).limit(n).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema)
+        df = df.where(place < F.lit(int((1 << 40) * 2.0 * n / total)))
+    return df.orderBy(place, *df.columns).limit(n).collect()
+
+
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The same as a local table of bounded size."""
+    return df.sparkSession.createDataFrame(hashed_rows(df, key, n, seed), df.schema)
 
 
 def range_edges(df: DataFrame, key: str, pieces: int) -> list:
