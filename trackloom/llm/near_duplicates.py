@@ -20,6 +20,7 @@ one component are all verified whether or not they met.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .components import connected_components
 from .tables import free_name, map_arrow, written
 
 NGRAM, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 20, 4, 1e-6
-BLOCK, VERIFY_BLOCK, STEP = 8192, 512, 16
+BLOCK, VERIFY_BLOCK, VERIFY_LEAST, STEP = 8192, 512, 64, 16
 #: In a verify block so many bytes of text count as a row, so blocks of long texts have fewer of them.
 ROW_BYTES = 4096
 #: Up to so many rows of six longs are broadcast to pick the texts to verify; beyond that they are joined by a shuffle.
@@ -275,9 +276,15 @@ def verify(ngram: int, threshold: float):
     return run
 
 
-def in_blocks(df: DataFrame, size: str, block: int) -> DataFrame:
-    """Adds i, j, side: a group of up to ``block`` rows is one pair (0, 0); of a larger one each row goes to every pair of its block."""
+def in_blocks(df: DataFrame, size: str, block: int, least: int | None = None) -> DataFrame:
+    """Adds i, j, side: a group of up to ``block`` rows is one pair (0, 0); of a larger one each row goes to every pair of its block.
+
+    With ``least`` a group is cut finer than it must be, into blocks of no fewer rows than that, until its pairs keep all shuffle partitions busy.
+    """
     n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    if least:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = F.greatest(n, F.least(F.ceil(F.col(size) / F.lit(least)).cast("int"), F.lit(ceil(sqrt(4 * partitions)))))
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     df = df.withColumn("n_blocks", n).withColumn("own", F.when(F.col("n_blocks") > 1, own).otherwise(0))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -327,7 +334,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     told = texts.join(chosen, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("print") == F.col("wanted_print")))
     if repeats(signed):  # one row for each node: equal texts under one id
         told = told.dropDuplicates(["node"])
-    told = in_blocks(told, "size", verify_block).select("root", "i", "j", "side", "node", "check", "copies", "text")
+    told = in_blocks(told, "size", verify_block, min(verify_block, VERIFY_LEAST)).select("root", "i", "j", "side", "node", "check", "copies", "text")
     dealt = told.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     verified = written(map_arrow(dealt, verify(ngram, threshold), "node bigint, other bigint, links bigint, text_links bigint"), "verified")
 
