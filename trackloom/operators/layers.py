@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_candidate_name, is_marking_mode
 
-#: Columns by which roles are told, and names of marking tables.
+#: Columns by which roles are told, and names of marking tables (a project with names of its own passes these as ``marks``).
 CANDIDATE_COLUMNS = ("semantic_class", "candidate_id", "evidence_face", "detection_id")
-MARKING_MARKS = ("geo360 markings", "360 click targets", "geo360_markings", "click_targets_360")
+MARKING_MARKS = ("360 markings", "360 click targets", "markings_360", "click_targets_360")
 #: Fixed names of the columns that marking tables have.
 MARKING_COLUMNS = {
     "video": "string", "frame": "bigint", "target_id": "bigint", "target_order": "bigint", "x_ratio": "double", "y_ratio": "double", "yaw_delta": "double", "target_yaw": "double", "target_pitch": "double",
@@ -30,7 +30,7 @@ def text_of(name: Column, source: Column) -> Column:
     return F.lower(F.concat(F.coalesce(name, F.lit("")), F.lit("\n"), F.coalesce(source, F.lit(""))))
 
 
-def with_roles(layers: DataFrame) -> DataFrame:
+def with_roles(layers: DataFrame, marks: tuple[str, ...] = MARKING_MARKS) -> DataFrame:
     """Adds is_frame, is_marking, is_candidate, is_all_classes, is_named_marking, is_named_candidate.
 
     A candidate table may have the columns of a marking table too; then it isn't read as markings.
@@ -45,7 +45,7 @@ def with_roles(layers: DataFrame) -> DataFrame:
             "is_marking": marking,
             "is_candidate": candidate,
             "is_all_classes": candidate & text.contains("all_classes"),
-            "is_named_marking": marking & ~candidate & text.rlike("|".join(MARKING_MARKS)),
+            "is_named_marking": marking & ~candidate & text.rlike("|".join(marks)),
             "is_named_candidate": candidate & is_candidate_name(text),
         }
     )
@@ -85,9 +85,9 @@ def candidate_layers(layers: DataFrame, visible_only: bool = False) -> DataFrame
     return rows.withColumn("turn", turn)
 
 
-def marking_layers(layers: DataFrame) -> DataFrame:
+def marking_layers(layers: DataFrame, marks: tuple[str, ...] = MARKING_MARKS) -> DataFrame:
     """The marking tables of each project that are read, with ``turn`` from 1: this session's own latest one first, then named ones, the latest first."""
-    rows = with_roles(layers).where("is_marking and not is_candidate")
+    rows = with_roles(layers, marks).where("is_marking and not is_candidate")
     memory = F.coalesce(F.col("memory"), F.lit(False))
     own = F.max(F.when(memory, F.col("place"))).over(Window.partitionBy("project"))
     rows = rows.withColumn("__own", F.coalesce(F.col("place") == own, F.lit(False))).where("__own or is_named_marking")
@@ -135,14 +135,14 @@ def model_names(rows: DataFrame, key: str = "project", most: int = 2) -> DataFra
     return kept.groupBy(key).agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
-def backup_name(name: Column, columns: Column, single_class: Column, base: Column, index: Column, safe) -> Column:
+def backup_name(name: Column, columns: Column, single_class: Column, base: Column, index: Column, safe, markings: str = MARKING_MARKS[2]) -> Column:
     """The name a table is saved under, by its role: ``safe`` makes a table name of a text."""
     candidate = has_column(columns, "frame") & has_column(columns, "target_yaw") & has_column(columns, "target_pitch") & F.exists(F.array(*[has_column(columns, n) for n in CANDIDATE_COLUMNS]), lambda x: x)
     tail = F.regexp_extract(F.coalesce(name, F.lit("")), "(?s)^(?:360 Detection Candidates: |360 POI Clusters: |POI: )(.*)$", 1)
     prefixed = F.coalesce(name, F.lit("")).rlike("^(360 Detection Candidates: |360 POI Clusters: |POI: )")
     found = F.when(F.coalesce(single_class, F.lit("")) != "", safe(F.concat(F.lit("poi_clusters_"), single_class))).when(prefixed, safe(tail)).when(name.rlike("^poi_(candidates|clusters)"), safe(name)).otherwise("poi_candidates_360")
     plain = safe(F.format_string("%s_%02d", base, index))
-    return F.when(columns.isNull(), plain).when(candidate, found).when(has_column(columns, "target_id"), "geo360_markings").when(has_column(columns, "frame"), "video_gpx_points").otherwise(plain)
+    return F.when(columns.isNull(), plain).when(candidate, found).when(has_column(columns, "target_id"), markings).when(has_column(columns, "frame"), "video_gpx_points").otherwise(plain)
 
 
 def migrated(rows: DataFrame, columns: dict[str, str] = MARKING_COLUMNS) -> DataFrame:

@@ -260,8 +260,8 @@ def api_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LAYER_LIST = (
     "p_partkey % 40 AS project, concat('L', p_partkey) AS layer_id, p_partkey AS place,"
-    " CASE p_partkey % 7 WHEN 0 THEN 'Geo360 Markings' WHEN 1 THEN '360 Detection Candidates: x' WHEN 2 THEN 'POI: All_Classes' WHEN 3 THEN 'roads' WHEN 4 THEN '360 click targets old' WHEN 6 THEN 'poi_clusters_pole' END AS name,"
-    " CASE p_partkey % 5 WHEN 0 THEN '/a/tmp.gpkg|layername=geo360_markings' WHEN 1 THEN '/a/tmp.gpkg|layername=poi_candidates_360' WHEN 2 THEN 'memory' WHEN 4 THEN '/b/ALL_CLASSES.gpkg' END AS source,"
+    " CASE p_partkey % 7 WHEN 0 THEN '360 Markings' WHEN 1 THEN '360 Detection Candidates: x' WHEN 2 THEN 'POI: All_Classes' WHEN 3 THEN 'roads' WHEN 4 THEN '360 click targets old' WHEN 6 THEN 'poi_clusters_pole' END AS name,"
+    " CASE p_partkey % 5 WHEN 0 THEN '/a/tmp.gpkg|layername=markings_360' WHEN 1 THEN '/a/tmp.gpkg|layername=poi_candidates_360' WHEN 2 THEN 'memory' WHEN 4 THEN '/b/ALL_CLASSES.gpkg' END AS source,"
     " CASE p_partkey % 6 WHEN 0 THEN ['frame', 'target_id', 'video'] WHEN 1 THEN ['frame', 'target_yaw', 'target_pitch', 'semantic_class'] WHEN 2 THEN ['frame', 'latitude'] WHEN 3 THEN ['frame', 'target_id', 'target_yaw', 'target_pitch', 'candidate_id'] WHEN 4 THEN ['geom'] ELSE ['frame', 'target_yaw', 'target_pitch'] END AS \"columns\","
     " CASE p_partkey % 9 WHEN 0 THEN concat('semantic_class  = ', chr(39), p_brand, chr(39)) WHEN 1 THEN concat('semantic_class=', chr(34), 'a b', chr(34)) WHEN 2 THEN concat('semantic_class like ', chr(39), 'pole%', chr(39))"
     " WHEN 3 THEN concat('x > 1 AND semantic_class IN (', chr(39), 'b', chr(39), ', ', chr(39), 'a', chr(39), ', ', chr(39), 'b', chr(39), ')') WHEN 4 THEN ' ' WHEN 5 THEN concat('semantic_class=', chr(39), '  ', chr(39), ' OR semantic_class LIKE ', chr(39), 'z', chr(39)) END AS subset,"
@@ -273,7 +273,7 @@ SPARK_CATEGORIES = CATEGORIES.format(a="array(", z=")", s="named_struct('value',
 CANDIDATE_SQL = "list_contains(\"columns\", 'frame') AND list_contains(\"columns\", 'target_yaw') AND list_contains(\"columns\", 'target_pitch') AND list_has_any(\"columns\", ['semantic_class', 'candidate_id', 'evidence_face', 'detection_id'])"
 LAYERS_SQL = f"""WITH t AS (SELECT {LAYER_LIST}, {DUCK_CATEGORIES} AS categories FROM part), lay AS (
   SELECT *, lower(coalesce(name, '') || chr(10) || coalesce(source, '')) AS txt, list_contains("columns", 'frame') AND NOT list_contains("columns", 'target_id') AS is_frame, list_contains("columns", 'frame') AND list_contains("columns", 'target_id') AS is_marking, {CANDIDATE_SQL} AS is_candidate FROM t
-), roles AS (SELECT *, is_candidate AND contains(txt, 'all_classes') AS is_all_classes, is_marking AND NOT is_candidate AND regexp_matches(txt, 'geo360 markings|360 click targets|geo360_markings|click_targets_360') AS is_named_marking,
+), roles AS (SELECT *, is_candidate AND contains(txt, 'all_classes') AS is_all_classes, is_marking AND NOT is_candidate AND regexp_matches(txt, '360 markings|360 click targets|markings_360|click_targets_360') AS is_named_marking,
   is_candidate AND regexp_matches(txt, '360 detection candidates|360 poi clusters|all_classes|poi_candidates|poi_clusters') AS is_named_candidate FROM lay
 ), cand AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY coalesce(place = own, false) DESC, place DESC) AS turn FROM (SELECT *, max(CASE WHEN memory THEN place END) OVER (PARTITION BY project) AS own FROM roles WHERE is_candidate))"""
 
@@ -367,7 +367,7 @@ def safe_sql(x: str) -> str:
 
 
 @query(LAYERS_SQL + f""" SELECT layer_id, CASE WHEN is_candidate THEN CASE WHEN place % 3 = 0 THEN 'poi_clusters_pole' WHEN starts_with(name, '360 Detection Candidates: ') THEN {safe_sql("substr(name, 27)")} WHEN starts_with(name, 'POI: ') THEN {safe_sql("substr(name, 6)")}
-  WHEN regexp_matches(name, '^poi_(candidates|clusters)') THEN {safe_sql('name')} ELSE 'poi_candidates_360' END WHEN is_marking THEN 'geo360_markings' WHEN is_frame THEN 'video_gpx_points' ELSE {safe_sql("printf('%s_%02d', 'My Layer', place)")} END AS saved FROM roles""")
+  WHEN regexp_matches(name, '^poi_(candidates|clusters)') THEN {safe_sql('name')} ELSE 'poi_candidates_360' END WHEN is_marking THEN 'markings_360' WHEN is_frame THEN 'video_gpx_points' ELSE {safe_sql("printf('%s_%02d', 'My Layer', place)")} END AS saved FROM roles""")
 def sink_backup_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layers.with_roles(layer_table(spark, sf_dir))
     single = F.when(F.col("is_candidate") & (F.col("place") % 3 == 0), "pole")
