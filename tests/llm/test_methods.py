@@ -253,8 +253,6 @@ def test_pii_added_spans_and_redaction(spark):
     for r in got.values():
         spans = [tuple(s) for s in r.spans]
         assert set(map(tuple, r.base)) <= set(spans) and len(set(spans)) == len(spans)
-    model = pii.fitted(docs.select(F.col("text")))
-    assert all(p is not None and p >= 0.9 and r >= 0.6 for p, r in model.measured.values()), model.measured
     redacted = {r.id: r.text for r in pii.redact(docs).collect()}
     assert redacted[300] == "<email> and <card> here" and "24be" not in redacted[101] and redacted[201] == wrong[1]
 
@@ -278,3 +276,11 @@ def test_hot_ids_are_dealt_out(spark):
     assert [r.start for r in index] == [sum(x.n_tokens for x in index[:k]) for k in range(len(index))]
     ids = [-1 if r.id is None else r.id for r in index]
     assert ids == sorted(ids)
+
+
+def test_pii_held_out_figures(spark):
+    """On documents, not on a handful of texts of which several are personal data themselves: there few certain look-alikes lower the recall."""
+    from trackloom.llm import pii
+
+    model = pii.fitted(spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("text"))
+    assert all(p is not None and p >= 0.9 and r >= 0.9 for p, r in model.measured.values()), model.measured
