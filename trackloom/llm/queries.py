@@ -11,6 +11,7 @@ from .chat import chat_facts
 from .decontaminate import find_leaks
 from .fingerprints import fingerprint_pairs
 from .licenses import scan_licenses
+from .merkle import MANIFEST_SQL, proved, tampered_leaf, write_manifest
 from .mixing import MIX_SQL, mix
 from .near_duplicates import near_duplicates
 from .pii import find_pii, spans_text
@@ -88,6 +89,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_manifest(table(spark, sf_dir, "documents"), new_path(spark, "manifest"), held={"claimed": tampered_leaf()})
+    return proved(manifest).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_formatting,
@@ -100,9 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_id_output,
         op9_mixing,
         op10_pii,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL}
+    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL}

@@ -8,7 +8,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +131,31 @@ def _bucket(key: Column, edges: list) -> Column:
     return within(0, len(edges))
 
 
+def ranked(df: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "place") -> DataFrame:
+    """Adds each row's place (from 0) in the order, counted anew for each value of the ``within`` columns, by which rows are ordered first.
+
+    Rows are dealt out by ranges of the whole order and sorted in their tasks, written, and counted by file; a place is the row's number in its file plus the
+    rows of earlier files. So no window, key or source is gathered in one task: rows that are equal in the whole order are told apart by where they were written,
+    and only a row for each file and ``within`` value is summed up.
+    """
+    spark, columns, within = df.sparkSession, df.columns, within or []
+    at, tie, part = free_name(df, "at"), free_name(df, "tie"), free_name(df, "part")
+    first = written(df, "unsorted").select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias(tie))
+    keys = [*[F.col(f"`{c}`") for c in within], *order, F.col(tie)]
+    dealt = written(first.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[f"`{c}`" for c in columns]), "sorted")
+    number = F.concat(*[F.lpad(F.regexp_extract("_metadata.file_name", p, 1), 9, "0") for p in (r"part-(\d+)", r"-c(\d+)\.")])
+    rows = dealt.select("*", number.alias(part), F.col("_metadata.row_index").alias(at))
+    runs = rows.groupBy(part, *within).agg(F.min(at).alias("__first"), F.count("*").alias("__count"))
+    earlier = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = written(runs.withColumn("__shift", F.coalesce(F.sum("__count").over(earlier), F.lit(0)) - F.col("__first")).drop("__first", "__count"), "runs")
+    named = runs.withColumnsRenamed({part: "__in", **{c: f"__of_{k}" for k, c in enumerate(within)}})
+    same = F.col(part) == F.col("__in")
+    for k, c in enumerate(within):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"__of_{k}"))
+    joined = rows.join(named, same)
+    return joined.select(*[f"`{c}`" for c in columns], (F.col(at) + F.col("__shift")).alias(name))
+
+
 def column_or_null(df: DataFrame, name: str, kind: str | T.DataType) -> Column:
     """A column in the kind asked for, or nulls where the table lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
