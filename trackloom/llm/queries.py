@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_facts
 from .decontaminate import find_leaks
 from .fingerprints import fingerprint_pairs
+from .importance import DRAW_SQL, draw_scores
 from .licenses import scan_licenses
 from .merkle import MANIFEST_SQL, proved, tampered_leaf, write_manifest
 from .mixing import MIX_SQL, mix
@@ -94,6 +95,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = draw_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(drawn.id.alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_formatting,
@@ -107,9 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_pii,
         op11_merkle_manifest,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL}
+    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_importance_resampling": DRAW_SQL}
