@@ -18,6 +18,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
+#: Words between blanks only.
+UNSPACED = np.ones(256, dtype=bool)
+UNSPACED[[9, 10, 11, 12, 13, 32]] = False
 BASE = 0x9E3779B97F4A7C15 | 1
 #: A random number for each of 64 places and 256 byte values.
 TABLE = np.random.default_rng(20240301).integers(0, 1 << 64, 64 * 256, dtype=U)
@@ -41,9 +44,9 @@ class Block:
     data: np.ndarray  # lower-cased bytes
     offsets: np.ndarray  # of documents in data, one more than documents
 
-    def find_words(self) -> Block:
-        """Sets starts and ends of words (byte positions) and word_at, the number of words before each document."""
-        is_word = WORD[self.data]
+    def find_words(self, word: np.ndarray = WORD) -> Block:
+        """Sets starts and ends of words (byte positions) and word_at, the number of words before each document. word: which bytes are of words."""
+        is_word = word[self.data]
         before = np.empty_like(is_word)
         if len(before):
             before[0] = False

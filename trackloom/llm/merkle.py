@@ -169,11 +169,11 @@ def write_manifest(
 
     whole = F.lit("").alias("tree")
     tips = ranked(sources.select(whole, F.col("subroot").alias("digest"), F.struct("tree", "height").alias("held")), [F.col("held.tree")])
-    count = sources.agg(F.count("*").alias("n")).select(whole, height(F.col("n"), arity).alias("height"))
+    count = written(sources.agg(F.count("*").alias("n")).select(whole, height(F.col("n"), arity).alias("height")), "count")
     ends, over = grow(tips, count, folder, "top", arity, every)
-    facts = ends.select(F.col("subroot").alias("root"), F.lit(arity).alias("arity"), F.lit(every).alias("every"), F.lit(below).alias("leaf_levels"), F.lit(over).alias("top_levels"))
+    facts = ends.select("tree", F.col("subroot").alias("root"), F.lit(arity).alias("arity"), F.lit(every).alias("every"), F.lit(below).alias("leaf_levels"), F.lit(over).alias("top_levels"))
     if sources.isEmpty():
-        facts = count.select(F.lit(None).cast("string").alias("root"), F.lit(arity).alias("arity"), F.lit(every).alias("every"), F.lit(below).alias("leaf_levels"), F.lit(over).alias("top_levels"))
+        facts = count.select("tree", F.lit(None).cast("string").alias("root"), F.lit(arity).alias("arity"), F.lit(every).alias("every"), F.lit(below).alias("leaf_levels"), F.lit(over).alias("top_levels"))
     facts.write.parquet(f"{folder}/facts")
     return Manifest(spark, folder, arity, every, {"leaves": below, "top": over})
 
@@ -211,7 +211,8 @@ def stored_levels(height: Column, every: int) -> Column:
 def proofs(manifest: Manifest) -> DataFrame:
     """A row for each leaf: tree, place, digest, held, proof (from the leaf to the root: the digests before and after its own on each level), subroot."""
     none = F.array().cast("array<struct<before:string,after:string>>")
-    top = manifest.spark.range(1).select(F.lit("").alias("tree"), F.lit(manifest.levels["top"]).alias("levels"), none.alias("proof"), F.lit(None).cast("string").alias("subroot"))
+    facts = manifest.spark.read.parquet(f"{manifest.folder}/facts")
+    top = facts.select("tree", F.col("top_levels").alias("levels"), none.alias("proof"), F.col("root").alias("subroot"))
     tips = descend(manifest, "top", top)
     starts = tips.select("held.tree", stored_levels(F.col("held.height"), manifest.every).alias("levels"), "proof", F.col("digest").alias("subroot"))
     return descend(manifest, "leaves", written(starts, "starts"))

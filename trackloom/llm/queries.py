@@ -17,6 +17,7 @@ from .mixing import MIX_SQL, mix
 from .near_duplicates import near_duplicates
 from .pii import find_pii, spans_text
 from .quality import held_out, score_quality, train
+from .setsketch import COPIES_SQL, near_copies
 from .tables import new_path
 from .token_files import read_index, write_tokens
 from .warc import PAGES_SQL, archive_pages, archived_pages
@@ -95,6 +96,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op12_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = draw_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(drawn.id.alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -113,10 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_pii,
         op11_merkle_manifest,
+        op12_setsketch_dedup,
         op13_importance_resampling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_importance_resampling": DRAW_SQL}
+    return {"op5_warc": PAGES_SQL, "op9_mixing": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op12_setsketch_dedup": COPIES_SQL, "op13_importance_resampling": DRAW_SQL}
