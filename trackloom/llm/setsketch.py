@@ -84,11 +84,13 @@ def plausible(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray,
     if not len(on):
         return on
     larger, smaller = (one > others[on]).sum(axis=1), (one < others[on]).sum(axis=1)
-    equal, n, m = len(one) - larger - smaller, np.full(len(on), float(size)), sizes[on].astype(float)
-    best = joint_estimate(larger, smaller, equal, n, m)
-    at_least = np.maximum(best, percent / 100)
-    gap = log_likelihood(best, larger, smaller, equal, n, m) - log_likelihood(np.minimum(at_least, np.minimum(n, m) / np.maximum(n, m)), larger, smaller, equal, n, m)
-    return on[gap <= SHORT]
+    told = larger, smaller, len(one) - larger - smaller, np.full(len(on), float(size)), sizes[on].astype(float)
+    at = np.full(len(on), percent / 100)
+    keep = log_likelihood(at, *told) >= log_likelihood(at - 1e-4, *told)  # the curve has one top: it lies at the threshold or above
+    if not keep.all():
+        told = tuple(x[~keep] for x in told)
+        keep[~keep] = log_likelihood(joint_estimate(*told), *told) - log_likelihood(at[~keep], *told) <= SHORT
+    return on[keep]
 
 
 def shingle_sets(column: pa.Array, ngram: int) -> list[np.ndarray]:
@@ -306,7 +308,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, ngram: int, percent: i
     full = full.groupBy("size", "members0", "members1").agg(F.min(F.struct("band", "bucket")).alias("one")).select("one.bucket", "size")
     met = places.join(full, "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
     pairs = in_blocks(met, "size", block).select("bucket", "i", "j", "band", "side", "node", "n_shingles", "registers")
-    pairs = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    # so many tasks, however few bytes: pairs cost more than their rows tell
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     clusters = connected_components(map_arrow(pairs, meet(bands, rows, percent), "u bigint, v bigint"))
 
     wanted = written(clusters.join(nodes.select("node", "id", "print"), "node"), "wanted")
