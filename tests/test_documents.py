@@ -155,7 +155,7 @@ def test_stream_of_states_equals_the_table(spark, tmp_path):
     for k in (1, 2):  # two batches
         states.where(f"seq {'<=' if k == 1 else '>'} 2").coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
     source = spark.readStream.schema(STATE_COLUMNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = streams.merge_states(source).writeStream.format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = streams.merge_states(source, life_ms=None).writeStream.format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("merged").collect()), key=lambda r: r[:2]) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,8 @@ def fixed(x: Column, digits: int) -> Column:
 def or_one(x: Column) -> Column:
     """x, or 1 where it is missing or zero."""
     return F.when(finite(x).isNull() | (x == 0), 1.0).otherwise(x)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's value where it names another one several times: that is put once into the plan and computed once a row."""
+    return F.transform(F.array(value), body)[0]

@@ -47,6 +47,28 @@ def project_targets(rows: DataFrame, fallback_offset: float = 0.0, calibration_f
     return rows.withColumn("yaw_delta", F.col("__delta")).withColumn("target_yaw", F.col("__yaw")).drop("__yaw", "__delta")
 
 
+#: What a target has for its projection, with the names that ``project_targets`` takes.
+TARGET_FIELDS = ("target_yaw", "view_yaw", "yaw_delta", "target_pitch", "view_pitch", "pitch_delta", "view_zoom", "ground_m", "map_bearing", "map_yaw", "projection")
+
+
+def targets_of(states: DataFrame, single: str = "target", many: str = "targets") -> DataFrame:
+    """A row for each target of a state, with ``place`` from 0: those of the list that aren't null, or the single one where there are none. States without targets have no row."""
+    listed = F.filter(F.col(many), lambda t: t.isNotNull())
+    all_of = F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, listed).when(F.col(single).isNotNull(), F.array(single))
+    others = [F.col(f"`{c}`") for c in states.columns if c not in (single, many)]
+    return states.where(all_of.isNotNull()).select(*others, F.posexplode(all_of).alias("place", "target"))
+
+
+def project_state_targets(states: DataFrame, **settings: float) -> DataFrame:
+    """``project_targets`` for every target of every state, with its place, id and order; targets without a point are left out.
+
+    states: lat, lon, heading, state_yaw, state_zoom, state_offset, camera_height_m, hud_scale, target (a struct of ``TARGET_FIELDS``, id and order) and targets (an array of these).
+    """
+    rows = targets_of(states)
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "target"], *[F.col("target")[f].alias(f) for f in ("id", "order", *TARGET_FIELDS)])
+    return project_targets(rows, **settings).where("point is not null")
+
+
 def ground_grid(rows: DataFrame, samples: int = 64) -> DataFrame:
     """The rows with radius, k, x, y: where ``samples`` + 1 points of each whole-metre ring show on the stage; points out of view are left out.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import circle, ground_to_screen, haversine, sector, vertical_fov
 from ..functions.numbers import fixed
 from ..operators import export, frames, match, navigate, project, resample, review, trajectory
-from . import document_queries, fixtures, scalars, session_queries
+from . import document_queries, fixtures, live_queries, scalars, session_queries
 from .fixtures import table, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,8 +391,8 @@ def geo_vertical_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fixed(vertical_fov(F.lit(20.0) + F.col("p_size"), F.lit(16.0), F.lit(9.0)), 6).alias("value"))
 
 
-QUERIES |= session_queries.QUERIES | document_queries.QUERIES
-ORACLES |= session_queries.ORACLES | document_queries.ORACLES
+QUERIES |= session_queries.QUERIES | document_queries.QUERIES | live_queries.QUERIES
+ORACLES |= session_queries.ORACLES | document_queries.ORACLES | live_queries.ORACLES
 for _name in scalars.SCALARS:
     QUERIES[_name] = scalars.query(_name)
     ORACLES[_name] = scalars.oracle(_name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,13 @@ def ship(spark: SparkSession) -> None:
             z.write(source, f"{package.name}/{source.relative_to(package)}")
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside ``spark.checkpoint.dir``, which driver and executors share; in local mode without that setting, in a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.gettempdir()
+    return f"{top.rstrip('/')}/trackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,14 +1,18 @@
-"""Viewer states as a stream: the latest document of each video, merged field by field, with repeats and known commands dropped."""
+"""Viewer states as a stream: the latest document of each video, merged field by field, with repeats and known commands dropped.
+
+A video that sends nothing for ``life`` by the clock is forgotten: its next state is as its first.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import keyed
 from ..operators.trajectory import step
 from ..session import ship
 
@@ -34,10 +38,34 @@ def merged(before: dict | None, new: dict) -> dict:
     return out
 
 
+#: How long a video's state is kept without a new one.
+LIFE_MS = 86_400_000
+
+
 def _plain(value):
     return None if value is None or (not isinstance(value, str) and pd.isna(value)) else value
 
 
+def timeout(life_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if life_ms else GroupStateTimeout.NoTimeout
+
+
+def lived(step, life_ms: int | None):
+    """A group's step whose state goes when its time is over; until then each batch gives it the whole time anew. None, for queries that are to end by themselves: it stays."""
+    if not life_ms:
+        return step
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from step(key, batches, state)
+        if state.exists:
+            state.setTimeoutDuration(life_ms)
+
+    return run
+
+
 def _merge_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in STATE.split(", ")][:-1]
     before = dict(zip(names, state.get[:-1], strict=True)) if state.exists else None
@@ -53,29 +81,25 @@ def _merge_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     yield pd.DataFrame(out).reindex(columns=columns)
 
 
-def merge_states(states: DataFrame) -> DataFrame:
+def merge_states(states: DataFrame, life_ms: int | None = LIFE_MS) -> DataFrame:
     """Each state of a video after the merge with the one before it; states: SCHEMA columns and ``view_only``. One row of state for each video."""
     ship(states.sparkSession)
-    return states.groupBy("video").applyInPandasWithState(_merge_group, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    return states.groupBy("video").applyInPandasWithState(lived(_merge_group, life_ms), SCHEMA, STATE, "append", timeout(life_ms))
 
 
 def merge_states_batch(states: DataFrame) -> DataFrame:
-    """The same over a table: each video's states are streamed in order of seq through one task, one state at a time."""
-    ship(states.sparkSession)
+    """The same over a table, by windows: within a run of one frame, limits and offset are the last known ones, radar the first known one, and targets those of the
+    last state that isn't view-only or brings its own."""
+    order = Window.partitionBy("video").orderBy("seq")
+    runs = states.withColumn("__new", ~F.col("frame_index").eqNullSafe(F.lag("frame_index").over(order)) | F.lag(F.lit(1)).over(order).isNull())
+    runs = runs.withColumn("__run", F.sum(F.col("__new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    upto = Window.partitionBy("video", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = {name: F.last(name, True).over(upto) for name in CARRIED} | {"radar": F.first("radar", True).over(upto)}
+    for name in ("target", "targets"):
+        brings = F.col("__new") | ~F.coalesce("view_only", F.lit(False)) | F.col(name).isNotNull()
+        kept[name] = F.last(F.when(brings, F.struct(name)), True).over(upto)[name]
     columns = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, before = None, None
-        for batch in batches:
-            out = []
-            for record in batch.to_dict("records"):
-                new = {k: _plain(v) for k, v in record.items()}
-                before = merged(before if new["video"] == video else None, new)
-                video = new["video"]
-                out.append(before)
-            yield pd.DataFrame(out, columns=[*columns, "view_only"]).reindex(columns=columns)
-
-    return states.repartition("video").sortWithinPartitions("video", "seq").mapInPandas(run, SCHEMA)
+    return runs.select(*[kept.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def signature(*fields: Column) -> Column:
@@ -100,10 +124,11 @@ def _changed_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     yield rows[keep]
 
 
-def changes_stream(states: DataFrame) -> DataFrame:
+def changes_stream(states: DataFrame, life_ms: int | None = LIFE_MS) -> DataFrame:
     """video, seq, signature of streamed states whose signature is new for their video."""
     ship(states.sparkSession)
-    return states.select("video", "seq", "signature").groupBy("video").applyInPandasWithState(_changed_group, "video string, seq bigint, signature string", "signature string", "append", GroupStateTimeout.NoTimeout)
+    schema = "video string, seq bigint, signature string"
+    return states.select("video", "seq", "signature").groupBy("video").applyInPandasWithState(lived(_changed_group, life_ms), schema, "signature string", "append", timeout(life_ms))
 
 
 def new_commands(commands: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -123,12 +148,12 @@ def _held_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     yield rows.assign(held_heading=[h for h, _ in out], radius_m=[r for _, r in out])
 
 
-def held_headings_stream(visits: DataFrame) -> DataFrame:
+def held_headings_stream(visits: DataFrame, life_ms: int | None = LIFE_MS) -> DataFrame:
     """The heading held by each video over a stream of visits (video, seq, frame, heading, distance_m)."""
     ship(visits.sparkSession)
     schema = "video string, seq bigint, frame bigint, heading double, distance_m double, held_heading double, radius_m double"
     rows = visits.select("video", "seq", "frame", "heading", "distance_m")
-    return rows.groupBy("video").applyInPandasWithState(_held_group, schema, "held double, radius double, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("video").applyInPandasWithState(lived(_held_group, life_ms), schema, "held double, radius double, last bigint", "append", timeout(life_ms))
 
 
 def view_equal(yaw_a: Column, pitch_a: Column, zoom_a: Column, yaw_b: Column, pitch_b: Column, zoom_b: Column) -> Column:
@@ -145,22 +170,10 @@ def append_marking(targets: Column, new: Column, most: int = 100) -> Column:
     return F.slice(added, F.greatest(F.size(added) - (most - 1), F.lit(1)), most)
 
 
-def store_markings(existing_path: str):
-    """A foreachBatch function that adds the markings of a batch which the table at the path doesn't hold yet.
-
-    Each batch has a folder of its own, so one that is run again after a failure writes the same rows in place of its first ones.
-    """
-    from ..operators.export import existing as present
-    from ..operators.review import insert_markings
-
-    def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = batch.limit(0)
-        if present(spark, [existing_path]):
-            before = spark.read.option("basePath", existing_path).schema(batch.schema.add("batch", "bigint")).parquet(existing_path).where(F.col("batch") != number)
-        insert_markings(before, batch).write.mode("overwrite").parquet(f"{existing_path}/batch={number}")
-
-    return store
+def store_markings(spark: SparkSession, table: str, order: str = "created_at"):
+    """A foreachBatch function that adds the markings of a batch which the table doesn't hold yet: only the buckets of new keys are read and written, and a batch that
+    runs twice changes nothing."""
+    return keyed.in_batches(lambda batch, number: keyed.put_markings(batch, table, order, note=number), spark, table)
 
 
 def settled(changes: DataFrame, quiet_us: int = 300_000, key: str = "video", time: str = "ts") -> DataFrame:
