@@ -56,13 +56,24 @@ def is_visible(visible: Column) -> Column:
     return F.coalesce(visible, F.lit(True))
 
 
+#: A condition of a filter text on the class: the column's name, an operator, and the quoted texts after it.
+QUOTED = r"""(?:'[^'"]+'|"[^'"]+")"""
+CONDITION = rf"""(?i)semantic_class\s*(=|like\b|in\b)\s*\(?\s*({QUOTED}(?:\s*,\s*{QUOTED})*)"""
+
+
 def subset_classes(subset: Column) -> Column:
-    """The class names of a filter text, sorted: of the first of ``=``, ``LIKE`` and ``IN (...)`` on semantic_class that yields any."""
-    one = lambda operator: F.filter(F.array(F.trim(F.regexp_extract(subset, rf"(?i)semantic_class\s{operator}\s*['\"]([^'\"]+)['\"]", 1))), lambda x: x != "")
-    inside = F.regexp_extract(subset, r"(?i)semantic_class\s+IN\s*\(([^)]+)\)", 1)
-    several = F.filter(F.transform(F.regexp_extract_all(inside, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
-    found = F.when(F.size(one("*=")) > 0, one("*=")).when(F.size(one("+LIKE")) > 0, one("+LIKE")).otherwise(several)
-    return F.sort_array(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))))
+    """The class names of a filter text, sorted: of its first equation, else of its first LIKE, else of its first list, whichever names any first."""
+    operators, texts = (F.regexp_extract_all(subset, F.lit(CONDITION), F.lit(k)) for k in (1, 2))
+    conditions = F.zip_with(operators, texts, lambda o, t: F.struct(F.lower(o).alias("operator"), F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)).alias("texts")))
+    inner = lambda x: F.trim(F.substring(x, F.lit(2), F.length(x) - 2))
+
+    def named(operator: str) -> Column:
+        first = F.get(F.filter(conditions, lambda c: c["operator"] == operator), F.lit(0))["texts"]
+        return F.filter(F.transform(first if operator == "in" else F.slice(first, 1, 1), inner), lambda x: x != "")
+
+    none = F.array().cast("array<string>")
+    found = F.filter(F.array(*[F.coalesce(named(o), none) for o in ("=", "like", "in")]), lambda names: F.size(names) > 0)
+    return F.sort_array(F.array_distinct(F.coalesce(F.get(found, F.lit(0)), none)))
 
 
 def active_classes(subset: Column, categories: Column) -> Column:

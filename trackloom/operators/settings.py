@@ -1,80 +1,80 @@
-"""Checks of settings as columns: each gives the messages of what is wrong, in a fixed order, and never fails."""
+"""Checks of settings as columns: each gives what is wrong as (field, rule, low, high), one row of the array for each field in the order of the arguments, and never fails.
+
+Rules: ``missing``, ``unreadable`` (not a number, or not a whole one where that is asked for), ``range`` (outside low..high, null where there is no such limit), ``choice`` (none of the
+values that are allowed), ``kind`` (a file of another kind). A number that is missing or unreadable counts as its default for its range.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Navigation modes, radar offsets.
+#: Navigation modes, radar offsets, and (default, low, high, whole) of each number.
 MODES = ("frame", "layer", "kp", "marking", "picked", "detect")
 OFFSETS = (0, 90, 180, 270)
+NUMBERS = {
+    "nav_step": (1, 1, None, True), "nav_fast_step": (30, 1, None, True),
+    "radar_range_m": (5, 1, 500, False), "radar_scale": (1, 0.1, 20, False), "calibration_fov_deg": (90, 1, 179, False), "calibration_distance_m": (5, 0.1, 500, False), "radar_offset_deg": (0, None, None, True),
+    "frame_shift": (0, -1_000_000, 1_000_000, True), "reference_tolerance_m": (5, 0, None, False), "frame": (0, 0, None, True),
+    "port": (8181, 1, 65535, True), "jpeg_quality": (90, 1, 100, True), "max_width": (3072, 0, None, True), "camera_height_m": (1.5, 0.1, 20, False), "hud_scale": (1, 0.1, 5, False),
+}
+
+
+def problem(field: str, rule: str, low: float | None = None, high: float | None = None) -> Column:
+    limit = lambda x: F.lit(x).cast("double")
+    return F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), limit(low).alias("low"), limit(high).alias("high"))
 
 
-def number(x: Column, name: str, default: float, whole: bool = False) -> tuple[Column, Column]:
-    """The value with its default where it is missing or doesn't read, and the message of one that doesn't read."""
+def read_number(x: Column, whole: bool) -> Column:
+    """A finite number, or a whole one; null for anything else."""
     text = F.trim(x.cast("string"))
-    read = text.try_cast("double")
-    read = F.when(F.abs(read) < F.lit(float("inf")), read)
     if whole:
-        read = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")).cast("double")
-    return F.coalesce(read, F.lit(float(default))), F.when(x.isNotNull() & read.isNull(), f"{name} must be {'an integer' if whole else 'a number'}.")
+        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")).cast("double")
+    value = text.try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def messages(*tests: Column) -> Column:
-    return F.array_compact(F.array(*tests))
+def number(x: Column, field: str, among: tuple[float, ...] = ()) -> Column:
+    default, low, high, whole = NUMBERS[field]
+    read = read_number(x, whole)
+    value = F.coalesce(read, F.lit(float(default)))
+    found = F.when(x.isNotNull() & read.isNull(), problem(field, "unreadable"))
+    if among:
+        return found.when(~value.isin(*[float(a) for a in among]), problem(field, "choice"))
+    outside = [value < limit if k == 0 else value > limit for k, limit in enumerate((low, high)) if limit is not None]
+    return found.when(outside[0] if len(outside) == 1 else outside[0] | outside[1], problem(field, "range", low, high))
 
 
-def between(x: Column, low: float, high: float | None, message: str) -> Column:
-    return F.when((x < low) | (F.lit(False) if high is None else x > high), message)
+def choice(x: Column, field: str, among: tuple[str, ...]) -> Column:
+    return F.when(~F.trim(F.coalesce(x, F.lit(""))).isin(*among), problem(field, "choice"))
 
 
-def file_name(x: Column, name: str, extension: str, required: bool = True) -> Column:
-    """The message of a file that is missing or of another kind; whether it exists is for the reader to tell."""
+def given(x: Column, field: str, extension: str | None = None, required: bool = True) -> Column:
+    """A text, or the name of a file of some kind; whether the file exists is for its reader to tell."""
     text = F.trim(F.coalesce(x, F.lit("")))
-    empty = F.when(text == "", f"{name} is required.") if required else F.when(text == "", F.lit(None).cast("string"))
-    return empty.when(~F.lower(text).endswith(extension), f"{name} must be a {extension} file.")
+    found = F.when(text == "", problem(field, "missing") if required else F.lit(None).cast("struct<field:string,rule:string,low:double,high:double>"))
+    return found.when(~F.lower(text).endswith(extension), problem(field, "kind")) if extension else found
+
+
+def problems(*checks: Column) -> Column:
+    return F.array_compact(F.array(*checks))
 
 
 def navigation_errors(mode: Column, step: Column, fast_step: Column) -> Column:
-    (one, bad_one), (fast, bad_fast) = number(step, "Navigation step", 1, True), number(fast_step, "Fast navigation step", 30, True)
-    name = F.trim(F.coalesce(mode, F.lit("")))
-    known = F.when(~name.isin(*MODES), F.concat(F.lit("Navigation mode is invalid: "), name))
-    return messages(
-        bad_one, bad_fast, known, between(one, 1, None, "Navigation step must be greater than or equal to 1."), between(fast, 1, None, "Fast navigation step must be greater than or equal to 1.")
-    )
+    return problems(choice(mode, "nav_mode", MODES), number(step, "nav_step"), number(fast_step, "nav_fast_step"))
 
 
 def radar_errors(range_m: Column, scale: Column, view: Column, distance: Column, offset: Column) -> Column:
-    parts = [number(range_m, "Radar range", 5), number(scale, "Radar scale", 1), number(view, "Calibration FOV", 90), number(distance, "Calibration distance", 5), number(offset, "Radar offset", 0, True)]
-    (r, _), (s, _), (v, _), (d, _), (o, _) = parts
-    return messages(
-        *[bad for _, bad in parts], between(r, 1, 500, "Radar range must be between 1.0 and 500.0 m."), between(s, 0.1, 20, "Radar scale must be between 0.1 and 20.0."),
-        between(v, 1, 179, "Calibration FOV must be between 1.0 and 179.0 degrees."), between(d, 0.1, 500, "Calibration distance must be between 0.1 and 500.0 m."),
-        F.when(~o.isin(*[float(x) for x in OFFSETS]), "Radar offset must be one of 0, 90, 180, or 270 degrees."),
-    )
+    return problems(number(range_m, "radar_range_m"), number(scale, "radar_scale"), number(view, "calibration_fov_deg"), number(distance, "calibration_distance_m"), number(offset, "radar_offset_deg", OFFSETS))
 
 
 def process_errors(gpx: Column, video: Column, reference: Column, shift: Column, tolerance: Column) -> Column:
-    (moved, bad_shift), (metres, bad_metres) = number(shift, "Frame shift", 0, True), number(tolerance, "Reference tolerance", 5)
-    return messages(
-        bad_shift, bad_metres, file_name(gpx, "GPX file", ".gpx"), file_name(video, "Video file", ".mp4"), file_name(reference, "Reference file", ".csv", required=False),
-        between(moved, -1_000_000, 1_000_000, "Frame shift must be between -1000000 and 1000000."), between(metres, 0, None, "Reference tolerance must be greater than or equal to 0."),
-    )
+    return problems(given(gpx, "gpx", ".gpx"), given(video, "video", ".mp4"), given(reference, "reference_csv", ".csv", required=False), number(shift, "frame_shift"), number(tolerance, "reference_tolerance_m"))
 
 
 def extract_errors(video: Column, frame: Column) -> Column:
-    n, bad = number(frame, "Frame number", 0, True)
-    return messages(bad, file_name(video, "Video file", ".mp4"), between(n, 0, None, "Frame number must be greater than or equal to 0."))
+    return problems(given(video, "video", ".mp4"), number(frame, "frame"))
 
 
 def viewer_errors(host: Column, port: Column, quality: Column, width: Column, height: Column, scale: Column) -> Column:
-    parts = [
-        number(port, "Viewer port", 8181, True), number(quality, "Viewer JPEG quality", 90, True), number(width, "Viewer maximum width", 3072, True), number(height, "Viewer camera height", 1.5),
-        number(scale, "Viewer HUD height scale", 1),
-    ]
-    (p, _), (q, _), (w, _), (h, _), (s, _) = parts
-    return messages(
-        *[bad for _, bad in parts], F.when(F.trim(F.coalesce(host, F.lit(""))) == "", "Viewer host is required."), between(p, 1, 65535, "Viewer port must be between 1 and 65535."),
-        between(q, 1, 100, "Viewer JPEG quality must be between 1 and 100."), between(w, 0, None, "Viewer maximum width must be greater than or equal to 0."),
-        between(h, 0.1, 20, "Viewer camera height must be between 0.1 and 20.0 m."), between(s, 0.1, 5, "Viewer HUD height scale must be between 0.1 and 5.0."),
-    )
+    return problems(given(host, "host"), number(port, "port"), number(quality, "jpeg_quality"), number(width, "max_width"), number(height, "camera_height_m"), number(scale, "hud_scale"))

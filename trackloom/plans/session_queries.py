@@ -176,13 +176,12 @@ SET_SQL = "CASE WHEN event_id % 7 = 0 THEN 'x' WHEN event_id % 7 = 1 THEN NULL W
 
 
 @query(f"WITH t AS (SELECT event_id, {SET_SQL.format('VARCHAR')} AS r, CASE event_id % 6 WHEN 0 THEN ' kp' WHEN 1 THEN 'walk' WHEN 2 THEN NULL ELSE 'frame' END AS mode FROM events), n AS (SELECT *, coalesce(TRY_CAST(r AS DOUBLE), CASE WHEN r IS NULL THEN NULL END) AS v FROM t)"
-       " SELECT event_id, concat_ws(' | ', CASE WHEN r = 'x' THEN 'Navigation step must be an integer.' END, CASE WHEN coalesce(trim(mode), '') NOT IN ('frame', 'layer', 'kp', 'marking', 'picked', 'detect') THEN 'Navigation mode is invalid: ' || coalesce(trim(mode), '') END,"
-       " CASE WHEN coalesce(v, 1) < 1 THEN 'Navigation step must be greater than or equal to 1.' END) AS navigation, concat_ws(' | ', CASE WHEN r = 'x' THEN 'Radar range must be a number.' END, CASE WHEN r = 'x' THEN 'Radar offset must be an integer.' END,"
-       " CASE WHEN coalesce(v, 5) < 1 OR coalesce(v, 5) > 500 THEN 'Radar range must be between 1.0 and 500.0 m.' END, CASE WHEN coalesce(v, 0) NOT IN (0, 90, 180, 270) THEN 'Radar offset must be one of 0, 90, 180, or 270 degrees.' END) AS radar FROM n")
+       " SELECT event_id, concat_ws(' | ', CASE WHEN coalesce(trim(mode), '') NOT IN ('frame', 'layer', 'kp', 'marking', 'picked', 'detect') THEN 'nav_mode choice' END, CASE WHEN r = 'x' THEN 'nav_step unreadable' WHEN coalesce(v, 1) < 1 THEN 'nav_step range 1.0' END) AS navigation,"
+       " concat_ws(' | ', CASE WHEN r = 'x' THEN 'radar_range_m unreadable' WHEN coalesce(v, 5) < 1 OR coalesce(v, 5) > 500 THEN 'radar_range_m range 1.0 500.0' END, CASE WHEN r = 'x' THEN 'radar_offset_deg unreadable' WHEN coalesce(v, 0) NOT IN (0, 90, 180, 270) THEN 'radar_offset_deg choice' END) AS radar FROM n")
 def json_validate_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{SET_SQL.format('STRING')} AS r", "CASE event_id % 6 WHEN 0 THEN ' kp' WHEN 1 THEN 'walk' WHEN 2 THEN NULL ELSE 'frame' END AS mode")
     none = F.lit(None).cast("string")
-    shown = lambda e: F.array_join(e, " | ")
+    shown = lambda e: F.array_join(F.transform(e, lambda x: F.concat_ws(" ", x["field"], x["rule"], x["low"], x["high"])), " | ")
     return rows.select("event_id", shown(settings.navigation_errors(F.col("mode"), F.col("r"), none)).alias("navigation"), shown(settings.radar_errors(F.col("r"), none, none, none, F.col("r"))).alias("radar"))
 
 
