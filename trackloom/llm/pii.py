@@ -8,8 +8,8 @@ above the threshold of their kind become spans where no strict span overlaps the
 The trees and thresholds are fitted on the driver on candidates in at most ``CARRIERS`` texts of the table itself, each of at most
 ``CARRIER_CHARS`` characters: forms of personal data and look-alikes (order numbers, dates, versions, checksums) are planted between their
 words ``TRAINING`` times, and the texts' own candidates count where they are certain (one that a strict span confirms, a number that fails
-its check digit). A third is held out; the threshold of a kind is the lowest at which its held-out candidates reach ``PRECISION``. The
-trees are then column expressions.
+its check digit). Of four parts of these texts two fit the trees, the third sets the threshold of each kind, the lowest at which its candidates there reach ``PRECISION``,
+and the fourth, which neither saw, gives the figures that are reported. The trees are then column expressions. Runs of characters and private keys count whole, however long.
 
 Positions come from the pieces between matches: a match begins after all pieces and matches before it, summed by a window
 over the candidates of one document; texts themselves are never shuffled.
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import hashed_rows
+from .tables import hashed_rows, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: With the kind that only the method finds.
@@ -48,7 +48,8 @@ WIDE = {
     "phone": (r"[0-9][ ./)-]{1,2}[0-9]{2}", r"(?<![0-9+./-])(?:\([0-9]{2,5}\) ?|0{0,2}[0-9]{2,5}[ ./-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9./-])"),
     "secret": (
         r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|-----BEGIN|[A-Za-z0-9_/+-]{20}",
-        r"(?i)-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,200}={0,2}(?![A-Za-z0-9_/+=-])",
+        r"(?i)-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:\s*+Proc-Type:[^\n]*+\n)?+(?:DEK-Info:[^\n]*+\n)?+[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?+"
+        r"|(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+=-])",
     ),
 }
 CUES = {
@@ -64,7 +65,9 @@ FEATURES = (
     "kind", "length", "digits", "luhn", "distinct", "separators", "first", "spaced", "letter_before", "letter_after", "digit_near", "decimal_near",
     "colons", "doubled", "letters", "upper", "different", "slashes", "marked", "at_marked", "dot_word", "cue_mail", "cue_net", "cue_pay", "cue_call", "cue_other", "cue_key", "cue_set",
 )
-TRAINING, CARRIERS, CARRIER_CHARS, PRECISION, CONTEXT = 1500, 300, 2000, 0.98, 40
+#: How keys of well-known kinds begin.
+MARKS = ("-----BEGIN", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "sk-", "sk_")
+TRAINING, CARRIERS, CARRIER_CHARS, PRECISION, CONTEXT = 2400, 300, 2000, 0.98, 40
 
 
 def matches(text: Column, gate: str, pattern: str) -> Column:
@@ -150,7 +153,7 @@ def described(spans: DataFrame) -> DataFrame:
         "colons": F.length(F.regexp_replace("found", "[^:]", "")), "doubled": F.col("found").contains("::").cast("int"),
         "letters": F.length(F.regexp_replace("found", "[^A-Za-z]", "")), "upper": F.length(F.regexp_replace("found", "[^A-Z]", "")),
         "different": F.size(F.array_distinct(F.split(F.col("found"), ""))), "slashes": F.length(F.regexp_replace("found", "[^/_-]", "")),
-        "marked": F.col("found").rlike(r"(?i)^-----|^AKIA|^gh[pousr]_|^xox|^eyJ|^sk[-_]").cast("int"),
+        "marked": F.col("found").rlike(r"(?i)^(?:" + "|".join(MARKS) + ")").cast("int"),
         "at_marked": F.col("found").rlike(r"(?i)[\[({] ?at").cast("int"), "dot_word": F.col("found").rlike(r"(?i)[\[({ ]dot[\])} ]").cast("int"),
     } | {f"cue_{name}": (F.col("left") if name in ("set", "key") else around).rlike(pattern).cast("int") for name, pattern in CUES.items()}
     return spans.withColumn("x", F.array(*[F.coalesce(values[name].cast("double"), F.lit(0.0)) for name in FEATURES]))
@@ -163,7 +166,7 @@ class Trees:
     base: float
     trees: list
     thresholds: list[float]
-    measured: dict[str, tuple] = field(default_factory=dict)  # kind -> precision and recall of its held-out candidates
+    measured: dict[str, tuple] = field(default_factory=dict)  # kind -> precision and recall of candidates that neither fit nor thresholds saw
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         def value(tree, rows: np.ndarray) -> np.ndarray:
@@ -251,10 +254,15 @@ def planted(carriers: list[str], n: int, seed: int = 10) -> list[tuple[int, str,
         sep = rng.choice("-. ")
         return rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", sep.join((digits(3), digits(3), digits(4))), f"0{digits(3)}/{digits(3)} {digits(4)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(4)}"))
 
+    def key() -> str:
+        kind = rng.choice(("RSA ", "EC ", "OPENSSH ", ""))
+        body = "\n".join(mixed(64) for _ in range(rng.randint(0, 8)))
+        return f"-----BEGIN {kind}PRIVATE KEY-----" + (f"\n{body}\n-----END {kind}PRIVATE KEY-----" if body else "")
+
     right = {
         0: lambda: f"{name()}{rng.choice((' [at] ', '(at)', ' (at) ', '[at]', ' at '))}{name()}{rng.choice((' [dot] ', '(dot)', ' dot '))}com" if rng.random() < 0.7 else f"{name()}{rng.choice((' [at] ', '(at)'))}{name()}.com",
         1: address, 2: card, 3: phone,
-        4: lambda: rng.choice((hexa(40), hexa(32), mixed(24), mixed(32), mixed(40), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "sk-" + mixed(40), "eyJ" + mixed(60), "-----BEGIN RSA PRIVATE KEY-----")),
+        4: lambda: rng.choice((hexa(40), hexa(32), mixed(24), mixed(32), mixed(40), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "sk-" + mixed(40), "eyJ" + mixed(60), mixed(rng.choice((240, 600))), key())),
     }
     cues = {
         0: ("mail me at ", "contact ", ""), 1: ("server ", "my ip is ", "host ", ""), 2: ("card ", "visa number ", "paid with ", "", ""), 3: ("call ", "phone ", "tel. ", "my mobile is "),
@@ -268,6 +276,7 @@ def planted(carriers: list[str], n: int, seed: int = 10) -> list[tuple[int, str,
         lambda: f"look at {name()}.{name()}", lambda: f"at {rng.randint(10, 23)}:{digits(2)}:{digits(2)}", lambda: f"std::{name()}::{name()}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{digits(2)}:{digits(2)}",
         lambda: f"commit {hexa(40)}", lambda: f"md5 {hexa(32)}", lambda: f"sha256 {hexa(64)}", lambda: f"uuid {hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", lambda: "-".join(name() for _ in range(4)),
         lambda: "/".join(name() for _ in range(5)), lambda: "_".join(name() for _ in range(4)), lambda: name() + name() + name(), lambda: "=" * 30, lambda: "-" * 40, lambda: digits(30),
+        lambda: f"data:image/png;base64,{mixed(rng.choice((120, 400)))}", lambda: "_" * 300, lambda: "-".join(name() for _ in range(60)),
     ]
     out = []
     for k in range(n):
@@ -279,8 +288,9 @@ def planted(carriers: list[str], n: int, seed: int = 10) -> list[tuple[int, str,
             done = place
             if rng.random() < 0.5:
                 kind = rng.randrange(len(ALL))
-                text += (cue := rng.choice(cues[kind]))
                 span = right[kind]()
+                alone = ("", "see ", "found\n") if kind == 4 and span.startswith(MARKS) else ()  # what tells itself needs no cue
+                text += (cue := rng.choice(cues[kind] + alone))
                 spans.append((kind, len(text), len(text) + len(span)))
                 text += span + ('"' if cue.endswith('"') else "")
             else:
@@ -313,7 +323,10 @@ def labelled(rows: list, truth: dict) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def fitted(texts: DataFrame, n: int = TRAINING, precision: float = PRECISION) -> Trees:
-    """The trees and thresholds; features come from the same columns as on the main path. ``measured`` has each kind's held-out figures."""
+    """The trees and thresholds; features come from the same columns as on the main path.
+
+    One model can be given to ``find_pii`` for all parts of a corpus. ``measured`` has each kind's figures on the part that neither fit nor thresholds saw.
+    """
     fit_in = texts.select("text").where(F.length("text").between(40, CARRIER_CHARS))
     carriers = sorted(r.text for r in hashed_rows(fit_in, "text", CARRIERS, seed=10))
     made = planted(carriers, n)
@@ -323,30 +336,39 @@ def fitted(texts: DataFrame, n: int = TRAINING, precision: float = PRECISION) ->
     docs = spark.range(1).select(F.inline(F.from_json(listed, "array<struct<row:bigint,id:bigint,text:string>>"))).repartition(spark.sparkContext.defaultParallelism)
     rows = described(checked(candidates(docs))).where("kind is not null").select("id", "kind", "strict", "passes", "start", "finish", "x").collect()
     x, y, owner = labelled(sorted(rows, key=lambda r: (r.id, r.kind, r.start, r.strict)), truth)
-    test = owner % 3 == 1
-    model = boost(x[~test], y[~test])
-    p = 1 / (1 + np.exp(-model.margin(x[test])))
+    part = owner % 4  # of texts
+    model = boost(x[part < 2], y[part < 2])
+    p = 1 / (1 + np.exp(-model.margin(x)))
     for kind in range(len(ALL)):
-        own = x[test][:, 0] == kind
-        truth_of, p_of, cut = y[test][own], p[own], 1.01
-        for c in sorted(set(p_of.tolist()), reverse=True):
-            if truth_of[p_of >= c].mean() >= precision:
+        own = x[:, 0] == kind
+        sets, told = own & (part == 2), own & (part == 3)
+        cut = 1.01
+        for c in sorted(set(p[sets].tolist()), reverse=True):
+            if y[sets & (p >= c)].mean() >= precision:
                 cut = c
         model.thresholds.append(float(max(cut, 0.5)))
-        taken = p_of >= model.thresholds[-1]
-        model.measured[ALL[kind]] = (float(truth_of[taken].mean()) if taken.any() else None, float(truth_of[taken].sum() / truth_of.sum()) if truth_of.sum() else None)
+        taken, right = told & (p >= model.thresholds[-1]), y[told].sum()
+        model.measured[ALL[kind]] = (float(y[taken].mean()) if taken.any() else None, float(y[taken].sum() / right) if right else None)
     return model
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone (strict spans), n_added (others), base (sorted strict spans) and spans (all), as
     arrays of (kind number, start, end) in code points, ends exclusive.
 
-    Null texts are empty; repeated rows and null ids each have their own result; further columns are ignored.
+    Null texts are empty; repeated rows and null ids each have their own result; further columns are ignored. Without a model one is fitted on the table.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    model = fitted(texts)
-    spans = checked(candidates(texts.withColumn("row", F.monotonically_increasing_id())))
+    texts = texts_of(docs, id_col, text_col)
+    return found_in(texts.withColumn("row", F.monotonically_increasing_id()), model or fitted(texts)).drop("row")
+
+
+def found_in(texts: DataFrame, model: Trees) -> DataFrame:
+    """The same of (row, id, text), with the row's number."""
+    spans = checked(candidates(texts))
     scored = described(spans).withColumn("p", F.when(F.col("kind").isNotNull() & ~F.col("strict"), model.column(F.col("x"))))
     cut = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(model.thresholds[k])), range(1, len(ALL)), F.when(F.col("kind") == 0, F.lit(model.thresholds[0])))
     scored = scored.withColumn("maybe", F.coalesce(~F.col("strict") & (F.col("p") >= cut), F.lit(False)))
@@ -368,7 +390,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sort_array(F.collect_list(F.when(F.col("passes"), span))).alias("base"),
         F.sort_array(F.collect_list(F.when(F.col("passes") | F.col("added"), span))).alias("spans"),
     )
-    return found.drop("row")
+    return found
 
 
 def spans_text(spans: Column) -> Column:
@@ -377,14 +399,14 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): each text with its spans replaced by the kind in angle brackets; overlapping spans are replaced as one, under the first's kind.
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
+    """(id, text), one row per input row: each text with its spans replaced by the kind in angle brackets; overlapping spans are replaced as one, under the first's kind.
 
-    Ids must be unique: texts and spans are joined on them.
+    Rows are numbered once, in a written table, and told by these numbers, so null and repeated ids are rows like others.
     """
-    found = find_pii(docs, id_col, text_col).select("id", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("s"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    both = texts.join(found, "id")
+    texts = written(texts_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts")
+    found = found_in(texts, model or fitted(texts)).select("row", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("s"))
+    both = texts.join(found, "row")
     names = F.array(*[F.lit(f"<{k}>") for k in ALL])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
