@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
@@ -48,11 +49,12 @@ def test_frames_are_contiguous_whatever_the_stretches(spark):
     assert [r.source_frame for r in wide] == list(range(len(wide)))
 
 
-def test_nearest_reference_equals_comparison_with_all(spark):
+@pytest.mark.parametrize("most_listed", [500, 3])  # the second deals cells out to several lists
+def test_nearest_reference_equals_comparison_with_all(spark, most_listed):
     rng = random.Random(2)
     refs = [(k, 35 + rng.random() / 10, 136 + rng.random() / 10) for k in range(100)]
     points = [(k, 35 + rng.random() / 10, 136 + rng.random() / 10) for k in range(500)] + [(900, None, 136.0)]
-    found = match.match_references(spark.createDataFrame(points, "n int, lat double, lon double"), spark.createDataFrame(refs, "ref_idx int, lat double, lon double"), 400.0)
+    found = match.match_references(spark.createDataFrame(points, "n int, lat double, lon double"), spark.createDataFrame(refs, "ref_idx int, lat double, lon double"), 400.0, most_listed=most_listed)
     got = {r.n: r["match"].ref_idx if r["match"] else None for r in found.collect()}
 
     def haversine(a, b, c, d):

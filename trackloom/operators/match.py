@@ -74,6 +74,7 @@ def match_references(
     tolerance_m: float,
     *,
     most_lat: float = 70.0,
+    most_listed: int = 500,
     distance: Callable[[Column, Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """points with ``match``: struct(ref_idx, lat, lon, distance_m) of the nearest reference, or null.
@@ -81,7 +82,7 @@ def match_references(
     Nearest is by planar degrees, the first ref_idx among equals; that one is measured on the ellipsoid (or by
     ``distance``, such as ``haversine``) and kept if within the tolerance, equality included.
     References meet in cells: each is listed in its own cell and the eight around, so a point looks up one list and no
-    pairs are made. Points without coordinates, or beyond ``most_lat``, for which cells would be too small, raise or stay unmatched as told:
+    pairs are made. Cells of more than ``most_listed`` references have several lists, and their points a row for each until the nearest is known. Points without coordinates, or beyond ``most_lat``, for which cells would be too small, raise or stay unmatched as told:
     latitudes beyond it are an error.
     """
     size = cell_size(tolerance_m, most_lat)
@@ -90,22 +91,50 @@ def match_references(
     own = refs.select("ref_idx", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).where("rlat is not null and rlon is not null")
     cy, cx = cell(F.col("rlat"), F.col("rlon"))
     around = F.explode(F.array(*[F.struct((cy + y).alias("cy"), (cx + x).alias("cx")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-    lists = own.withColumn("c", around).groupBy("c.cy", "c.cx").agg(F.sort_array(F.collect_list(F.struct("ref_idx", "rlat", "rlon"))).alias("near"))
-    lists = lists.select("cy", "cx", "near", F.col("near.rlat").alias("lats"), F.col("near.rlon").alias("lons"))
+    spread = own.withColumn("c", around).select("ref_idx", "rlat", "rlon", "c.cy", "c.cx")
     py, px = cell(F.col("lat"), F.col("lon"))
     safe = F.when(F.abs(F.col("lat")) > most_lat, F.raise_error(F.lit(f"a latitude is beyond most_lat = {most_lat}")).cast("bigint")).otherwise(py)
     placed = points.withColumn("cy", safe).withColumn("cx", px)
-    found = placed.join(lists, ["cy", "cx"], "left")
-    # numbers only in the inner loop; of equally near references the first of the sorted list counts
-    off = F.zip_with("lats", "lons", lambda y, x: (y - F.col("lat")) * (y - F.col("lat")) + (x - F.col("lon")) * (x - F.col("lon")))
-    found = found.withColumn("off", off)
-    best = F.get(F.col("near"), (F.array_position(F.col("off"), F.array_min("off")) - 1).cast("int"))
-    found = found.withColumn("best", best).withColumn("metres", measure(F.col("lat"), F.col("lon"), F.col("best.rlat"), F.col("best.rlon")))
+    parts = spread.groupBy("cy", "cx").agg(F.ceil(F.count("*") / most_listed).cast("int").alias("parts")).where("parts > 1")
+    if parts.isEmpty():
+        best = nearest_in(placed, spread)
+    else:
+        sparse = nearest_in(placed.join(parts, ["cy", "cx"], "left_anti"), spread.join(parts, ["cy", "cx"], "left_anti"))
+        dense = nearest_in_parts(placed.join(parts.select("cy", "cx"), ["cy", "cx"], "left_semi"), spread.join(parts, ["cy", "cx"]))
+        best = sparse.unionByName(dense)
+    found = best.withColumn("metres", measure(F.col("lat"), F.col("lon"), F.col("best.rlat"), F.col("best.rlon")))
     kept = F.when(
         F.col("metres") <= tolerance_m,
         F.struct(F.col("best.ref_idx").alias("ref_idx"), F.col("best.rlat").alias("lat"), F.col("best.rlon").alias("lon"), F.col("metres").alias("distance_m")),
     )
-    return found.withColumn("match", kept).drop("cy", "cx", "near", "lats", "lons", "off", "best", "metres")
+    return found.withColumn("match", kept).drop("cy", "cx", "best", "metres")
+
+
+def listed(spread: DataFrame, *cells: str) -> DataFrame:
+    lists = spread.groupBy(*cells).agg(F.sort_array(F.collect_list(F.struct("ref_idx", "rlat", "rlon"))).alias("near"))
+    return lists.select(*cells, "near", F.col("near.rlat").alias("lats"), F.col("near.rlon").alias("lons"))
+
+
+def with_best(found: DataFrame) -> DataFrame:
+    """Adds best, the nearest reference of the row's list, and off, its distance in squared degrees."""
+    # numbers only in the inner loop; of equally near references the first of the sorted list counts
+    off = F.zip_with("lats", "lons", lambda y, x: (y - F.col("lat")) * (y - F.col("lat")) + (x - F.col("lon")) * (x - F.col("lon")))
+    found = found.withColumn("off", off)
+    return found.withColumn("best", F.get(F.col("near"), (F.array_position(F.col("off"), F.array_min("off")) - 1).cast("int"))).withColumn("off", F.array_min("off")).drop("near", "lats", "lons")
+
+
+def nearest_in(placed: DataFrame, spread: DataFrame) -> DataFrame:
+    """Points with best, by one list for each cell."""
+    return with_best(placed.join(listed(spread, "cy", "cx"), ["cy", "cx"], "left")).drop("off")
+
+
+def nearest_in_parts(placed: DataFrame, spread: DataFrame) -> DataFrame:
+    """The same in cells of many references: these are dealt out to lists of bounded size by a hash, and of each list's nearest the point keeps the nearest, by one minimum."""
+    dealt = spread.withColumn("part", F.pmod(F.xxhash64("ref_idx", "rlat", "rlon"), F.col("parts")))
+    numbered = placed.withColumn("__row", F.monotonically_increasing_id())  # read once: it groups the copies of a row again
+    each = with_best(numbered.join(listed(dealt, "cy", "cx", "part").drop("part"), ["cy", "cx"]))
+    nearest = F.min_by(F.struct(*[F.col(f"`{c}`") for c in placed.columns], "best"), F.struct("off", "best.ref_idx")).alias("x")
+    return each.groupBy("__row").agg(nearest).select("x.*")
 
 
 def aligned(matched: DataFrame, refs: DataFrame) -> DataFrame:

@@ -61,18 +61,19 @@ def dispatch(asked: DataFrame, listed: DataFrame, key: str = KEY) -> DataFrame:
     mode = F.lower(F.trim(F.coalesce("mode", F.lit(""))))
     kind = F.when(mode == "frame", "frame").when(mode == "kp", "kp").when(is_marking_mode(F.col("mode")), "marking").when(mode == "detect", "detect").otherwise("layer")
     count = F.when(F.col("fast"), F.col("fast_step")).otherwise(F.col("step")).cast("bigint")
-    rows = asked.withColumns({"__id": F.monotonically_increasing_id(), "__kind": kind, "__count": count, "__frame": F.col("frame").cast("bigint")})
+    rows = asked.withColumns({"__kind": kind, "__count": count, "__frame": F.col("frame").cast("bigint")})
     rows = rows.withColumn("__jump", F.when(F.col("__kind").isin("marking", "detect"), F.when(F.col("fast"), 1)).when(F.col("__kind") != "frame", F.greatest(F.lit(1), F.col("__count"))))
     places = listed.select(F.col(key).alias("__key"), F.col("mode").alias("__mode"), F.col("frame").cast("bigint").alias("__at")).where("__at is not null").distinct()
     by_mode = Window.partitionBy("__key", "__mode")
     places = places.withColumn("__index", F.row_number().over(by_mode.orderBy("__at")).cast("bigint"))
     totals = places.groupBy("__key", "__mode").agg(F.count("*").alias("__total"))
     # both tables in frame order: how many listed frames lie below and up to each asked one
-    both = places.select("__key", "__mode", "__at", "__index", F.lit(None).cast("bigint").alias("__id"))
-    both = both.unionByName(rows.where("__jump is not null").select(F.col(key).alias("__key"), F.col("__kind").alias("__mode"), F.col("__frame").alias("__at"), F.lit(None).cast("bigint").alias("__index"), "__id"))
+    wanted = rows.where("__jump is not null and __frame is not null").select(F.col(key).alias("__key"), F.col("__kind").alias("__mode"), F.col("__frame").alias("__at")).distinct()
+    both = places.select("__key", "__mode", "__at", "__index", F.lit(False).alias("__asked"))
+    both = both.unionByName(wanted.withColumn("__index", F.lit(None).cast("bigint")).withColumn("__asked", F.lit(True)))
     upto = lambda last: by_mode.orderBy("__at").rangeBetween(Window.unboundedPreceding, last)
-    both = both.withColumn("__below", F.coalesce(F.max("__index").over(upto(-1)), F.lit(0))).withColumn("__upto", F.coalesce(F.max("__index").over(upto(0)), F.lit(0))).where("__id is not null")
-    rows = rows.join(both.select("__id", "__below", "__upto"), "__id", "left")
+    both = both.withColumn("__below", F.coalesce(F.max("__index").over(upto(-1)), F.lit(0))).withColumn("__upto", F.coalesce(F.max("__index").over(upto(0)), F.lit(0))).where("__asked")
+    rows = rows.join(both.select("__key", "__mode", "__at", "__below", "__upto"), (F.col(key) == F.col("__key")) & (F.col("__kind") == F.col("__mode")) & (F.col("__frame") == F.col("__at")), "left").drop("__key", "__mode", "__at")
     rows = rows.join(totals, (F.col(key) == F.col("__key")) & (F.col("__kind") == F.col("__mode")), "left").drop("__key", "__mode")
     ahead = F.when(F.col("__upto") < F.col("__total"), F.least(F.col("__total"), F.col("__upto") + F.col("__jump")))
     back = F.when(F.col("__below") > 0, F.greatest(F.lit(1), F.col("__below") + 1 - F.col("__jump")))

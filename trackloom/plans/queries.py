@@ -346,19 +346,27 @@ def geo_project_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 DESTINATION_SQL = "degrees(asin(sin(radians({lat})) * cos({d} / 6378137e0) + cos(radians({lat})) * sin({d} / 6378137e0) * cos(radians({b}))))"
 
 
-@query("WITH s AS (SELECT s_suppkey, 35e0 + (s_suppkey * 37 % 1000) / 1e4 AS lat, 5e0 + s_suppkey % 20 AS radius, unnest(range(0, 46)) AS k FROM supplier) SELECT s_suppkey, CAST(k AS INTEGER) AS k, floor(" + DESTINATION_SQL.format(lat="lat", d="radius", b="k * 8e0") + " * 1e6 + 0.5) / 1e6 AS lat FROM s")
+PLACED_SQL = "35e0 + (s_suppkey * 37 % 1000) / 1e4 AS lat, 136e0 + (s_suppkey * 91 % 1000) / 1e4 AS lon, 5e0 + s_suppkey % 20 AS radius"
+
+
+def arrived(bearing: str) -> str:
+    """SQL of lat and lon at the radius and a bearing from the supplier's place, rounded."""
+    return ", ".join(f"floor({x} * 1e6 + 0.5) / 1e6 AS {name}" for x, name in zip(session_queries.reached("lat", "lon", bearing, "radius"), ("lat", "lon"), strict=True))
+
+
+@query(f"WITH s AS (SELECT s_suppkey, {PLACED_SQL}, unnest(range(0, 46)) AS k FROM supplier) SELECT s_suppkey, CAST(k AS INTEGER) AS k, {arrived('k * 8e0')} FROM s")
 def geo_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixtures.refs(spark, sf_dir).withColumn("p", circle(F.col("lat"), F.col("lon"), F.lit(5.0) + F.col("ref_idx") % 20))
-    return s.select(F.col("ref_idx").alias("s_suppkey"), F.posexplode("p").alias("k", "x")).select("s_suppkey", "k", fixed(F.col("x.lat"), 6).alias("lat"))
+    return s.select(F.col("ref_idx").alias("s_suppkey"), F.posexplode("p").alias("k", "x")).select("s_suppkey", "k", fixed(F.col("x.lat"), 6).alias("lat"), fixed(F.col("x.lon"), 6).alias("lon"))
 
 
-@query("WITH s AS (SELECT s_suppkey, 35e0 + (s_suppkey * 37 % 1000) / 1e4 AS lat, (s_suppkey * 13 % 360) * 1e0 AS b, 20e0 + s_suppkey % 100 AS f, 5e0 + s_suppkey % 20 AS radius FROM supplier), n AS (SELECT *, greatest(8, CAST(floor(f / 4) AS INTEGER)) AS n FROM s),"
-       " k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n) SELECT s_suppkey, CAST(k + 1 AS INTEGER) AS k, floor(" + DESTINATION_SQL.format(lat="lat", d="radius", b="b - f / 2 + f * (k / CAST(n AS DOUBLE))") + " * 1e6 + 0.5) / 1e6 AS lat FROM k"
-       " UNION ALL SELECT s_suppkey, 0, floor(lat * 1e6 + 0.5) / 1e6 FROM n UNION ALL SELECT s_suppkey, CAST(n + 2 AS INTEGER), floor(lat * 1e6 + 0.5) / 1e6 FROM n")
+@query(f"WITH s AS (SELECT s_suppkey, {PLACED_SQL}, (s_suppkey * 13 % 360) * 1e0 AS b, 20e0 + s_suppkey % 100 AS f FROM supplier), n AS (SELECT *, greatest(8, CAST(floor(f / 4) AS INTEGER)) AS n FROM s), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)"
+       f" SELECT s_suppkey, CAST(k + 1 AS INTEGER) AS k, {arrived('(b - f / 2 + f * (k / CAST(n AS DOUBLE)))')} FROM k"
+       " UNION ALL SELECT s_suppkey, CAST(unnest([0, n + 2]) AS INTEGER), floor(lat * 1e6 + 0.5) / 1e6, floor(lon * 1e6 + 0.5) / 1e6 FROM n")
 def geo_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("ref_idx")
     s = fixtures.refs(spark, sf_dir).withColumn("p", sector(F.col("lat"), F.col("lon"), (r * 13 % 360).cast("double"), F.lit(20.0) + r % 100, F.lit(5.0) + r % 20))
-    return s.select(r.alias("s_suppkey"), F.posexplode("p").alias("k", "x")).select("s_suppkey", "k", fixed(F.col("x.lat"), 6).alias("lat"))
+    return s.select(r.alias("s_suppkey"), F.posexplode("p").alias("k", "x")).select("s_suppkey", "k", fixed(F.col("x.lat"), 6).alias("lat"), fixed(F.col("x.lon"), 6).alias("lon"))
 
 
 RING_SQL = """WITH s AS (SELECT s_suppkey, 2e0 + s_suppkey % 9 AS radius, (s_suppkey * 13 % 360) * 1e0 AS yaw, (s_suppkey % 50) * 1e0 AS pitch, unnest(range(0, 97)) AS k FROM supplier),

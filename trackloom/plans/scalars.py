@@ -108,7 +108,7 @@ SCALARS: dict[str, Scalar] = {
     "geo_destination": Scalar("events", "event_id", lambda: fixed(geo.destination(LAT(), LON(), OTHER(), OTHER() / 7)["lat"], 6), rounded(f"degrees(asin(sin(radians({LAT_SQL})) * cos({OTHER_SQL} / 7 / 6378137e0) + cos(radians({LAT_SQL})) * sin({OTHER_SQL} / 7 / 6378137e0) * cos(radians({OTHER_SQL}))))")),
     "geo_dms": Scalar("events", "event_id", lambda: geo.dms(LAT())[2]["num"], f"CAST(round_even((({LAT_SQL} - floor({LAT_SQL})) * 60 - {DMS_MIN}) * 60 * 1000000, 0) AS BIGINT)"),
     "geo_valid_gps": Scalar("events", "event_id", lambda: geo.valid_gps(OTHER() - 200, YAW()), f"abs({OTHER_SQL} - 200) <= 90 AND abs({YAW_SQL}) <= 180"),
-    "geo_grid_radii": Scalar("part", "p_partkey", lambda: F.size(geo.grid_radii(C("p_size") / 2.0, C("p_size") * 1.0)), "CAST(greatest(0, p_size - 1) - CASE WHEN p_size % 2 = 0 AND p_size >= 2 THEN 1 ELSE 0 END AS INTEGER)"),
+    "geo_grid_radii": Scalar("part", "p_partkey", lambda: F.array_join(geo.grid_radii(C("p_size") / 2.0, C("p_size") * 1.0).cast("array<int>").cast("array<string>"), ","), "array_to_string(list_filter(range(1, p_size), lambda x: x * 2 <> p_size), ',')"),
     "geo_zoom_psv": Scalar("part", "p_partkey", lambda: fixed(geo.psv_level(ZOOM()), 6), rounded(f"greatest(0e0, least(100e0, (90e0 - greatest(30e0, least(90e0, 90e0 / greatest(CASE WHEN ({ZOOM_SQL}) IS NULL OR ({ZOOM_SQL}) = 0 THEN 1e0 ELSE ({ZOOM_SQL}) END, 0.01e0)))) / 60e0 * 100e0))")),
     "geo_click_flat": Scalar("part", "p_partkey", lambda: fixed(geo.click_flat(C("p_size") / 50.0, C("p_size") / 50.0, F.lit(70.0), F.lit(43.0))[0], 6), rounded("degrees(atan((greatest(0e0, least(1e0, p_size / 50e0)) - 0.5e0) * 2 * tan(radians(35e0))))")),
     "geo_rotate": Scalar("events", "event_id", lambda: fixed(geo.rotate_yaw(F.lit(1.0), F.lit(2.0), F.lit(3.0), YAW())[0], 6), rounded(f"1e0 * cos(radians({YAW_SQL})) + 3e0 * sin(radians({YAW_SQL}))")),

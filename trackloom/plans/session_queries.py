@@ -417,7 +417,7 @@ NAV = (
     " event_id % 3 = 0 AS fast, event_id % 4 AS step, 30 AS fast_step, CASE WHEN event_id % 9 <> 0 THEN 100 + user_id % 20 END AS frame_count"
 )
 LISTED_SQL = "SELECT video, frame, CASE pos % 4 WHEN 0 THEN 'kp' WHEN 1 THEN 'marking' WHEN 2 THEN 'detect' ELSE 'layer' END AS mode FROM markings WHERE NOT (pos % 4 = 0 AND CAST(substr(video, 2) AS INTEGER) % 3 = 0)"
-NAV_SQL = with_("markings") + f""", ask AS (SELECT {NAV} FROM events WHERE event_id % 5 = 0), l AS (SELECT video, mode, list(DISTINCT frame) AS fs FROM ({LISTED_SQL}) GROUP BY video, mode),
+NAV_SQL = with_("markings") + f""", ask AS (SELECT {NAV} FROM events), l AS (SELECT video, mode, list(DISTINCT frame) AS fs FROM ({LISTED_SQL}) GROUP BY video, mode),
 k AS (SELECT *, CASE WHEN mode = 'frame' THEN 'frame' WHEN lower(mode) = 'kp' THEN 'kp' WHEN trim(mode) IN ('marking', 'picked') THEN 'marking' WHEN mode = 'detect' THEN 'detect' ELSE 'layer' END AS kind, CASE WHEN fast THEN fast_step ELSE step END AS cnt FROM ask),
 j AS (SELECT k.*, l.fs, CASE WHEN kind IN ('marking', 'detect') THEN CASE WHEN fast THEN 1 END WHEN kind <> 'frame' THEN greatest(1, cnt) END AS jump FROM k LEFT JOIN l ON l.video = k.video AND l.mode = k.kind),
 g AS (SELECT *, CASE WHEN direction > 0 THEN list_sort(list_filter(fs, lambda x: x > frame)) ELSE list_reverse_sort(list_filter(fs, lambda x: x < frame)) END AS way, greatest(0, frame + cnt * direction) AS moved FROM j)
@@ -427,7 +427,7 @@ SELECT event_id, CASE WHEN jump IS NULL OR (kind = 'kp' AND fs IS NULL) THEN CAS
 
 @query(NAV_SQL)
 def win_nav_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "events").where("event_id % 5 = 0").selectExpr(*split_columns(NAV))
+    asked = table(spark, sf_dir, "events").selectExpr(*split_columns(NAV))
     listed = fixtures.markings(spark, sf_dir).where("NOT (pos % 4 = 0 AND CAST(substr(video, 2) AS INT) % 3 = 0)").selectExpr("video", "frame", "CASE pos % 4 WHEN 0 THEN 'kp' WHEN 1 THEN 'marking' WHEN 2 THEN 'detect' ELSE 'layer' END AS mode")
     return navigate.dispatch(asked, listed).select("event_id", "target")
 
@@ -624,5 +624,25 @@ scalar("geo_local_vector_north", "events", "event_id", lambda: fixed(geo.local_v
 scalar("geo_dms_minutes", "events", "event_id", lambda: geo.dms(at(AT_SQL)[0])[1]["num"], f"CAST(floor(({AT_SQL[0]} - floor({AT_SQL[0]})) * 60) AS BIGINT)")
 scalar("geo_rotate_forward", "events", "event_id", lambda: fixed(geo.rotate_yaw(F.lit(1.0), F.lit(2.0), F.lit(3.0), angle())[2], 6), rounded("3e0 * cos(radians(event_id * 53 % 777)) - 1e0 * sin(radians(event_id * 53 % 777))"))
 scalar("geo_click_flat_pitch", "part", "p_partkey", lambda: fixed(geo.click_flat(F.col("p_size") / 50.0, F.col("p_size") / 50.0, F.lit(70.0), F.lit(43.0))[1], 6), rounded("-degrees(atan((greatest(0e0, least(1e0, p_size / 50e0)) - 0.5e0) * 2 * tan(radians(21.5e0))))"))
-scalar("geo_direction", "events", "event_id", lambda: fixed(geo.direction(*at(AT_SQL), angle(), angle() / 7)[0]["lon"], 6), rounded(LON_SQL))
-scalar("limit_rings", "part", "p_partkey", lambda: F.size(geo.grid_radii(F.lit(0.5), F.col("p_size") * 20 + 0.5)), "least(250, p_size * 20)")
+
+
+def reached(lat: str, lon: str, bearing: str, metres: str) -> tuple[str, str]:
+    """SQL of the latitude and longitude at a distance and bearing."""
+    arc, turn = f"({metres} / 6378137e0)", f"radians({bearing})"
+    sine = f"(sin(radians({lat})) * cos({arc}) + cos(radians({lat})) * sin({arc}) * cos({turn}))"
+    return f"degrees(asin({sine}))", f"degrees(radians({lon}) + atan2(sin({turn}) * sin({arc}) * cos(radians({lat})), cos({arc}) - sin(radians({lat})) * {sine}))"
+
+
+TIP, LEFT, RIGHT = reached("lat0", "lon0", "b", "r"), reached("lat1", "lon1", "(b - 90e0)", "(r * 0.3e0)"), reached("lat1", "lon1", "(b + 90e0)", "(r * 0.3e0)")
+
+
+@query(f"WITH t AS (SELECT event_id, {AT_SQL[0]} AS lat0, {AT_SQL[1]} AS lon0, event_id * 53 % 777 / 1e0 AS b, event_id * 53 % 777 / 7e0 AS r FROM events), p AS (SELECT *, {TIP[0]} AS lat1, {TIP[1]} AS lon1 FROM t)"
+       f" SELECT event_id, {rounded('lat1')} AS tip_lat, {rounded('lon1')} AS tip_lon, {rounded(LEFT[0])} AS left_lat, {rounded(LEFT[1])} AS left_lon, {rounded(RIGHT[0])} AS right_lat, {rounded(RIGHT[1])} AS right_lon FROM p")
+def geo_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tip of the view direction and both ends of the line across it."""
+    ends = zip(("tip", "left", "right"), geo.direction(*at(AT_SQL), angle(), angle() / 7), strict=True)
+    rows = table(spark, sf_dir, "events").select("event_id", *[p.alias(name) for name, p in ends])
+    return rows.select("event_id", *[fixed(F.col(f"{name}.{c}"), 6).alias(f"{name}_{c}") for name in ("tip", "left", "right") for c in ("lat", "lon")])
+
+
+scalar("limit_rings", "part", "p_partkey", lambda: F.array_join(geo.grid_radii(F.lit(0.5), F.col("p_size") * 20 + 0.5).cast("array<int>").cast("array<string>"), ","), "array_to_string(range(1, least(250, p_size * 20) + 1), ',')")
