@@ -32,6 +32,7 @@ def test_parse_float(spark, raw, value):
         ("2025-03-24T13:08:49Z", "2025-03-24 13:08:49"), ("2025-03-24 22:08:49.25 JST", "2025-03-24 13:08:49.25"), ("2025年3月24日 13時08分49秒", "2025-03-24 13:08:49"),
         ("2025/03/24 13:08", "2025-03-24 13:08:00"), ("20250324130849", "2025-03-24 13:08:49"), ("20250324T130849.5+0900", "2025-03-24 04:08:49.5"), ("5", "1970-01-01 00:00:05"),
         ("1742821729", "2025-03-24 13:08:49"), ("1742821729500", "2025-03-24 13:08:49.5"), ("2025-03-24", "2025-03-24 00:00:00"), ("soon", None), (None, None), ("2025-13-44", None),
+        ("'2025/3/4  1:02:03 +09'", "2025-03-03 16:02:03"), ("2025年3月4日5時6分7秒", "2025-03-04 05:06:07"), ("2025-3-4_5:6", "2025-03-04 05:06:00"), ("20250324_130849-0130", "2025-03-24 14:38:49"), ("2025-03-24 13:08:49,5 utc", "2025-03-24 13:08:49.5"),
     ],
 )
 def test_time_texts(spark, raw, value):
@@ -39,6 +40,20 @@ def test_time_texts(spark, raw, value):
     assert (str(got).rstrip("0") if got is not None and "." in str(got) else got if got is None else str(got)) == value
 
 
+def test_class_filters_and_settings(spark):
+    from trackloom.operators import layers, settings
+
+    named = lambda subset: one(spark, layers.subset_classes(F.lit(subset).cast("string")))
+    assert named("\"x\" > 1 AND semantic_class = ' pole ' OR semantic_class IN ('a','b')") == ["pole"]
+    assert named("SEMANTIC_CLASS like 'sign'") == ["sign"] and named("semantic_class = ' ' or semantic_class in (\"b\", 'a', 'b')") == ["a", "b"]
+    assert named("semantic_class > 3") == [] and named(None) == [] and named("") == []
+    text = lambda v: F.lit(v).cast("string")
+    wrong = one(spark, settings.viewer_errors(text(" "), text("0"), text("x"), text(None), text("1e9"), text("1")))
+    assert [tuple(e) for e in wrong] == [("host", "missing", None, None), ("port", "range", 1.0, 65535.0), ("jpeg_quality", "unreadable", None, None), ("camera_height_m", "range", 0.1, 20.0)]
+    assert [e.rule for e in one(spark, settings.process_errors(text("a.GPX"), text(None), text("t.txt"), text("1.5"), text("-1")))] == ["missing", "kind", "unreadable", "range"]
+    assert one(spark, settings.radar_errors(*[text(None)] * 5)) == []
+
+
 def test_state_with_dirty_numbers(spark):
     target = {"yaw_delta_deg": "190", "target_yaw_to_camera_heading": "-10", "view_yaw_to_camera_heading": "725", "view_pitch": "-95", "view_zoom": "0", "projection": "odd"}
     got = validated(spark, {"video": "abc.mp4", "frame_index": "11", "yaw_to_camera_heading": "370", "pitch": "3", "target": target})
