@@ -9,8 +9,9 @@ digest of the sequence, and are never expanded into pairs. Texts without any wor
    dropped as soon as the posterior probability that its similarity reaches the threshold, after m of n agreements and a uniform
    prior, is below ``tolerance``. A task handles at most two blocks of ``block`` nodes: larger buckets are dealt out as pairs of
    blocks, so no bucket is capped. What survives leaves as a spanning forest, not as pairs.
-3. Components of the survivors are verified exactly, whole texts against whole texts, again in pairs of blocks: the
-   intersections of all shingle sets of two blocks are one product of incidence matrices. Links leave as counts for each
+3. Components of the survivors are verified exactly: the shingle sets of whole texts are written once, and dealt out in pairs of blocks; the
+   intersections of all sets of two blocks are one product of incidence matrices. A component is cut into no more blocks than keep a task's share of
+   all pairs, so the sets of small ones go to one task each, however many partitions there are. Links leave as counts for each
    document and a spanning forest, so a group of n near copies yields rows in proportion to n.
 
 With 20 bands of 4 a pair of similarity exactly 0.8 meets in a bucket with probability 1 - 2.6e-5, at 0.9 with 1 - 8e-10; pairs in
@@ -20,7 +21,7 @@ one component are all verified whether or not they met.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .tables import free_name, map_arrow, written
 
 NGRAM, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 20, 4, 1e-6
 BLOCK, VERIFY_BLOCK, VERIFY_LEAST, STEP = 8192, 512, 64, 16
-#: In a verify block so many bytes of text count as a row, so blocks of long texts have fewer of them.
-ROW_BYTES = 4096
+#: In a verify block so many shingles count as a row, so blocks of long texts have fewer of them.
+ROW_SHINGLES = 640
 #: Up to so many rows of six longs are broadcast to pick the texts to verify; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -62,7 +63,7 @@ def minhashes(block: Block, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(ngram: int, bands: int, rows: int):
-    """mapInArrow: (id, text, print) -> (id, print, node, check, bytes, signature); node and check are the digest's two halves."""
+    """mapInArrow: (id, text, print) -> (id, print, node, check, signature); node and check are the digest's two halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,8 +75,8 @@ def sign(ngram: int, bands: int, rows: int):
                 n = block.last - block.first
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(block.nodes), pa.array(checks), pa.array(np.diff(block.offsets)), lists],
-                    ["id", "print", "node", "check", "bytes", "signature"],
+                    [batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(block.nodes), pa.array(checks), lists],
+                    ["id", "print", "node", "check", "signature"],
                 )
 
     return run
@@ -194,14 +195,22 @@ def prune(bands: int, rows: int, plan: list[tuple[int, int]]):
     return run
 
 
-def shingle_sets(column: pa.Array, ngram: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct shingles and the second half of the digest of each text."""
-    sets, checks = [], []
-    for block in blocks(column):
-        block.find_words().hash_words().hash_shingles(ngram)
-        checks.append(block.digests()[:, 1])
-        sets += [np.unique(block.shingles[a:b]) for a, b in zip(block.shingle_at[:-1], block.shingle_at[1:], strict=True)]
-    return sets, np.concatenate(checks) if checks else np.zeros(0, dtype=np.int64)
+def hash_sets(ngram: int):
+    """mapInArrow: (node, check, copies, root, text) -> (node, copies, root, shingles): sorted distinct shingles; rows whose text has another digest are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(4)):
+                block.find_words().hash_words().hash_shingles(ngram)
+                part = batch.slice(block.first, block.last - block.first)
+                own = np.flatnonzero(block.digests()[:, 1] == part.column(1).to_numpy())
+                sets = [np.unique(block.shingles[block.shingle_at[k] : block.shingle_at[k + 1]]) for k in own]
+                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in sets)]), pa.int32()), pa.array(values))
+                kept = part.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), kept.column(3), lists], ["node", "copies", "root", "shingles"])
+
+    return run
 
 
 def intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
@@ -238,21 +247,18 @@ def alike(sets: list[np.ndarray], threshold: float, step: int = 256) -> np.ndarr
     return out
 
 
-def verify(ngram: int, threshold: float):
-    """mapInArrow over rows sorted by (root, i, j): (root, i, j, side, node, check, copies, text) -> (node, other, links, text_links).
+def verify(threshold: float):
+    """mapInArrow over rows sorted by (root, i, j): (root, i, j, side, node, copies, shingles) -> (node, other, links, text_links).
 
     other is null in rows that carry counts; rows of the spanning forest have zero counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in grouped(batches, 3):
-            sets, found = shingle_sets(rows["text"].combine_chunks(), ngram)
-            nodes, side, copies = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy()
-            keep = np.flatnonzero(found == rows["check"].to_numpy())
-            keep = keep[np.unique(nodes[keep], return_index=True)[1]]
-            if len(keep) < 2:
+            if rows.num_rows < 2:
                 continue
-            nodes, side, copies, sets = nodes[keep], side[keep], copies[keep], [sets[k] for k in keep]
+            nodes, side, copies = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy()
+            sets = [np.asarray(x.values).view(U) for x in rows["shingles"]]
             linked = alike(sets, threshold)
             np.fill_diagonal(linked, False)
             if i != j:
@@ -276,15 +282,14 @@ def verify(ngram: int, threshold: float):
     return run
 
 
-def in_blocks(df: DataFrame, size: str, block: int, least: int | None = None) -> DataFrame:
+def in_blocks(df: DataFrame, size: str, block: int, least: int | None = None, work: float | None = None) -> DataFrame:
     """Adds i, j, side: a group of up to ``block`` rows is one pair (0, 0); of a larger one each row goes to every pair of its block.
 
-    With ``least`` a group is cut finer than it must be, into blocks of no fewer rows than that, until its pairs keep all shuffle partitions busy.
+    ``work``: how many pairs a task should have. A group of more is cut finer than it must be, into blocks of no fewer than ``least`` rows.
     """
     n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    if least:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = F.greatest(n, F.least(F.ceil(F.col(size) / F.lit(least)).cast("int"), F.lit(ceil(sqrt(4 * partitions)))))
+    if least and work:
+        n = F.greatest(n, F.least(F.ceil(F.col(size) / F.lit(least)), F.ceil(F.col(size) * F.lit(sqrt(2 / max(work, 1.0))))).cast("int"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     df = df.withColumn("n_blocks", n).withColumn("own", F.when(F.col("n_blocks") > 1, own).otherwise(0))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -308,11 +313,11 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.withColumn("print", print_of(F.col("text")))
-    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, print bigint, node bigint, check bigint, bytes bigint, signature array<bigint>"), "signed")
+    signed = written(map_arrow(texts, sign(ngram, bands, rows), "id bigint, print bigint, node bigint, check bigint, signature array<bigint>"), "signed")
     signed = told_apart(signed)
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("lead")
-    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), lead, *[F.first(c).alias(c) for c in ("check", "signature")], F.max("bytes").alias("bytes"))
-    nodes = written(nodes.select("node", "check", "copies", "bytes", "lead.id", "lead.print", "signature"), "nodes")
+    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), lead, *[F.first(c).alias(c) for c in ("check", "signature")])
+    nodes = written(nodes.select("node", "check", "copies", "lead.id", "lead.print", "signature"), "nodes")
 
     places = nodes.select("node", F.posexplode("signature").alias("band", "value"))
     places = places.select("node", "band", F.xxhash64("value", "band").alias("bucket"))
@@ -324,19 +329,21 @@ def classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshol
     candidates = map_arrow(dealt, prune(bands, rows, plan), "u bigint, v bigint")
     clusters = connected_components(candidates)
 
-    wanted = written(clusters.join(nodes.select("node", "check", "copies", "bytes", "id", "print"), "node"), "wanted")
-    weight = F.greatest(F.count("*"), F.floor(F.sum("bytes") / ROW_BYTES)).alias("size")
-    sizes = written(wanted.groupBy("root").agg(weight), "sizes")
-    wanted = written(wanted.join(sizes, "root").select("id", "print", "node", "check", "copies", "root", "size"), "wanted")
+    wanted = written(clusters.join(nodes.select("node", "check", "copies", "id", "print"), "node"), "wanted")
     chosen = wanted.withColumnsRenamed({"id": "wanted_id", "print": "wanted_print"})
     if wanted.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     told = texts.join(chosen, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("print") == F.col("wanted_print")))
     if repeats(signed):  # one row for each node: equal texts under one id
         told = told.dropDuplicates(["node"])
-    told = in_blocks(told, "size", verify_block, min(verify_block, VERIFY_LEAST)).select("root", "i", "j", "side", "node", "check", "copies", "text")
-    dealt = told.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    verified = written(map_arrow(dealt, verify(ngram, threshold), "node bigint, other bigint, links bigint, text_links bigint"), "verified")
+    told = told.select("node", "check", "copies", "root", "text")
+    sets = written(map_arrow(told, hash_sets(ngram), "node bigint, copies bigint, root bigint, shingles array<bigint>"), "sets", "none")
+    weight = F.greatest(F.count("*"), F.floor(F.sum(F.size("shingles")) / ROW_SHINGLES)).alias("size")
+    sizes = written(sets.groupBy("root").agg(weight), "sizes")
+    work = (sizes.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0.0) / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = in_blocks(sets.join(sizes, "root"), "size", verify_block, min(verify_block, VERIFY_LEAST), work).select("root", "i", "j", "side", "node", "copies", "shingles")
+    dealt = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    verified = written(map_arrow(dealt, verify(threshold), "node bigint, other bigint, links bigint, text_links bigint"), "verified")
 
     classes = connected_components(verified.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
