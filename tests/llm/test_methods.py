@@ -296,6 +296,31 @@ def test_hot_ids_are_dealt_out(spark):
     assert ids == sorted(ids)
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows under one id and a third under none: no bucket holds much more than its share, one guest stands at each border, and every text meets its successor."""
+    from trackloom.llm.fingerprints import fingerprint_pairs, in_order
+
+    rows = [(None if k % 3 == 0 else 50 if k % 3 == 1 else 1000 + k, f"text {k} of some words") for k in range(600)]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    placed = in_order(docs).orderBy("bucket", "row").collect()
+    own: dict = {}
+    for r in placed:
+        own.setdefault(r.bucket, []).append(r)
+    assert len(placed) - len(rows) == len(own) >= 10 and max(map(len, own.values())) < 120
+    chain = {r.text: r.next_text for r in placed if not r.guest}
+    at, seen = rows[0][1], []
+    while at not in seen:
+        seen.append(at)
+        at = chain[at]
+    assert len(seen) == 600  # one circle through all texts
+    of = {t: -1 if i is None else i for i, t in rows}
+    low = next(k for k in range(600) if of[seen[k - 1]] > of[seen[k]])
+    ids = [of[t] for t in seen[low:] + seen[:low]]
+    assert ids == sorted(ids)
+    got = fingerprint_pairs(docs, "id").collect()
+    assert len(got) == 600 and sum(r.id is None for r in got) == 200 and all(0 < r.near_edited <= 1 for r in got)
+
+
 def test_pii_held_out_figures(spark):
     """On documents, not on a handful of texts of which several are personal data themselves: there few certain look-alikes lower the recall."""
     from trackloom.llm import pii

@@ -27,7 +27,7 @@ def test_stages(spark):
     assert index.where(F.col("n_tokens") < 1).isEmpty()
 
 
-def test_run_equals_brute_force(spark):
+def test_run_equals_brute_force(spark, tmp_path):
     """The rows of run(): each stage by plain Python or SQL on what the one before kept."""
     import zlib
 
@@ -71,7 +71,8 @@ def test_run_equals_brute_force(spark):
         for _ in range(copies[d] or 0):
             want.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
             start += len(ids)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect())
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL, f"file:{tmp_path}/tokens").collect())
+    assert list((tmp_path / "tokens/shards").glob("*.parquet"))  # the files stay where they were asked for
     assert all(copies[d] is not None for d in kept) and got == sorted(want)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import range_bucket, range_edges
+from .tables import range_pieces
 
 SAMPLES, CHUNK = 64, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,29 +46,24 @@ def packed(term: Column, log: Column, r: Column, c: Column, b: Column) -> Column
 
 
 def in_order(texts: DataFrame) -> DataFrame:
-    """(bucket, guest, row, id, text, next_text): each text and the next in ascending order of (id, text), the first after the last.
+    """(bucket, guest, row, id, text, next_text): each text and the next in ascending order of (id, hash of the text, text), the first after the last.
 
-    Buckets are id ranges, a few for each partition. A bucket's first texts are also guests at the end of the bucket before, so every
-    text finds its successor in its own bucket; no row is lost or gathered elsewhere.
+    Buckets are ranges of that order, a few for each partition: an id that fills several has as many of its own, and so have rows without one. The first text
+    of each bucket is also the one guest at the end of the bucket before, so every text finds its successor in its own bucket. Rows of equal id and equal text stay together.
     """
     spark = texts.sparkSession
-    edges = range_edges(texts, "id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucketed = texts.withColumn("bucket", range_bucket(F.col("id"), edges))
-    firsts = bucketed.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("x")).select("bucket", "x.id")
-    found = sorted((r.bucket, r.id) for r in firsts.collect())  # at most one row for each edge and one more
-    if not found:
-        return bucketed.withColumn("guest", F.lit(False)).withColumn("row", F.lit(0).cast("bigint")).withColumn("next_text", F.col("text"))
-    first = F.create_map(*[F.lit(x) for b, i in found for x in (b, i)]) if all(i is not None for _, i in found) else None
-    if first is None:
-        first = F.map_from_arrays(F.array(*[F.lit(b) for b, _ in found]), F.array(*[F.lit(i).cast("bigint") for _, i in found]))
-    before = F.create_map(*[F.lit(x) for k, (b, _) in enumerate(found) for x in (b, found[k - 1][0])])
-    leads = F.col("id").eqNullSafe(F.element_at(first, F.col("bucket")))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.element_at(before, F.col("bucket")).alias("bucket"), F.lit(True).alias("guest"))
-    placed = bucketed.withColumn("place", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))))
-    placed = placed.select("place.bucket", "place.guest", "id", "text")
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").asc_nulls_first(), "text")
-    return placed.withColumn("next_text", F.lead("text").over(order)).withColumn("row", F.monotonically_increasing_id())
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    spread = F.col("hash").cast("double") / float(1 << 64) + 0.5
+    bucketed = hashed.withColumn("bucket", range_pieces(hashed, "id", "text", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), spread))
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "hash")
+    firsts = sorted(bucketed.groupBy("bucket").agg(F.min(place).alias("x")).select("bucket", "x.id", "x.hash").collect())  # a row for each bucket
+    before = [(r.bucket, r.id, r.hash, firsts[k - 1].bucket) for k, r in enumerate(firsts)]
+    lead = F.broadcast(spark.createDataFrame(before, "of int, lead_id bigint, lead_hash bigint, host int"))
+    leads = (F.col("bucket") == F.col("of")) & F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("hash") == F.col("lead_hash"))
+    guests = bucketed.join(lead, leads).select(F.col("host").alias("bucket"), F.lit(True).alias("guest"), "id", "hash", "text").groupBy("bucket", "guest", "id", "hash").agg(F.min("text").alias("text"))
+    placed = bucketed.select("bucket", F.lit(False).alias("guest"), "id", "hash", "text").unionByName(guests)
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").asc_nulls_first(), "hash", "text")
+    return placed.withColumn("next_text", F.lead("text").over(order)).withColumn("row", F.monotonically_increasing_id()).drop("hash")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +82,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next text. Null texts are
     empty; texts without words have one fingerprint of their own, equal among themselves and unlike all others; null ids come first;
-    repeated ids are ordered by text; a single row is its own successor; further columns are ignored.
+    rows of one id are in order of a hash of their texts; a single row is its own successor; further columns are ignored.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     ordered = in_order(texts)

@@ -40,15 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _FOLDERS:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
-            if not spark.sparkContext.master.startswith("local["):
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = tempfile.mkdtemp(prefix="trackloom-")
         _FOLDERS[app] = f"{top.rstrip('/')}/trackloom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _FOLDERS[app])
+        atexit.register(remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, on whatever store it is."""
     if spark.sparkContext._jsc is not None:  # noqa: SLF001
         jvm = spark.sparkContext._jvm  # noqa: SLF001
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,26 +84,11 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.sparkSession.createDataFrame(hashed_rows(df, key, n, seed), df.schema)
 
 
-def range_edges(df: DataFrame, key: str, pieces: int) -> list:
-    """Up to pieces-1 ascending split values of an orderable key, from its approximate percentiles: a list of bounded length."""
-    if pieces < 2:
-        return []
-    at = [k / pieces for k in range(1, pieces)]
-    found = df.agg(F.percentile_approx(key, at, 10_000).alias("at")).first()["at"] or []
-    return sorted({x for x in found if x is not None})
-
-
-def range_bucket(key: Column, edges: list) -> Column:
-    """The number of edges at or below the key; nulls are in bucket 0, so the buckets follow the order of the keys."""
-    if not edges:
-        return F.lit(0)
-    return F.when(key.isNull(), 0).otherwise(_bucket(key, edges))
-
-
-def range_pieces(df: DataFrame, key: str, tie: str, pieces: int) -> Column:
+def range_pieces(df: DataFrame, key: str, tie: str, pieces: int, by: Column | None = None) -> Column:
     """Numbers of about ``pieces`` equal pieces in ascending order of a bigint key, nulls first.
 
-    A key that fills several pieces by itself has as many of its own, among which its rows are dealt out by a hash of ``tie``; so have nulls.
+    A key that fills several pieces by itself has as many of its own, among which its rows are dealt out by a hash of ``tie``; so have nulls. With ``by``, an evenly
+    spread number from 0 to 1, they are dealt out by its ranges, so pieces are in order of the key and then of that number.
     """
     at = [k / pieces for k in range(1, max(2, pieces))]
     found = df.agg(F.percentile_approx(key, at, 10_000).alias("at"), F.count("*").alias("n"), F.count(key).alias("known")).first()
@@ -114,7 +100,8 @@ def range_pieces(df: DataFrame, key: str, tie: str, pieces: int) -> Column:
     own = F.when(F.col(key).isNull(), nulls)
     for x, n in sorted(heavy.items()):
         own = own.when(F.col(key) == F.lit(x), n)
-    within = F.pmod(F.xxhash64(tie), own.otherwise(1)).cast("int")
+    own = own.otherwise(1)
+    within = F.pmod(F.xxhash64(tie), own).cast("int") if by is None else F.least(own - 1, F.floor(by * own)).cast("int")
     bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + (_bucket(F.col(key), edges) if edges else F.lit(0)))
     return (bucket * most + within).cast("int")
 
