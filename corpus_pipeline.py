@@ -16,7 +16,7 @@ from trackloom.llm.decontaminate import drop_leaks
 from trackloom.llm.mixing import mixed
 from trackloom.llm.near_duplicates import keep_one
 from trackloom.llm.quality import accepted, train
-from trackloom.llm.tables import new_path, written
+from trackloom.llm.tables import new_path, remove
 from trackloom.llm.token_files import read_index, write_tokens
 
 
@@ -48,9 +48,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document of the token files, read back from them; null ids come first, repeated rows are each written."""
-    folder = write_tokens(docs, new_path(spark, "tokens"))
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, output: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of the token files, read back from them; null ids come first, repeated rows are each written.
+
+    The files are the pipeline's product: they stay in ``output``, a new folder; without one they are in the shared folder, which goes when the driver ends.
+    """
+    folder = write_tokens(docs, output or new_path(spark, "tokens"))
     return read_index(spark, folder).withColumnRenamed("id", "doc_id")
 
 
@@ -66,8 +69,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str, output: str | None = None) -> DataFrame:
+    """The stages in turn over ``documents``. What a stage has kept is removed once its successor is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if held:
+            remove(spark, held)
+        held = path
+    index = token_ids(spark, docs, sf_dir, output)
+    if held:
+        remove(spark, held)
+    return index
