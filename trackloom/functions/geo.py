@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import clamp, clamp_or, finite, num, or_one
+from .numbers import clamp, clamp_or, finite, let, num, or_one
 
 HAVERSINE_RADIUS, EARTH_RADIUS = 6_371_000.0, 6_378_137.0
 MIN_RADIUS, MAX_RINGS, CIRCLE_STEP = 1.0, 250, 8
@@ -210,15 +210,37 @@ def ground_distance(azimuth: Column, x: Column, y: Column, height: Column, yaw:
     Null if no try is on the stage, or the best is farther off than 80 pixels and 12 % of the stage's shorter side.
     """
     least, tries, again = 0.05, 360, 40
+    turns = {"az": azimuth, "yaw": -yaw, "pitch": pitch}
+    waves = [f(F.radians(angle)).alias(f"{kind}_{name}") for name, angle in turns.items() for kind, f in (("sin", F.sin), ("cos", F.cos))]
+    halves = [F.tan(F.radians(view_h / 2)).alias("half_h"), F.tan(F.radians(vertical_fov(view_h, width, stage_height) / 2)).alias("half_v")]
+    # what a row's tries share, once a row: the tries themselves are sums and products, in the order of ground_to_screen
+    row = F.struct(*waves, *halves, *[v.alias(n) for n, v in {"x": x, "y": y, "height": height, "width": width, "stage": stage_height, "most": most}.items()])
+    return let(row, lambda r: _nearest_try(r, least, tries, again))
+
+
+def _nearest_try(r: Column, least: float, tries: int, again: int) -> Column:
+    most, width, stage_height = r["most"], r["width"], r["stage"]
 
     def tried(low: Column, step: Column, count: int) -> Column:
         def one(k: Column) -> Column:
-            metres = low + step * k
-            p = ground_to_screen(azimuth, metres, height, yaw, pitch, view_h, width, stage_height)
-            return F.struct(((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("error"), k.alias("k"), metres.alias("metres"))
+            return let(low + step * k, lambda metres: F.struct(error(metres).alias("error"), k.alias("k"), metres.alias("metres")))
 
         return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(count)), one), lambda t: t["error"].isNotNull()))
 
+    def error(metres: Column) -> Column:
+        x, z = metres * r["sin_az"], metres * r["cos_az"]
+        turned = F.struct((x * r["cos_yaw"] + z * r["sin_yaw"]).alias("x"), (z * r["cos_yaw"] - x * r["sin_yaw"]).alias("z"))
+
+        def on_stage(p: Column) -> Column:
+            y = -r["height"]
+            return let(p["z"] * r["cos_pitch"] - y * r["sin_pitch"], lambda z: F.when(z > 0.01, let(F.struct((p["x"] / z / r["half_h"]).alias("x"), (-(y * r["cos_pitch"] + p["z"] * r["sin_pitch"]) / z / r["half_v"]).alias("y")), off)))
+
+        def off(n: Column) -> Column:
+            apart = F.struct(((n["x"] + 1) / 2 * width - r["x"]).alias("x"), ((n["y"] + 1) / 2 * stage_height - r["y"]).alias("y"))
+            return F.when((F.abs(n["x"]) <= 2.2) & (F.abs(n["y"]) <= 2.2), let(apart, lambda d: d["x"] * d["x"] + d["y"] * d["y"]))
+
+        return let(turned, on_stage)
+
     step = (most - least) / tries
     coarse = F.transform(F.array(tried(F.lit(least), step, tries)), lambda t: F.struct(t["error"].alias("error"), t["metres"].alias("metres")))
 

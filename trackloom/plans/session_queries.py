@@ -11,6 +11,7 @@ from ..functions import geo, text, times
 from ..functions.numbers import fixed
 from ..operators import export, frames, layers, navigate, restore, review, settings
 from ..operators.resample import frame_at
+from ..session import dealt
 from ..streaming import state
 from . import fixtures
 from .fixtures import table, with_
@@ -487,7 +488,7 @@ def geo_ground_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("s_suppkey")
     az = (r * 13 % 360).cast("double")
     found = geo.ground_distance(az, F.lit(100.0) + r * 37 % 600, F.lit(100.0) + r * 53 % 400, F.lit(1.5), az + r % 41 - 20, (r % 50).cast("double"), F.lit(90.0), F.lit(800.0), F.lit(600.0), F.lit(5.0) + r % 60)
-    return table(spark, sf_dir, "supplier").select(r, fixed(found, 3).alias("metres"))
+    return dealt(table(spark, sf_dir, "supplier").select(r), "s_suppkey").select(r, fixed(found, 3).alias("metres"))
 
 
 @query("WITH t AS (SELECT p_partkey, p_size / 50e0 AS xr, (50 - p_size) / 40e0 AS yr, p_partkey % 720 - 100e0 AS yaw, p_partkey % 181 - 90e0 AS pitch, greatest(1e0, least(179e0, 90e0 / greatest(CASE WHEN p_size % 7 = 0 THEN 1e0 ELSE p_size / 9e0 END, 0.01e0))) AS fh FROM part),"

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -34,3 +34,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.gettempdir()
     return f"{top.rstrip('/')}/trackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def dealt(rows: DataFrame, key: str, least: int = 64) -> DataFrame:
+    """The rows in several partitions for each core, by a key: a small file is one task's however long its rows take."""
+    return rows.repartition(max(least, 4 * rows.sparkSession.sparkContext.defaultParallelism), key)
