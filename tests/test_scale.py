@@ -2,6 +2,8 @@
 
 import pytest
 
+from trackloom.functions.geo import haversine
+from trackloom.operators import match
 from trackloom.plans.queries import QUERIES
 
 from .conftest import SMALL
@@ -10,3 +12,16 @@ from .conftest import SMALL
 @pytest.mark.parametrize("name", ["geo_ground_estimate"])
 def test_dear_rows_of_a_small_file_are_dealt_out(spark, name):
     assert QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= 64
+
+
+def test_references_and_points_of_one_place_count_once(spark, monkeypatch):
+    """Lists grow with different places, not with the rows of a place; of equal ones the first reference is matched, and no point is lost."""
+    refs = spark.range(4000).selectExpr("id AS ref_idx", "35e0 + id % 2 / 1e4 AS lat", "136e0 AS lon")
+    points = spark.range(3000).selectExpr("id", "CASE WHEN id < 2999 THEN 35e0 + id % 2 / 1e4 END AS lat", "136e0 AS lon")
+
+    def too_many(*_):
+        raise AssertionError("4,000 references of two places aren't a dense cell")
+
+    monkeypatch.setattr(match, "nearest_in_parts", too_many)
+    found = match.match_references(points, refs, 500.0, distance=haversine).selectExpr("id", "match.ref_idx AS r").collect()
+    assert sorted(found) == [(k, k % 2) if k < 2999 else (k, None) for k in range(3000)]

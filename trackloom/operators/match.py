@@ -82,19 +82,21 @@ def match_references(
     Nearest is by planar degrees, the first ref_idx among equals; that one is measured on the ellipsoid (or by
     ``distance``, such as ``haversine``) and kept if within the tolerance, equality included.
     References meet in cells: each is listed in its own cell and the eight around, so a point looks up one list and no
-    pairs are made. Cells of more than ``most_listed`` references have several lists, and their points a row for each until the nearest is known. Points without coordinates, or beyond ``most_lat``, for which cells would be too small, raise or stay unmatched as told:
+    pairs are made; references and points of one place count once there, so lists grow with different places only. Cells of more than ``most_listed`` references have several lists, and their points a row for each until the nearest is known. Points without coordinates, or beyond ``most_lat``, for which cells would be too small, raise or stay unmatched as told:
     latitudes beyond it are an error.
     """
     size = cell_size(tolerance_m, most_lat)
     measure = distance or geodesic()
     cell = lambda lat, lon: (F.floor(lat / size), F.floor(lon / size))
     own = refs.select("ref_idx", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).where("rlat is not null and rlon is not null")
+    own = own.groupBy("rlat", "rlon").agg(F.min("ref_idx").alias("ref_idx"))  # of references at one place only the first can be a match
     cy, cx = cell(F.col("rlat"), F.col("rlon"))
     around = F.explode(F.array(*[F.struct((cy + y).alias("cy"), (cx + x).alias("cx")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
     spread = own.withColumn("c", around).select("ref_idx", "rlat", "rlon", "c.cy", "c.cx")
     py, px = cell(F.col("lat"), F.col("lon"))
     safe = F.when(F.abs(F.col("lat")) > most_lat, F.raise_error(F.lit(f"a latitude is beyond most_lat = {most_lat}")).cast("bigint")).otherwise(py)
-    placed = points.withColumn("cy", safe).withColumn("cx", px)
+    places = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()  # each place is looked up once
+    placed = places.withColumn("cy", safe).withColumn("cx", px)
     parts = spread.groupBy("cy", "cx").agg(F.ceil(F.count("*") / most_listed).cast("int").alias("parts")).where("parts > 1")
     if parts.isEmpty():
         best = nearest_in(placed, spread)
@@ -107,7 +109,8 @@ def match_references(
         F.col("metres") <= tolerance_m,
         F.struct(F.col("best.ref_idx").alias("ref_idx"), F.col("best.rlat").alias("lat"), F.col("best.rlon").alias("lon"), F.col("metres").alias("distance_m")),
     )
-    return found.withColumn("match", kept).drop("cy", "cx", "best", "metres")
+    matches = found.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), kept.alias("match"))
+    return points.drop("match").join(matches, (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon")), "left").drop("__lat", "__lon")
 
 
 def listed(spread: DataFrame, *cells: str) -> DataFrame:
