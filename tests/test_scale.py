@@ -25,3 +25,8 @@ def test_references_and_points_of_one_place_count_once(spark, monkeypatch):
     monkeypatch.setattr(match, "nearest_in_parts", too_many)
     found = match.match_references(points, refs, 500.0, distance=haversine).selectExpr("id", "match.ref_idx AS r").collect()
     assert sorted(found) == [(k, k % 2) if k < 2999 else (k, None) for k in range(3000)]
+
+
+@pytest.mark.parametrize("name", ["agg_has_any", "set_union_layers", "pred_scope", "pred_selected", "agg_model_names", "sink_dirty_only"])
+def test_lists_of_tables_pass_no_driver(spark, name):
+    assert "Broadcast" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -91,7 +91,7 @@ def has_any(asked: DataFrame, rows: DataFrame) -> DataFrame:
     keys = have.where("__frame is not null").unionByName(any_frame).withColumn("found", F.lit(True))
     wanted = asked.withColumn("__n", F.monotonically_increasing_id()).withColumn("__video", F.explode(F.array_distinct(F.array(text("video"), F.lit("")))))
     wanted = wanted.withColumn("__frame", F.col("frame").cast("bigint"))
-    met = wanted.join(keys, (wanted.layer_id == keys.layer_id) & (wanted["__video"] == keys["__video"]) & wanted["__frame"].eqNullSafe(keys["__frame"]), "left")
+    met = wanted.join(keys.hint("merge"), (wanted.layer_id == keys.layer_id) & (wanted["__video"] == keys["__video"]) & wanted["__frame"].eqNullSafe(keys["__frame"]), "left")
     found = met.groupBy("__n").agg(*[F.first(wanted[c]).alias(c) for c in asked.columns], F.max(F.coalesce("found", F.lit(False))).alias("found"))
     return found.select(*asked.columns, (F.col("found") | (text("video") == "")).alias("found"))
 
@@ -114,7 +114,7 @@ def union_by_turn(layers: DataFrame, rows: DataFrame, keys: tuple[str, ...], ord
 
     layers: (layer_id, turn). A key may be null.
     """
-    placed = rows.join(layers.select("layer_id", "turn"), "layer_id")
+    placed = rows.join(layers.select("layer_id", "turn").hint("merge"), "layer_id")  # both sides grow with the tables
     others = [c for c in placed.columns if c not in keys]
     first = placed.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct("turn", order)).alias("x"))
     return first.select(*keys, "x.*")
