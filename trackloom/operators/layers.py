@@ -113,7 +113,8 @@ def in_scope(layers: DataFrame, rows: DataFrame, scope: str, active: str = "acti
     read = candidate_layers(layers, visible_only=scope == "visible")
     if scope == "active":
         read = read.where(F.coalesce(F.col(active), F.lit(False)))
-    found = rows.join(read.select("project", "layer_id", "turn", "selected"), ["project", "layer_id"])
+    # merged: a list of tables may be long, and its file tells little of how large the rows made from it are
+    found = rows.join(read.select("project", "layer_id", "turn", "selected").hint("merge"), ["project", "layer_id"])
     if scope == "selected":
         found = found.where(F.coalesce(F.array_contains("selected", F.col("row_id")), F.lit(False)))
     return found.drop("selected")
@@ -196,6 +197,6 @@ def changed(loaded: DataFrame, now: DataFrame) -> DataFrame:
 
     loaded: (layer_id, features); now: (layer_id, features, edited).
     """
-    before = loaded.select(F.col("layer_id").alias("__id"), F.col("features").alias("__features"))
+    before = loaded.select(F.col("layer_id").alias("__id"), F.col("features").alias("__features")).hint("merge")
     both = now.join(before, F.col("layer_id") == F.col("__id"), "left")
     return both.where(F.col("__id").isNull() | F.coalesce("edited", F.lit(False)) | ~F.col("features").eqNullSafe(F.col("__features"))).drop("__id", "__features")

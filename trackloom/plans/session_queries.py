@@ -346,7 +346,7 @@ def set_union_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LAYERS_SQL + ROWS_SQL + ", nm AS (SELECT r.project, r.model_name AS name, min(struct_pack(a := c.turn, b := r.pos)) AS spot FROM rws r JOIN cand c ON c.layer_id = r.layer_id WHERE trim(r.model_name) <> '' GROUP BY 1, 2) SELECT project, array_to_string(list(name ORDER BY name), '|') AS names FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY spot) AS k FROM nm) WHERE k <= 2 GROUP BY project")
 def agg_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layer_rows(spark, sf_dir).join(layers.candidate_layers(layer_table(spark, sf_dir)).select("layer_id", "turn"), "layer_id")
+    rows = layer_rows(spark, sf_dir).join(layers.candidate_layers(layer_table(spark, sf_dir)).select("layer_id", "turn").hint("merge"), "layer_id")
     return layers.model_names(rows).select("project", F.array_join("names", "|").alias("names"))
 
 
