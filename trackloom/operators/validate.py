@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import norm_yaw, signed_yaw
-from ..functions.numbers import clamp, clamp_or, finite
+from ..functions.numbers import clamp, clamp_or, finite, let
 from ..functions.text import opt_float, parse_frame, projection_name, video_name_error
 
 MOST_TARGETS = 100
@@ -24,6 +24,8 @@ STATE_FIELDS = (
     "video", "frame_index", "yaw_to_camera_heading", "pitch", "zoom", "viewer_camera_height_m", "viewer_hud_height_scale", "viewer_projection", "viewer_front_offset_deg", "applied_command_id",
     "_viewer_view_update_only", "updated_at",
 )
+#: Fields of a validated state, besides target and targets.
+PLAIN = ("video", "frame_index", "yaw_to_camera_heading", "pitch", "zoom", "viewer_camera_height_m", "viewer_hud_height_scale", "viewer_projection", "viewer_front_offset_deg")
 
 
 def _strings(names: tuple[str, ...]) -> str:
@@ -53,39 +55,74 @@ def _bad(x: Column) -> Column:
     return _given(x).isNotNull() & opt_float(_given(x)).isNull()
 
 
+#: Fields of a target that make it invalid if given but no number, and those that then count as missing.
+STRICT = ("yaw_delta_deg", "pitch_delta_deg", "target_yaw_to_camera_heading", "view_yaw_to_camera_heading", "view_pitch", "target_pitch_deg", "view_zoom")
+LENIENT = ("x_ratio", "y_ratio", "ground_distance_m", "map_bearing_deg", "map_target_yaw_to_camera_heading", "confidence")
+
+
+def is_target(t: Column) -> Column:
+    """Whether a target is valid: it has a target yaw, and none of the first seven fields is given but no number."""
+    valid = opt_float(t["target_yaw_to_camera_heading"]).isNotNull()
+    for name in STRICT:
+        if name != "target_yaw_to_camera_heading":
+            valid = valid & ~_bad(t[name])
+    return F.coalesce(valid, F.lit(False))
+
+
+def _whole(x: Column) -> Column:
+    return F.when(x.try_cast("bigint") > 0, x.try_cast("bigint"))
+
+
+def _place(t: Column, name: str, k: Column | None) -> Column:
+    return _whole(t[name]) if k is None else F.coalesce(_whole(t[name]), (k + 1).cast("bigint"))
+
+
+def _valid_fields(t: Column, k: Column | None = None) -> Column:
+    """The fields of a valid target; k: its place from 0, which stands for a missing id or order. Texts are read once each."""
+    read = F.struct(*[opt_float(_given(t[n])).alias(n) for n in STRICT], *[finite(opt_float(_given(t[n]))).alias(n) for n in LENIENT])
+    chosen = lambda name, names, other: F.when(t[name].isin(*names), t[name]).otherwise(F.lit(other))
+    or_ = lambda x, default: F.coalesce(x, F.lit(float(default)))
+
+    def angles(n: Column) -> Column:
+        first = F.struct(
+            signed_yaw(or_(n["yaw_delta_deg"], 0)).alias("delta"), clamp(or_(n["pitch_delta_deg"], 0), -90, 90).alias("tilt"), norm_yaw(n["target_yaw_to_camera_heading"]).alias("yaw"),
+            clamp(or_(n["view_pitch"], 0), -90, 90).alias("pitch"),
+        )
+        return let(first, lambda a: fields(n, a))
+
+    def fields(n: Column, a: Column) -> Column:
+        return F.struct(
+            a["delta"].alias("yaw_delta_deg"), a["tilt"].alias("pitch_delta_deg"), a["yaw"].alias("target_yaw_to_camera_heading"),
+            clamp(F.coalesce(n["target_pitch_deg"], a["pitch"] + a["tilt"]), -90, 90).alias("target_pitch_deg"), norm_yaw(F.coalesce(n["view_yaw_to_camera_heading"], a["yaw"] - a["delta"])).alias("view_yaw_to_camera_heading"),
+            a["pitch"].alias("view_pitch"), F.greatest(F.lit(0.01), or_(n["view_zoom"], 1)).alias("view_zoom"), chosen("projection", PROJECTIONS, "ground_plane").alias("projection"),
+            chosen("quality", QUALITIES, None).alias("quality"), F.coalesce(clamp(n["x_ratio"], 0, 1), F.lit(0.5)).alias("x_ratio"), F.coalesce(clamp(n["y_ratio"], 0, 1), F.lit(0.5)).alias("y_ratio"),
+            F.when(n["ground_distance_m"] > 0, clamp(n["ground_distance_m"], 0.01, 1000)).alias("ground_distance_m"), norm_yaw(n["map_bearing_deg"]).alias("map_bearing_deg"), norm_yaw(n["map_target_yaw_to_camera_heading"]).alias("map_target_yaw_to_camera_heading"),
+            *[_given(t[name]).alias(name) for name in ("target_source", "semantic_class", "review_status", "candidate_id", "viewer_marker")],
+            clamp(n["confidence"], 0, 1).alias("confidence"), _place(t, "id", k).alias("id"), _place(t, "order", k).alias("order"),
+        )
+
+    return let(read, angles)
+
+
 def target(t: Column) -> Column:
     """A valid target: angles and ratios within their limits, unknown names replaced, ids only if positive. Null without a
     target yaw, or if one of the first seven fields is given but no number."""
-    delta = signed_yaw(_number(t["yaw_delta_deg"], 0.0))
-    tilt = clamp(_number(t["pitch_delta_deg"], 0.0), -90, 90)
-    yaw = norm_yaw(_number(t["target_yaw_to_camera_heading"]))
-    pitch = clamp(_number(t["view_pitch"], 0.0), -90, 90)
-    broken = _bad(t["target_yaw_to_camera_heading"])
-    for name in ("yaw_delta_deg", "pitch_delta_deg", "view_yaw_to_camera_heading", "view_pitch", "target_pitch_deg", "view_zoom"):
-        broken = broken | _bad(t[name])
-    optional = lambda name: finite(opt_float(_given(t[name])))
-    number = lambda name: F.when(t[name].try_cast("bigint") > 0, t[name].try_cast("bigint"))
-    chosen = lambda name, names, other: F.when(t[name].isin(*names), t[name]).otherwise(F.lit(other))
-    ground = optional("ground_distance_m")
-    return F.when(
-        yaw.isNotNull() & ~broken,
-        F.struct(
-            delta.alias("yaw_delta_deg"), tilt.alias("pitch_delta_deg"), yaw.alias("target_yaw_to_camera_heading"),
-            clamp(_number(t["target_pitch_deg"], pitch + tilt), -90, 90).alias("target_pitch_deg"), norm_yaw(_number(t["view_yaw_to_camera_heading"], yaw - delta)).alias("view_yaw_to_camera_heading"),
-            pitch.alias("view_pitch"), F.greatest(F.lit(0.01), _number(t["view_zoom"], 1.0)).alias("view_zoom"), chosen("projection", PROJECTIONS, "ground_plane").alias("projection"),
-            chosen("quality", QUALITIES, None).alias("quality"), F.coalesce(clamp(optional("x_ratio"), 0, 1), F.lit(0.5)).alias("x_ratio"), F.coalesce(clamp(optional("y_ratio"), 0, 1), F.lit(0.5)).alias("y_ratio"),
-            F.when(ground > 0, clamp(ground, 0.01, 1000)).alias("ground_distance_m"), norm_yaw(optional("map_bearing_deg")).alias("map_bearing_deg"), norm_yaw(optional("map_target_yaw_to_camera_heading")).alias("map_target_yaw_to_camera_heading"),
-            *[_given(t[n]).alias(n) for n in ("target_source", "semantic_class", "review_status", "candidate_id", "viewer_marker")],
-            F.when(optional("confidence").isNotNull(), clamp(optional("confidence"), 0, 1)).alias("confidence"), number("id").alias("id"), number("order").alias("order"),
-        ),
-    )
+    return F.when(is_target(t), _valid_fields(t))
+
+
+def valid_targets(items: Column, most: int = MOST_TARGETS) -> Column:
+    """The valid ones of the first ``most`` targets, as they came; empty where there are none."""
+    return F.coalesce(F.filter(F.slice(items, 1, most), is_target), F.array().cast(f"array<{TARGET_KIND}>"))
+
+
+def target_ids(items: Column, most: int = MOST_TARGETS) -> Column:
+    """The ids that ``targets`` gives, without its other fields."""
+    return F.transform(valid_targets(items, most), lambda t, k: _place(t, "id", k))
 
 
 def targets(items: Column, most: int = MOST_TARGETS) -> Column:
     """The valid ones of the first ``most`` targets; missing ids and orders are their places among these."""
-    valid = F.filter(F.transform(F.slice(items, 1, most), lambda t: target(t)), lambda t: t.isNotNull())
-    placed = F.transform(valid, lambda t, k: t.withField("id", F.coalesce(t["id"], (k + 1).cast("bigint"))).withField("order", F.coalesce(t["order"], (k + 1).cast("bigint"))))
-    return F.coalesce(placed, F.array().cast(placed_kind()))
+    return F.transform(valid_targets(items, most), _valid_fields).cast(placed_kind())
 
 
 def placed_kind() -> str:
@@ -113,19 +150,31 @@ def radar(r: Column) -> Column:
     )
 
 
-def state(rows: DataFrame, document: str = "document") -> DataFrame:
-    """Adds ``error`` (null if the document is fine) and ``state``: its validated fields, target the last of targets unless given alone."""
+def state(rows: DataFrame, document: str = "document", only: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``error`` (null if the document is fine) and ``state``: its validated fields, target the last of targets unless given alone.
+
+    only: the fields to make, where not all are wanted.
+    """
     d = F.col(document)
     error = (
         F.when(d.isNull(), "document").when(video_name_error(d["video"]).isNotNull(), F.concat(F.lit("video: "), video_name_error(d["video"]))).when(parse_frame(d["frame_index"]).isNull(), "frame_index")
         .when(_number(d["yaw_to_camera_heading"]).isNull(), "yaw_to_camera_heading").when(_bad(d["pitch"]), "pitch").when(_bad(d["zoom"]), "zoom")
     )
-    many = targets(d["targets"])
-    fields = F.struct(
+    plain = (
         F.trim(d["video"]).alias("video"), parse_frame(d["frame_index"]).alias("frame_index"), norm_yaw(_number(d["yaw_to_camera_heading"])).alias("yaw_to_camera_heading"),
         _number(d["pitch"], 0.0).alias("pitch"), _number(d["zoom"], 1.0).alias("zoom"), clamp_or(opt_float(d["viewer_camera_height_m"]), 0.1, 20, 1.5).alias("viewer_camera_height_m"),
         clamp_or(opt_float(d["viewer_hud_height_scale"]), 0.1, 5, 1).alias("viewer_hud_height_scale"), projection_name(d["viewer_projection"]).alias("viewer_projection"),
-        signed_yaw(finite(opt_float(d["viewer_front_offset_deg"]))).alias("viewer_front_offset_deg"), F.coalesce(target(d["target"]), F.try_element_at(many, F.lit(-1))).alias("target"), many.alias("targets"),
+        signed_yaw(finite(opt_float(d["viewer_front_offset_deg"]))).alias("viewer_front_offset_deg"),
     )
     rows = rows.withColumn("error", error)
+
+    def with_targets(many: Column) -> Column:
+        return F.struct(*plain, F.coalesce(target(d["target"]).cast(placed_kind()[6:-1]), F.try_element_at(many, F.lit(-1))).alias("target"), many.alias("targets"))
+
+    if only:
+        named = dict(zip(PLAIN, plain, strict=True))
+        whole = let(targets(d["targets"]), with_targets) if set(only) - set(named) else None
+        fields = F.struct(*[named[n] if n in named else whole[n].alias(n) for n in only])
+    else:
+        fields = let(targets(d["targets"]), with_targets)
     return rows.withColumn("state", F.when(F.col("error").isNull(), fields))
