@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exif, screen
 from ..functions.numbers import fixed
 from ..operators import keyed, project
-from ..session import scratch
+from ..session import dealt, scratch
 from ..sources import fallback
 from ..streaming import rules, state
 from .document_queries import Query
@@ -216,7 +216,7 @@ SELECT p_partkey, '45786966000049492A0008000000' || CASE WHEN ok THEN '0400' ELS
 
 def payloads(spark: SparkSession, sf_dir: str, versioned: bool) -> DataFrame:
     c = F.col
-    rows = table(spark, sf_dir, "part").selectExpr(*split_columns(TAGGED))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").selectExpr(*split_columns(TAGGED))
     return rows.withColumn("payload", exif.exif(c("said"), c("software"), c("made_at"), c("lat"), c("lon"), versioned))
 
 
