@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import norm_yaw, signed_delta, signed_yaw, valid_gps
-from ..functions.numbers import clamp, finite
+from ..functions.numbers import clamp, finite, let
 from ..functions.text import parse_bool, parse_float
 from .review import VIEW_ZOOM, text_or_null
 
@@ -54,7 +54,10 @@ def marking_targets(rows: DataFrame, fallback: Column | None = None) -> DataFram
 
 def anchor(box: Column) -> Column:
     """struct(x, y, width, height) of a bounding box as JSON: an object of corners and image size, or an array of the four corners."""
-    parsed = F.try_parse_json(box)
+    return let(F.try_parse_json(box), _anchor)
+
+
+def _anchor(parsed: Column) -> Column:
     at = lambda path: finite(F.try_variant_get(parsed, path, "double"))
     nonzero = lambda x: F.nullif(x, F.lit(0.0))
     named = F.struct(
@@ -75,7 +78,9 @@ def candidate_targets(rows: DataFrame, flat: bool = False, width: float | None =
     c = {n: optional(rows, n) for n in ("target_yaw", "target_pitch", "confidence", "ground_distance_m", "distance_m", "map_target_yaw", "cubemap_target_yaw", "bearing_deg", "anchor_x_px", "anchor_y_px")}
     c |= {n: optional(rows, n) for n in ("image_width", "width_px", "image_height", "height_px", "cubemap_u", "cubemap_v")}
     text = lambda name: text_or_null(optional(rows, name, "string"))
-    box = anchor(optional(rows, "evidence_bbox_json", "string"))
+    columns = rows.columns
+    rows = rows.withColumn("__box", anchor(optional(rows, "evidence_bbox_json", "string")))  # read once a row
+    box = F.col("__box")
     missing = c["anchor_x_px"].isNull() | c["anchor_y_px"].isNull()
     x, y = (F.when(missing, F.coalesce(box[k], c[f"anchor_{k}_px"])).otherwise(c[f"anchor_{k}_px"]) for k in "xy")
     nonzero = lambda value: F.nullif(value, F.lit(0.0))
@@ -87,7 +92,8 @@ def candidate_targets(rows: DataFrame, flat: bool = False, width: float | None =
     in_box = F.when(known, F.struct(clamp(x / sizes[0], 0, 1).alias("x"), clamp(y / sizes[1], 0, 1).alias("y")))
     u, v = c["cubemap_u"], c["cubemap_v"]
     in_cube = F.when(u.isNotNull() & v.isNotNull(), F.struct(clamp((u + 1) / 2, 0, 1).alias("x"), clamp((v + 1) / 2, 0, 1).alias("y")))
-    place = F.coalesce(in_box, in_cube) if flat else F.coalesce(in_cube, in_box)
+    rows = rows.withColumn("__place", F.coalesce(in_box, in_cube) if flat else F.coalesce(in_cube, in_box))
+    place = F.col("__place")
     ground = F.coalesce(c["ground_distance_m"], c["distance_m"])
     yaw, pitch = norm_yaw(c["target_yaw"]), clamp(c["target_pitch"], -90, 90)
     target = F.struct(
@@ -98,7 +104,8 @@ def candidate_targets(rows: DataFrame, flat: bool = False, width: float | None =
         text("quality").alias("quality"), F.coalesce(text("candidate_id"), text("target_id"), text("detection_id")).alias("candidate_id"), text("semantic_class").alias("semantic_class"), c["confidence"].alias("confidence"),
         text("review_status").alias("review_status"),
     )
-    return rows.withColumn("target", target).where(c["target_yaw"].isNotNull() & c["target_pitch"].isNotNull())
+    found = rows.withColumn("target", target).where(c["target_yaw"].isNotNull() & c["target_pitch"].isNotNull())
+    return found.select(*[F.col(f"`{n}`") for n in columns if n != "target"], "target")
 
 
 def restored_settings(metadata: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -100,7 +100,7 @@ SEEN = (
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*split_columns(SEEN), f"{BOXES} AS evidence_bbox_json")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").selectExpr(*split_columns(SEEN), f"{BOXES} AS evidence_bbox_json")
 
 
 def candidate_sql(flat: bool) -> str:
