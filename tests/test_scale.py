@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geo import haversine
 from trackloom.operators import match, validate
+from trackloom.plans import queries
 from trackloom.plans.queries import QUERIES
 
 from .conftest import SMALL
@@ -41,3 +42,11 @@ def test_ids_and_numbers_of_valid_targets(spark):
     found = rows.select(validate.targets(F.col("x"))["id"].alias("whole"), validate.target_ids(F.col("x")).alias("ids"), F.size(validate.valid_targets(F.col("x"))).alias("n")).collect()
     assert [r.whole for r in found] == [r.ids for r in found] and [r.n for r in found] == [98, 0, 0, 0]
     assert found[0].ids == [1, 7, *range(3, 99)]
+
+
+def test_sums_of_places_beyond_a_bigint_are_whole(spark, monkeypatch):
+    rows = spark.range(6).selectExpr("'v' AS video", "id % 2 AS frame", "CASE WHEN id % 2 = 0 THEN 4611686018427387904 ELSE id END AS pos")
+    monkeypatch.setattr(queries, "fitting", lambda *_: rows)
+    assert sorted((r.frame, r.n, int(r.sum_pos)) for r in QUERIES["pred_projection_match"](spark, SMALL).collect()) == [(0, 3, 3 * 2**62), (1, 3, 9)]
+    monkeypatch.setattr(queries, "fitting", lambda *_: rows.where("frame = 1"))
+    assert dict(QUERIES["pred_projection_match"](spark, SMALL).dtypes)["sum_pos"] == "bigint"

@@ -227,7 +227,11 @@ def fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CANDIDATES_SQL + " SELECT count(*) AS n, sum(pos) AS sum_pos, video, frame FROM fit GROUP BY video, frame")
 def pred_projection_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitting(spark, sf_dir).groupBy("video", "frame").agg(F.count("*").alias("n"), F.sum("pos").cast("decimal(38,0)").alias("sum_pos")).withColumn("sum_pos", F.col("sum_pos").cast("bigint"))
+    """sum_pos is a bigint, as in the SQL, or a decimal(38,0) where a sum exceeds it, at which the SQL's own cast fails."""
+    sums = fitting(spark, sf_dir).groupBy("video", "frame").agg(F.count("*").alias("n"), F.sum(F.col("pos").cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum_pos"))
+    if sums.where(F.col("sum_pos").try_cast("bigint").isNull()).isEmpty():
+        return sums.withColumn("sum_pos", F.col("sum_pos").cast("bigint"))
+    return sums
 
 
 ORACLES["pred_projection_match"] = ORACLES["pred_projection_match"].replace("sum(pos) AS", "CAST(sum(pos) AS BIGINT) AS")
