@@ -321,6 +321,32 @@ def test_fingerprints_of_hot_ids(spark):
     assert len(got) == 600 and sum(r.id is None for r in got) == 200 and all(0 < r.near_edited <= 1 for r in got)
 
 
+def test_fingerprints_draw_a_word_once_for_all_texts_of_a_block(spark, monkeypatch):
+    """A word that many texts use has one row to draw from, not one for each text; blocks bound its uses, and their size doesn't change a result."""
+    import math
+
+    from trackloom.llm import fingerprints
+
+    counts = [(0, row, term, term + row % 2, term) for row in range(1, 301) for term in range(1, 21)] + [(0, 7, 99, 0, 3), (1, 7, 1, 2, 0)]
+    counted = spark.createDataFrame(counts, "bucket int, row int, term bigint, n0 bigint, n1 bigint")
+    for size in (2048, 100):
+        monkeypatch.setattr(fingerprints, "BLOCK", size)
+        found = fingerprints.in_use(counted).collect()
+        assert len(found) == 20 * (300 // size + 1) + 2 and max(len(r.uses) for r in found) <= 2 * size
+        got: dict = {}
+        for r in found:
+            for u in r.uses:
+                for k in (0, 1) if u.owner % 4 == fingerprints.BOTH else (u.owner % 4,):
+                    assert got.setdefault((r.bucket, u.owner // 4, r.term, k), round(math.exp(u.log), 9)) == round(math.exp(u.log), 9)
+        assert got == {(b, row, term, k): n for b, row, term, *of in counts for k, n in enumerate(of) if n}
+    rows = [(k, None if k == 5 else " ;" if k == 9 else f"words {k % 7} that many many texts use {k}") for k in range(60)]
+    docs, results = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    for size in (2048, 1):
+        monkeypatch.setattr(fingerprints, "BLOCK", size)
+        results.append(sorted(map(tuple, fingerprints.fingerprint_pairs(docs).collect())))
+    assert results[0] == results[1] and len(results[0]) == 60 and results[0][5][3] == results[0][9][3] == "0" * 512
+
+
 def test_pii_held_out_figures(spark):
     """On documents, not on a handful of texts of which several are personal data themselves: there few certain look-alikes lower the recall."""
     from trackloom.llm import pii
